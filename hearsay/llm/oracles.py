@@ -83,4 +83,49 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
 
-ORACLES = {"op3_chat": OP3, "op4_exact_dedup": OP4, "op7_quality_rules": OP7, "op8_license_scan": _op8()}
+OP2 = f"""
+WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 34), ' ') AS x
+      FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 34)) AS i FROM w)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY x) AS n FROM g) WHERE n > 1),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+c AS (SELECT p.doc_id, p.i, word, coalesce(max(hit.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) > 0 AS gone
+      FROM p LEFT JOIN hit ON p.doc_id = hit.doc_id AND p.i = hit.i),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+OP5 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", LOW)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS x
+      FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, CASE WHEN len(ws) > 0 THEN 1 ELSE 0 END))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+r(doc_id, at) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.at = l.a)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(at) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1
+"""
+
+#: Bytes as pairs of hexadecimal digits.
+OP9 = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, x, unnest(generate_series(1, CAST(length(x) / 2 AS BIGINT))) AS i FROM h),
+g AS (SELECT doc_id, i, substr(x, 2 * i - 1, 2) AS byte, CASE WHEN 2 * i + 198 <= length(x) THEN md5_number(substr(x, 2 * i - 1, 200)) END AS win FROM b),
+f AS (SELECT doc_id, i, byte, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS hit FROM g),
+c AS (SELECT doc_id, i, byte, max(CAST(hit AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY 1)
+SELECT doc_id, CAST(length(x) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM h LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES = {
+    "op2_substring_dedup": OP2,
+    "op3_chat": OP3,
+    "op4_exact_dedup": OP4,
+    "op5_jaccard_join": OP5,
+    "op7_quality_rules": OP7,
+    "op8_license_scan": _op8(),
+    "op9_suffix_dedup": OP9,
+}

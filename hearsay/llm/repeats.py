@@ -1,0 +1,347 @@
+"""Windows of symbols that occur more than once, over all documents.
+
+Every window of ``length`` symbols is known by its minimizer, the k-mer with the
+smallest hash in it.  Neighbouring windows with one minimizer form a *run*, and
+only runs travel: (k-mer hash, hash of all the run's symbols, source
+coordinates).  Equal windows have equal minimizers at equal places, so
+
+* runs with the same content are repeats as a whole (pre-aggregated in the map
+  task, then joined by k-mer hash);
+* k-mers under which different runs meet are opened up: one run of each content
+  sends its symbols, and its windows are compared one by one.
+
+Both dedup operators build on this: ``later=True`` marks windows that also start
+earlier, ``later=False`` windows that also start anywhere else.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .store import materialize, partitions
+from .words import MIX, Rolling, mix, runs, text_bytes
+
+RUN = np.dtype([("h", "<u8"), ("s", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("at", "<u2"), ("many", "u1")])
+SPAN = np.dtype([("doc", "<i8"), ("lo", "<u4"), ("n", "<u2")])
+ASK = np.dtype([("h", "<u8"), ("lo", "<u4"), ("n", "<u2"), ("at", "<u2")])
+#: Runs that a map task holds before it sends them.
+HELD = 1_500_000
+RUNS, SPANS, ASKS = 0, 1, 2
+
+
+@dataclass(frozen=True)
+class Windows:
+    """``symbols(bytes, text offsets)`` -> (64-bit symbols, offsets of the texts in them)."""
+
+    length: int
+    k: int
+    later: bool
+    symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def window_runs(symbols: np.ndarray, offsets: np.ndarray, docs: np.ndarray, spec: Windows) -> np.ndarray:
+    """The runs of some texts that lie end to end; ``docs``: their keys."""
+    n, k, length = len(symbols), spec.k, spec.length
+    sizes = np.diff(offsets)
+    if n < length or not (sizes >= length).any():
+        return np.empty(0, RUN)
+    rolling = Rolling(symbols)
+    at = np.arange(n - k + 1)
+    kmers = mix(rolling.of(at, at + k))
+    low = np.uint64(0xFFFFFFFF)  # the same cut everywhere, or equal windows could differ in their minimizer
+    best = (kmers & ~low) | at.astype(np.uint64)
+    reach, want = 1, length - k + 1
+    while 2 * reach <= want:
+        best = np.minimum(best[:-reach], best[reach:])
+        reach *= 2
+    if reach < want:
+        best = np.minimum(best[: len(best) - (want - reach)], best[want - reach :])
+    place = (best & low).astype(np.int64)  # of the minimizer, for the windows at 0 .. n - length
+    fits = np.zeros(n + 1, np.int32)
+    whole = sizes >= length
+    np.add.at(fits, offsets[:-1][whole], 1)
+    np.add.at(fits, offsets[1:][whole] - length + 1, -1)
+    valid = np.cumsum(fits[: n - length + 1]) > 0
+    starts = np.flatnonzero(valid)
+    place = place[starts]
+    owner = np.searchsorted(offsets, starts, "right") - 1
+    fresh = np.append(True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]))
+    first = np.flatnonzero(fresh)
+    lo, count, a, own = starts[first], np.diff(np.append(first, len(starts))), place[first], owner[first]
+    out = np.empty(len(first), RUN)
+    out["h"] = kmers[a]
+    with np.errstate(over="ignore"):
+        out["s"] = mix(rolling.of(lo, lo + count - 1 + length) + (a - lo).astype(np.uint64) * MIX + mix(count.astype(np.uint64)))
+    out["doc"], out["lo"], out["n"], out["at"], out["many"] = docs[own], lo - offsets[own], count, a - lo, 0
+    return out
+
+
+def _classes(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(r in order of h, content and place; where contents begin; where h begin)."""
+    r = r[np.lexsort((r["lo"], r["doc"], r["s"], r["h"]))]
+    new_h = np.append(True, r["h"][1:] != r["h"][:-1]) if len(r) else np.empty(0, bool)
+    new_s = new_h | np.append(True, r["s"][1:] != r["s"][:-1]) if len(r) else new_h
+    return r, np.flatnonzero(new_s), np.flatnonzero(new_h)
+
+
+def _settle(r: np.ndarray, later: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(runs that are repeats as a whole, one run of each content, how many
+    contents its k-mer has)."""
+    r, c, h = _classes(r)
+    if not len(r):
+        return r, r, np.empty(0, np.int64)
+    sizes = np.diff(np.append(c, len(r)))
+    heads = r[c].copy()
+    heads["many"] |= sizes > 1
+    first = np.zeros(len(r), bool)
+    first[c] = True
+    sure = r[~first] if later else r[~first | np.repeat(heads["many"] > 0, sizes)]
+    contents = np.diff(np.append(np.searchsorted(c, h), len(c)))
+    return sure, heads, np.repeat(contents, contents)
+
+
+def _spans(r: np.ndarray) -> np.ndarray:
+    out = np.empty(len(r), SPAN)
+    for f in ("doc", "lo", "n"):
+        out[f] = r[f]
+    return out
+
+
+def _by_part(r: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    if not len(r):
+        return
+    order = np.argsort(part, kind="stable")
+    r, part = r[order], part[order]
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    for a, b in zip(cuts, np.append(cuts[1:], len(r)), strict=True):
+        yield int(part[a]), r[a:b].tobytes()
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+KEYED = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
+OPENED = pa.schema([("part", pa.int32()), ("head", pa.binary()), ("body", pa.binary())])
+HEAD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("at", "<u2")])
+
+
+def _per_doc(r: np.ndarray, kind: int) -> Iterator[tuple]:
+    """(document, kind, its spans or requests)."""
+    if not len(r):
+        return
+    r = r[np.argsort(r["doc"], kind="stable")]
+    cuts = np.flatnonzero(np.append(True, r["doc"][1:] != r["doc"][:-1]))
+    plain = np.empty(len(r), np.dtype([("lo", "<u4"), ("n", "<u4")]) if kind == SPANS else ASK)
+    for f in plain.dtype.names:
+        plain[f] = r[f]
+    raw, size = plain.tobytes(), plain.dtype.itemsize
+    ends = np.append(cuts[1:], len(r))
+    for d, a, b in zip(r["doc"][cuts].tolist(), (cuts * size).tolist(), (ends * size).tolist(), strict=True):
+        yield d, kind, raw[a:b]
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= most:
+            yield _rows(held, schema)
+            held = []
+    if held:
+        yield _rows(held, schema)
+
+
+def with_key(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """(key, id, text): the key orders the rows as their ids do and is unique.
+    Rows that repeat an id, or have none, are ordered by their texts.
+    ``carry``: columns that go along as the struct ``carried``."""
+    more = [F.struct(*[docs[f"`{c}`"] for c in carry]).alias("carried")] if carry else []
+    rest = ["carried"] if carry else []
+    src = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"), *more)
+    whole = dict(src.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint")
+    if whole and src.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        return src.select(F.col("id").cast("bigint").alias("key"), "id", "text", *rest)
+    ranged = src.repartitionByRange(partitions(docs.sparkSession), F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ranged = ranged.sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    return materialize(ranged.select(F.monotonically_increasing_id().alias("key"), "id", "text", *rest), "keyed")
+
+
+def repeated_windows(keyed: DataFrame, spec: Windows, same: Callable) -> DataFrame:
+    """(key, spans): packed (first window, windows) of each document that has any.
+
+    ``same(symbols, starts, segments)`` groups equal windows of the opened runs:
+    it returns a class number per window.
+    """
+    spark = keyed.sparkSession
+    parts = 4 * partitions(spark)
+    later, length = spec.later, spec.length
+
+    def send(held: list[np.ndarray]) -> Iterator[tuple]:
+        sure, heads, _ = _settle(np.concatenate(held), later)
+        for p, blob in _by_part(heads, (heads["h"] >> np.uint64(33)) % np.uint64(parts)):
+            yield p, RUNS, blob
+        spans = _spans(sure)
+        for p, blob in _by_part(spans, mix(spans["doc"].astype(np.uint64)) % np.uint64(parts)):
+            yield p, SPANS, blob
+
+    def cut(batches):
+        held, size = [], 0
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = text_bytes(batch.column(1))
+            for a, b in runs(offsets):
+                symbols, at = spec.symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                held.append(window_runs(symbols, at, keys[a:b], spec))
+                size += len(held[-1])
+                if size >= HELD:
+                    yield from _batches(send(held), PARTS)
+                    held, size = [], 0
+        if held:
+            yield from _batches(send(held), PARTS)
+
+    def meet(batches):
+        held = []
+        for batch in batches:
+            kinds, blobs = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            held += [np.frombuffer(x, RUN) for k, x in zip(kinds, blobs, strict=True) if k == RUNS]
+            if passed := [np.frombuffer(x, SPAN) for k, x in zip(kinds, blobs, strict=True) if k == SPANS]:
+                yield from _batches(_per_doc(np.concatenate(passed), SPANS), KEYED)
+        if not held:
+            return
+        r = np.concatenate(held)
+        held.clear()
+        # k-mers that came once say nothing
+        order = np.argsort(r["h"])
+        r = r[order]
+        twin = r["h"][1:] == r["h"][:-1]
+        lonely = ~(np.append(False, twin) | np.append(twin, False))
+        if not later:
+            lone = r[lonely]
+            yield from _batches(_per_doc(_spans(lone[lone["many"] > 0]), SPANS), KEYED)
+        sure, heads, contents = _settle(r[~lonely], later)
+        yield from _batches(_per_doc(_spans(sure), SPANS), KEYED)
+        yield from _batches(_per_doc(heads[contents > 1], ASKS), KEYED)
+
+    met = materialize(keyed.select("key", "text").mapInArrow(cut, "part int, kind int, blob binary").repartition(partitions(spark), "part").mapInArrow(meet, "key bigint, kind int, blob binary"), "repeats")
+
+    def open_up(batches):
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            asks = batch.column(2).to_pylist()
+            data, offsets = text_bytes(batch.column(1))
+            for a, b in runs(offsets):
+                symbols, at = spec.symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                heads, bodies = [], []
+                for i in range(a, b):
+                    q = np.concatenate([np.frombuffer(x, ASK) for x in asks[i]])
+                    head = np.empty(len(q), HEAD)
+                    for f in ("h", "lo", "n", "at"):
+                        head[f] = q[f]
+                    head["doc"] = keys[i]
+                    heads.append(head)
+                    bodies.append(at[i - a] + q["lo"].astype(np.int64))
+                head, first = np.concatenate(heads), np.concatenate(bodies)
+                part = (head["h"] >> np.uint64(33)) % np.uint64(parts)
+                order = np.argsort(part, kind="stable")
+                head, first, part = head[order], first[order], part[order]
+                size = head["n"].astype(np.int64) + length - 1
+                ends = np.cumsum(size)
+                body = symbols[np.repeat(first - (ends - size), size) + np.arange(ends[-1])]
+                cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                stops = np.append(cuts[1:], len(head))
+                yield from _batches(
+                    ((int(part[x]), head[x:y].tobytes(), body[ends[x] - size[x] : ends[y - 1]].tobytes()) for x, y in zip(cuts, stops, strict=True)),
+                    OPENED,
+                )
+
+    def compare(batches):
+        heads, bodies = [], []
+        for batch in batches:
+            heads += [np.frombuffer(x, HEAD) for x in batch.column(1).to_pylist()]
+            bodies += [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+        if not heads:
+            return
+        head, symbols = np.concatenate(heads), np.concatenate(bodies)
+        n = head["n"].astype(np.int64)
+        size = n + length - 1
+        begin = np.cumsum(size) - size
+        run = np.repeat(np.arange(len(head)), n)
+        j = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        with np.errstate(over="ignore"):
+            segment = mix(head["h"][run] + (head["at"][run].astype(np.int64) - j).astype(np.uint64) * MIX)
+        group = same(symbols, begin[run] + j, segment)
+        doc, lo = head["doc"][run], head["lo"][run].astype(np.int64) + j
+        order = np.lexsort((lo, doc, group))
+        g = group[order]
+        again = np.append(False, g[1:] == g[:-1])
+        if not later:
+            again |= np.append(again[1:], False)
+        hit = order[again & (g >= 0)]
+        out = np.empty(len(hit), SPAN)
+        out["doc"], out["lo"], out["n"] = doc[hit], lo[hit], 1
+        yield from _batches(_per_doc(out, SPANS), KEYED)
+
+    asked = met.where(F.col("kind") == ASKS).groupBy("key").agg(F.collect_list("blob").alias("asks"))
+    opened = keyed.select("key", "text").join(asked, "key").select("key", "text", "asks").mapInArrow(open_up, "part int, head binary, body binary")
+    found = materialize(opened.repartition(partitions(spark), "part").mapInArrow(compare, "key bigint, kind int, blob binary"), "repeats-opened")
+    spans = met.where(F.col("kind") == SPANS).unionByName(found)
+    return spans.groupBy("key").agg(F.collect_list("blob").alias("spans"))
+
+
+def covered(spans: list[bytes] | None, n: int, length: int) -> np.ndarray:
+    """Which of a document's ``n`` symbols its repeated windows cover."""
+    if not spans:
+        return np.zeros(n, bool)
+    s = np.frombuffer(b"".join(spans), np.dtype([("lo", "<u4"), ("n", "<u4")]))
+    lo = s["lo"].astype(np.int64)
+    edge = np.bincount(lo, minlength=n + 1) - np.bincount(lo + s["n"] - 1 + length, minlength=n + 1)
+    return np.cumsum(edge)[:n] > 0
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat, pa.int64()))
+
+
+def edges(gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the maximal runs."""
+    d = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
+    return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
+
+
+def apply_spans(keyed: DataFrame, spans: DataFrame, spec: Windows, keep: Callable, kept_type: pa.DataType, kept_sql: str) -> DataFrame:
+    """(id, n, n_removed, removed_start, removed_end, kept) of every document.
+    ``keep(text bytes, gone)`` -> (number of symbols, gone, what stays)."""
+    more = ["carried"] if "carried" in keyed.columns else []
+    joined = keyed.join(spans, "key", "left").select("id", "text", "spans", *more)
+    schema = T.StructType([joined.schema["id"], *T._parse_datatype_string(f"n bigint, n_removed bigint, removed_start array<bigint>, removed_end array<bigint>, kept {kept_sql}").fields, *[joined.schema[c] for c in more]])
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            spans = batch.column(2).to_pylist()
+            n, removed, starts, ends, kept = [], [], [], [], []
+            for i, sp in enumerate(spans):
+                size, gone, rest = keep(data[offsets[i] : offsets[i + 1]], sp)
+                a, b = edges(gone)
+                n.append(size)
+                removed.append(int((b - a).sum()))
+                starts.append(a)
+                ends.append(b)
+                kept.append(rest)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), _lists(starts), _lists(ends), pa.array(kept, pa.binary()).cast(kept_type), *[batch.column(3) for _ in more]],
+                names=["id", "n", "n_removed", "removed_start", "removed_end", "kept", *more],
+            )
+
+    return joined.mapInArrow(run, schema)
