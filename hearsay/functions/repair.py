@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def unwind(text: str, layers: int = 4) -> str:
@@ -30,7 +31,7 @@ def unwind(text: str, layers: int = 4) -> str:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unwind(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unwind(t))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import rx
 from ..operators.facts import seconds_between
 
 # ------------------------------------------------------------------ A1 provenance
@@ -317,7 +318,7 @@ def surface_group(site: Column) -> Column:
 def technique_hits(events: DataFrame, techniques: dict[str, str]) -> DataFrame:
     """(technique, site, ts, event_id, author_raw) of posts that match a pattern.
     The patterns are literals of one pass; a post is exploded by what it matches."""
-    found = F.filter(F.array(*[F.when(F.col("text").rlike("(?i)" + p), F.lit(n)) for n, p in techniques.items()]), lambda x: x.isNotNull())
+    found = F.filter(F.array(*[F.when(F.col("text").rlike(rx(p, True)), F.lit(n)) for n, p in techniques.items()]), lambda x: x.isNotNull())
     return events.select(canonical_site(F.col("site")).alias("site"), "ts", "event_id", "author_raw", F.explode(found).alias("technique"))
 
 
