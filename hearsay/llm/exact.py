@@ -28,6 +28,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.stateStore.rocksdb.compactOnCommit": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Rows of one group that are compared with one copy of the kept text.
 SALT_ROWS = 256
