@@ -65,17 +65,17 @@ def format_trees(nodes: DataFrame, score: str | None = None, branches: int = 1,
     parents = step.where("up is not null").select("key", F.col("up").alias("node")).distinct()
     leaves = step.join(parents, ["key", "node"], "left_anti").select("key", "node")
     largest = keyed.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-    jumps = []
-    while True:
-        jumps.append(step)
-        if 1 << (len(jumps) - 1) >= max(largest, 1):
-            break
-        above = step.select("key", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("n").alias("n2"))
-        step = materialize(
-            step.join(above, ["key", "up"], "left").select("key", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")),
-            "chat-jumps",
-        )
-    ranked = leaves.join(jumps[-1].where("up is null"), ["key", "node"])
+    # a round moves only the posts whose pointer has not passed the root yet
+    ended = step.where("up is null")
+    active = step.where("up is not null")
+    jumps = [active]
+    while 1 << (len(jumps) - 1) < largest and not active.isEmpty():
+        above = active.unionByName(ended).select("key", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("n").alias("n2"))
+        moved = materialize(active.join(above, ["key", "up"]).select("key", "node", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("n") + F.col("n2")).alias("n")), "chat-jumps")
+        ended = ended.unionByName(moved.where("up is null"))
+        active = moved.where("up is not null")
+        jumps.append(active)
+    ranked = leaves.join(ended, ["key", "node"])
     order = W.partitionBy("key").orderBy(F.desc("sum"), F.desc("n"), F.desc("node"))
     if branches == 1:
         best = ranked.groupBy("key").agg(F.max(F.struct("sum", "n", "node")).alias("b")).select("key", F.lit(1).alias("branch"), F.col("b.sum").alias("score"), F.col("b.node").alias("leaf"))
@@ -83,9 +83,7 @@ def format_trees(nodes: DataFrame, score: str | None = None, branches: int = 1,
         best = ranked.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= branches).select("key", "branch", F.col("sum").alias("score"), F.col("node").alias("leaf"))
     path = best.select("key", "branch", "score", F.col("leaf").alias("node"), F.lit(0).cast("bigint").alias("dist"))
     for k in range(len(jumps) - 1, -1, -1):
-        if k == len(jumps) - 1 and k:
-            continue  # reaches past every root
-        up = jumps[k].where("up is not null").select("key", "node", "up")
+        up = jumps[k].select("key", "node", "up")
         path = materialize(path.unionByName(path.join(up, ["key", "node"]).select("key", "branch", "score", F.col("up").alias("node"), (F.col("dist") + (1 << k)).alias("dist"))), "chat-paths")
     posts = nodes.select("conv", F.to_json(F.struct("conv")).alias("key"), "node", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     turns = path.join(posts, ["key", "node"]).groupBy("conv", "key", "branch", "score").agg(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("at"), "role", "text"))).alias("turns"))
