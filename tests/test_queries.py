@@ -1,7 +1,7 @@
 import __spark_entry__ as entry
 import pytest
 from hearsay import bindings
-from twins import same
+from .twins import same
 
 
 @pytest.mark.parametrize("name", sorted(bindings.ORACLES))
