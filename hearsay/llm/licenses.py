@@ -45,7 +45,8 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
-THRESHOLD = 0.8
+#: Nearly all of a template: one missing word may be the one that tells two licenses apart.
+THRESHOLD = 0.9
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
