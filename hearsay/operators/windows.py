@@ -11,18 +11,32 @@ from .facts import seconds_between
 
 def sessions(df: DataFrame, gap_s: float, by: list[str], ts: str = "ts", order: list[str] | None = None, page: str | None = None) -> DataFrame:
     """Gap sessionisation: a gap longer than ``gap_s`` starts a new session.
-    ``by`` partitions (a global run passes a constant: few rows, like deletions)."""
-    w = W.partitionBy(*by).orderBy(ts, *(order or []))
-    fresh = F.coalesce((seconds_between(F.col(ts), F.lag(ts).over(w)) > gap_s).cast("int"), F.lit(1))
-    numbered = df.withColumn("session", F.sum(fresh).over(w.rowsBetween(W.unboundedPreceding, 0)))
+
+    Without ``by`` the one timeline is cut into days: rows compare within their
+    day, and only one row a day - its last time, its number of sessions - goes
+    through an unpartitioned window.
+    """
+    order = order or []
+    if by:
+        w = W.partitionBy(*by).orderBy(ts, *order)
+        fresh = F.coalesce((seconds_between(F.col(ts), F.lag(ts).over(w)) > gap_s).cast("int"), F.lit(1))
+        numbered = df.withColumn("session", F.sum(fresh).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    else:
+        days = W.orderBy("__day")
+        d = df.withColumn("__day", F.to_date(ts))
+        w = W.partitionBy("__day").orderBy(ts, *order)
+        last = d.groupBy("__day").agg(F.max(ts).alias("__last")).withColumn("__last", F.lag("__last").over(days))
+        before = F.coalesce(F.lag(ts).over(w), F.col("__last"))
+        d = d.join(last, "__day").withColumn("__fresh", F.coalesce((seconds_between(F.col(ts), before) > gap_s).cast("int"), F.lit(1)))
+        so_far = d.groupBy("__day").agg(F.sum("__fresh").alias("__n")).withColumn("__n", F.coalesce(F.sum("__n").over(days.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        numbered = d.join(so_far, "__day").withColumn("session", F.col("__n") + F.sum("__fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
     more = [F.countDistinct(page).alias("pages")] if page else []
     return numbered.groupBy(*by, "session").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("n"), *more)
 
 
 def sweeps(deletes: DataFrame, gap_min: float = 30, by: list[str] | None = None) -> DataFrame:
     """Deletions in one go; one run over all channels unless ``by`` splits it."""
-    d = deletes if by else deletes.withColumn("all", F.lit(0))
-    return sessions(d, gap_min * 60, by or ["all"], order=["channel"], page="channel").drop("all")
+    return sessions(deletes.where("ts is not null"), gap_min * 60, by or [], order=["channel"], page="channel")
 
 
 def latest_versions(df: DataFrame, key: list[str], version: str, tie: str) -> DataFrame:
