@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh_dir, materialize
+from .store import fresh_dir, materialize, tidy
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -92,6 +92,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # full bytes of the hits against the kept row's, hot groups in slices
     members = rows.withColumn("digest", digest(F.col("norm"))).join(hit.select("digest", "keep_id", "group_size"), "digest")
     members = materialize(members.withColumn("slice", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.ceil(F.col("group_size") / SALT_ROWS)).cast("int")), "exact-hits")
+    tidy(spark)
     kept_text = members.where(F.col("id") == F.col("keep_id")).groupBy("digest").agg(F.min("norm").alias("kept_norm"), F.max("group_size").alias("n"))
     kept_text = kept_text.withColumn("slice", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SALT_ROWS).cast("int") - 1))).drop("n")
     unlike = members.join(kept_text, ["digest", "slice"]).where(F.col("norm") != F.col("kept_norm")).select("digest").distinct()

@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import materialize, partitions
-from .words import MIX, Rolling, mix, runs, text_bytes
+from .store import materialize, partitions, tidy
+from .words import BYTE_SYMBOLS, MIX, Rolling, mix, runs, text_bytes
 
 RUN = np.dtype([("h", "<u8"), ("s", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("at", "<u2"), ("many", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("lo", "<u4"), ("n", "<u2")])
-ASK = np.dtype([("h", "<u8"), ("lo", "<u4"), ("n", "<u2"), ("at", "<u2")])
+ASK = np.dtype([("h", "<u8"), ("lo", "<u4"), ("n", "<u2"), ("at", "<u2"), ("hot", "u1")])
+#: A k-mer between more contents than this is opened into single windows, which
+#: are dealt by their own hash: however many contexts it has, no task gets them all.
+HOT = 256
 #: Runs that a map task holds before it sends them.
 HELD = 1_500_000
 RUNS, SPANS, ASKS = 0, 1, 2
@@ -44,6 +47,7 @@ class Windows:
     k: int
     later: bool
     symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    as_bytes: bool = False  # the symbols stand for bytes, which travel in their place
 
 
 def window_runs(symbols: np.ndarray, offsets: np.ndarray, docs: np.ndarray, spec: Windows) -> np.ndarray:
@@ -131,7 +135,9 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 KEYED = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
-OPENED = pa.schema([("part", pa.int32()), ("head", pa.binary()), ("body", pa.binary())])
+OPENED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("head", pa.binary()), ("body", pa.binary())])
+CONTEXTS, WINDOWS, PASSED = 0, 1, 2
+WINDOW = np.dtype([("w", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("many", "u1")])
 HEAD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("at", "<u2")])
 
 
@@ -230,9 +236,15 @@ def repeated_windows(keyed: DataFrame, spec: Windows, same: Callable) -> DataFra
             yield from _batches(_per_doc(_spans(lone[lone["many"] > 0]), SPANS), KEYED)
         sure, heads, contents = _settle(r[~lonely], later)
         yield from _batches(_per_doc(_spans(sure), SPANS), KEYED)
-        yield from _batches(_per_doc(heads[contents > 1], ASKS), KEYED)
+        open_ = contents > 1
+        asks = np.empty(int(open_.sum()), np.dtype([("doc", "<i8"), *((n, ASK[n]) for n in ASK.names)]))
+        for f in ("doc", "h", "lo", "n", "at"):
+            asks[f] = heads[f][open_]
+        asks["hot"] = contents[open_] > HOT
+        yield from _batches(_per_doc(asks, ASKS), KEYED)
 
     met = materialize(keyed.select("key", "text").mapInArrow(cut, "part int, kind int, blob binary").repartition(partitions(spark), "part").mapInArrow(meet, "key bigint, kind int, blob binary"), "repeats")
+    tidy(spark)
 
     def open_up(batches):
         for batch in batches:
@@ -241,59 +253,121 @@ def repeated_windows(keyed: DataFrame, spec: Windows, same: Callable) -> DataFra
             data, offsets = text_bytes(batch.column(1))
             for a, b in runs(offsets):
                 symbols, at = spec.symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                heads, bodies = [], []
-                for i in range(a, b):
-                    q = np.concatenate([np.frombuffer(x, ASK) for x in asks[i]])
-                    head = np.empty(len(q), HEAD)
-                    for f in ("h", "lo", "n", "at"):
-                        head[f] = q[f]
-                    head["doc"] = keys[i]
-                    heads.append(head)
-                    bodies.append(at[i - a] + q["lo"].astype(np.int64))
-                head, first = np.concatenate(heads), np.concatenate(bodies)
-                part = (head["h"] >> np.uint64(33)) % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                head, first, part = head[order], first[order], part[order]
-                size = head["n"].astype(np.int64) + length - 1
-                ends = np.cumsum(size)
-                body = symbols[np.repeat(first - (ends - size), size) + np.arange(ends[-1])]
-                cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                stops = np.append(cuts[1:], len(head))
-                yield from _batches(
-                    ((int(part[x]), head[x:y].tobytes(), body[ends[x] - size[x] : ends[y - 1]].tobytes()) for x, y in zip(cuts, stops, strict=True)),
-                    OPENED,
-                )
-
-    def compare(batches):
-        heads, bodies = [], []
-        for batch in batches:
-            heads += [np.frombuffer(x, HEAD) for x in batch.column(1).to_pylist()]
-            bodies += [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-        if not heads:
+                plain = data[offsets[a] : offsets[b]] if spec.as_bytes else symbols
+                q = [np.concatenate([np.frombuffer(x, ASK) for x in asks[i]]) for i in range(a, b)]
+                sizes = [len(x) for x in q]
+                q = np.concatenate(q)
+                doc = np.repeat(np.array(keys[a:b], np.int64), sizes)
+                first = np.repeat(at[:-1], sizes) + q["lo"]
+                hot = q["hot"] > 0
+                yield from _batches(contexts(q[~hot], doc[~hot], first[~hot], plain), OPENED)
+                if hot.any():
+                    yield from _batches(windows(q[hot], doc[hot], first[hot], symbols, plain), OPENED)
+
+    def contexts(q, doc, first, plain) -> Iterator[tuple]:
+        """Whole runs with their symbols, by k-mer."""
+        if not len(q):
             return
-        head, symbols = np.concatenate(heads), np.concatenate(bodies)
-        n = head["n"].astype(np.int64)
-        size = n + length - 1
-        begin = np.cumsum(size) - size
-        run = np.repeat(np.arange(len(head)), n)
+        head = np.empty(len(q), HEAD)
+        for f in ("h", "lo", "n", "at"):
+            head[f] = q[f]
+        head["doc"] = doc
+        part = (head["h"] >> np.uint64(33)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        head, first, part = head[order], first[order], part[order]
+        size = head["n"].astype(np.int64) + length - 1
+        ends = np.cumsum(size)
+        body = plain[np.repeat(first - (ends - size), size) + np.arange(ends[-1])]
+        cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        for x, y in zip(cuts, np.append(cuts[1:], len(head)), strict=True):
+            yield int(part[x]), CONTEXTS, head[x:y].tobytes(), body[ends[x] - size[x] : ends[y - 1]].tobytes()
+
+    def windows(q, doc, first, symbols, plain) -> Iterator[tuple]:
+        """Single windows by their own hash, one of each content per task."""
+        n = q["n"].astype(np.int64)
+        run = np.repeat(np.arange(len(q)), n)
         j = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-        with np.errstate(over="ignore"):
-            segment = mix(head["h"][run] + (head["at"][run].astype(np.int64) - j).astype(np.uint64) * MIX)
-        group = same(symbols, begin[run] + j, segment)
-        doc, lo = head["doc"][run], head["lo"][run].astype(np.int64) + j
+        begin = first[run] + j
+        w = np.empty(len(run), WINDOW)
+        w["w"], w["doc"], w["lo"], w["many"] = mix(Rolling(symbols).of(begin, begin + length)), doc[run], q["lo"][run] + j, 0
+        order = np.lexsort((w["lo"], w["doc"], w["w"]))
+        w, begin = w[order], begin[order]
+        fresh = np.append(True, w["w"][1:] != w["w"][:-1])
+        heads = np.flatnonzero(fresh)
+        size = np.diff(np.append(heads, len(w)))
+        # equal hashes are verified before the copies stay behind
+        col = np.arange(length)
+        like = (plain[begin[:, None] + col] == plain[np.repeat(begin[heads], size)[:, None] + col]).all(1)
+        again = ~fresh & like
+        several = np.add.reduceat(again.astype(np.int64), heads) > 0
+        known = again if later else again | (fresh & np.repeat(several, size))
+        out = np.empty(int(known.sum()), SPAN)
+        out["doc"], out["lo"], out["n"] = w["doc"][known], w["lo"][known], 1
+        for p, blob in _by_part(out, mix(out["doc"].astype(np.uint64)) % np.uint64(parts)):
+            yield p, PASSED, blob, b""
+        send = fresh | ~like
+        w["many"][heads] = several
+        part = (w["w"][send] >> np.uint64(33)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        w, begin, part = w[send][order], begin[send][order], part[order]
+        cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        for x, y in zip(cuts, np.append(cuts[1:], len(w)), strict=True):
+            yield int(part[x]), WINDOWS, w[x:y].tobytes(), plain[begin[x:y, None] + col].tobytes()
+
+    def settled(group, doc, lo, many) -> Iterator[tuple]:
+        """Spans of the windows that repeat, from their class numbers."""
         order = np.lexsort((lo, doc, group))
         g = group[order]
         again = np.append(False, g[1:] == g[:-1])
         if not later:
             again |= np.append(again[1:], False)
-        hit = order[again & (g >= 0)]
+        again &= g >= 0
+        if not later:
+            again |= many[order] > 0
+        hit = order[again]
         out = np.empty(len(hit), SPAN)
         out["doc"], out["lo"], out["n"] = doc[hit], lo[hit], 1
-        yield from _batches(_per_doc(out, SPANS), KEYED)
+        return _per_doc(out, SPANS)
+
+    def compare(batches):
+        held: dict[int, tuple[list, list]] = {CONTEXTS: ([], []), WINDOWS: ([], [])}
+        for batch in batches:
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            passed = []
+            for kind, head, body in rows:
+                if kind == PASSED:
+                    passed.append(np.frombuffer(head, SPAN))
+                else:
+                    held[kind][0].append(np.frombuffer(head, HEAD if kind == CONTEXTS else WINDOW))
+                    held[kind][1].append(np.frombuffer(body, np.uint8 if spec.as_bytes else np.uint64))
+            if passed:
+                yield from _batches(_per_doc(np.concatenate(passed), SPANS), KEYED)
+        for kind, (heads, bodies) in held.items():
+            if not heads:
+                continue
+            head, symbols = np.concatenate(heads), np.concatenate(bodies)
+            heads.clear()
+            bodies.clear()
+            if spec.as_bytes:
+                symbols = BYTE_SYMBOLS[symbols]
+            if kind == WINDOWS:
+                group = same(symbols, np.arange(len(head)) * length, np.zeros(len(head), np.uint64))
+                yield from _batches(settled(group, head["doc"], head["lo"].astype(np.int64), head["many"]), KEYED)
+                continue
+            n = head["n"].astype(np.int64)
+            size = n + length - 1
+            begin = np.cumsum(size) - size
+            run = np.repeat(np.arange(len(head)), n)
+            j = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+            with np.errstate(over="ignore"):
+                segment = mix(head["h"][run] + (head["at"][run].astype(np.int64) - j).astype(np.uint64) * MIX)
+            group = same(symbols, begin[run] + j, segment)
+            yield from _batches(settled(group, head["doc"][run], head["lo"][run].astype(np.int64) + j, np.zeros(len(run), np.uint8)), KEYED)
 
     asked = met.where(F.col("kind") == ASKS).groupBy("key").agg(F.collect_list("blob").alias("asks"))
-    opened = keyed.select("key", "text").join(asked, "key").select("key", "text", "asks").mapInArrow(open_up, "part int, head binary, body binary")
+    opened = keyed.select("key", "text").join(asked, "key").select("key", "text", "asks").mapInArrow(open_up, "part int, kind int, head binary, body binary")
     found = materialize(opened.repartition(partitions(spark), "part").mapInArrow(compare, "key bigint, kind int, blob binary"), "repeats-opened")
+    tidy(spark)
     spans = met.where(F.col("kind") == SPANS).unionByName(found)
     return spans.groupBy("key").agg(F.collect_list("blob").alias("spans"))
 

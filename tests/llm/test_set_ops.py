@@ -48,6 +48,20 @@ def test_suffixes(spark, seed):
         assert (bytes(r["kept"]), r["n_removed"], len(r["removed_start"])) == want[r["id"]], r["id"]
 
 
+@pytest.mark.parametrize("hot", [0, 256])
+def test_hot_contexts(spark, monkeypatch, hot):
+    """One passage between many different texts; opened by window and by run."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(45)]
+    rows = [(i, " ".join([word() for _ in range(rng.randrange(9))] + passage[rng.choice((0, 0, 3)) :] + [word() for _ in range(rng.randrange(9))])) for i in range(60)]
+    got = {r["id"]: (r["kept"].encode(), r["n_removed"]) for r in debruijn.substring_dedup(docs(spark, rows)).collect()}
+    assert got == {i: w for (i, _), w in zip(rows, brute.substrings(rows, 35), strict=True)}
+    want = brute.suffixes(rows, 100)
+    assert {r["id"]: (bytes(r["kept"]), r["n_removed"], len(r["removed_start"])) for r in suffixes.suffix_dedup(docs(spark, rows)).collect()} == want
+
+
 def test_suffix_sorter():
     rng = np.random.default_rng(0)
     symbols = mix(rng.integers(1, 3, 600).astype(np.uint64))
