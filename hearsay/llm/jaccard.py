@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import _batches, _by_part, with_key
-from .store import materialize, partitions
+from .store import materialize, partitions, tidy
 from .words import LOWER, MIX, Rolling, mix, runs, text_bytes, word_hashes, words_of
 
 #: Lists up to this length are paired out.
@@ -241,24 +241,30 @@ def _candidates(index: DataFrame, percent: int) -> DataFrame:
     return index.repartition(partitions(index.sparkSession), "part").mapInArrow(run, "kind int, tok bigint, a bigint, b bigint, n bigint, pos bigint")
 
 
-def verify(pairs: DataFrame, content: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n_a, n_b, overlap, linked) for pairs of sets; content: set, items."""
+def verify(pairs: DataFrame, members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b, overlap, linked) for pairs of sets.
+
+    Who stands where is settled in narrow rows; then each set's text (of its
+    smallest key) moves to the slices that need it, and the shingles are made
+    there: texts are half the size of their shingles and compress.
+    """
     slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
-    right = pairs.join(content.select(F.col("set").alias("b"), "items"), "b").join(slices, "a")
-    right = right.select("a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), "b", "items")
-    left = content.select(F.col("set").alias("a"), "items").join(slices, "a").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    left = left.select("a", "slice", F.lit(None).cast("bigint").alias("b"), "items")
-    both = left.unionByName(right).repartition(partitions(pairs.sparkSession), "a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
+    right = pairs.join(slices, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("role"), F.col("b").alias("set"))
+    left = slices.select("a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("role"), F.col("a").alias("set"))
+    speaker = members.where("set is not null").groupBy("set").agg(F.min("key").alias("key"))
+    placed = left.unionByName(right).join(speaker, "set").join(texts, "key").select("a", "slice", "role", "set", "text")
+    both = placed.repartition(partitions(pairs.sparkSession), "a", "slice").sortWithinPartitions("a", "slice", "role", "set")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("overlap", pa.int64()), ("linked", pa.bool_())])
 
     def run(batches):
         current, items = None, None
         for batch in batches:
+            data, offsets = text_bytes(batch.column(4))
+            sets = (s for x, y in runs(offsets) for s in shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], words))
             out = []
-            for a, b, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                s = np.frombuffer(raw.as_buffer(), np.uint64)
-                if b is None:
-                    current, items = a, s.copy()
+            for a, role, b, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), sets, strict=True):
+                if role == 0:
+                    current, items = a, s
                 elif a == current:
                     at = np.minimum(np.searchsorted(items, s), len(items) - 1)
                     both = int((items[at] == s).sum())
@@ -350,24 +356,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     members = profile.where("kind = 0").select("key", "set", "n")
     frequent = _frequent(profile, spark)
     found = materialize(_candidates(_index(texts, words, percent, frequent, parts), percent), "jaccard-candidates")
+    tidy(spark)
     pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
     lists = found.where(F.col("kind") == LIST).select("tok", "a", "b", "n", "pos")
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(lists.select("b")).distinct()
-    speaker = members.join(wanted, "set").groupBy("set").agg(F.min("key").alias("key"))
 
-    def items(batches):
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            out = [s.tobytes() for a, b in runs(offsets) for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["set", "items"])
+    def checked_pairs(some: DataFrame) -> DataFrame:
+        return materialize(verify(some, members, texts, words, percent), "jaccard-checked")
 
-    content = materialize(texts.join(speaker, "key").select("set", "text").mapInArrow(items, "set bigint, items binary"), "jaccard-items")
-    checked = materialize(verify(pairs, content, percent), "jaccard-checked")
+    checked = checked_pairs(pairs)
     links = checked.where("linked").select("a", "b")
     roots = components(links)
     left = materialize(_across(lists, roots, checked, percent), "jaccard-across")
     if not left.isEmpty():
-        more = verify(left.where(~F.col("sure")).select("a", "b"), content, percent).where("linked").select("a", "b")
+        more = checked_pairs(left.where(~F.col("sure")).select("a", "b")).where("linked").select("a", "b")
         roots = components(links.unionByName(left.where("sure").select("a", "b")).unionByName(more))
     rooted = members.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("key").alias("least"))
