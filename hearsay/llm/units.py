@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 
 #: A worker forgets all units once it holds this many; memory stays bounded.
-UNIT_LIMIT = 300_000
+UNIT_LIMIT = 800_000
 
 
 class UnitCache:
