@@ -224,11 +224,24 @@ def _index(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, parts
     return docs.mapInArrow(run, "part int, blob binary")
 
 
-def _candidates(index: DataFrame, percent: int) -> DataFrame:
+def _candidates(index: DataFrame, percent: int, lengths_only: bool = False) -> DataFrame:
+    """Pairs of short lists and stars of long ones (PAIR: a, b), and the entries of
+    long lists (LIST: tok, first set, set, n, pos).  ``lengths_only``: the long
+    lists' tokens and lengths (tok, n) alone."""
+
     def run(batches):
         blobs = [np.frombuffer(x, ENTRY) for batch in batches for x in batch.column(1).to_pylist()]
         if not blobs:
             return
+        if lengths_only:
+            e = np.concatenate(blobs)
+            e = e[np.lexsort((e["set"], e["tok"]))]
+            e = e[np.append(True, (e["tok"][1:] != e["tok"][:-1]) | (e["set"][1:] != e["set"][:-1]))]
+            tok, n = np.unique(e["tok"], return_counts=True)
+            tok, n = tok[n > SMALL], n[n > SMALL]
+            none = np.zeros(len(tok), np.int64)
+            yield _columns(FOUND, np.full(len(tok), LIST, np.int32), tok.view(np.int64), none, none, n, none)
+            return
         a, b, rest = join_lists(np.concatenate(blobs), percent)
         none = np.zeros(len(a), np.int64)
         if len(a):
@@ -355,6 +368,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     profile = materialize(_profile(texts, words, parts), "jaccard-sets")
     members = profile.where("kind = 0").select("key", "set", "n")
     frequent = _frequent(profile, spark)
+    # a first index finds the shingles whose lists are long; they go behind the
+    # rest of the order, and the second index has short lists
+    met = _candidates(_index(texts, words, percent, frequent, parts), percent, lengths_only=True)
+    long = materialize(met.select("tok", "n"), "jaccard-lists").orderBy(F.desc("n"), "tok").limit(FREQUENT).collect()
+    known = dict.fromkeys(frequent.view(np.int64).tolist())
+    # those of the sample stay the most frequent, the new ones follow by length
+    more = [r["tok"] for r in long if r["tok"] not in known]
+    frequent = np.array([*known, *more][:FREQUENT], np.int64).view(np.uint64)
+    tidy(spark)
     found = materialize(_candidates(_index(texts, words, percent, frequent, parts), percent), "jaccard-candidates")
     tidy(spark)
     pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
