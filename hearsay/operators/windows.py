@@ -89,21 +89,35 @@ def window_join(events: DataFrame, windows: DataFrame, key: str, window_id: str,
     return out.select(event_id, F.coalesce("held.w", "near.w").alias(window_id), F.when(F.col("held").isNotNull(), True).when(F.col("near").isNotNull(), False).alias("in_window"))
 
 
-def era_join(events: DataFrame, eras: DataFrame, bucket_s: int, era_id: str = "era_id", event_id: str = "event_id", most_buckets: int = 10_000) -> DataFrame:
-    """Interval join without a key: windows are cut into buckets of ``bucket_s``
-    and meet the events of the same bucket; the latest window wins.  Windows that
-    are open on a side, or longer than ``most_buckets`` buckets, are few and meet
-    events by range; they are broadcast only through Spark's own size check."""
-    lo, hi = F.floor(F.unix_seconds("start") / bucket_s), F.floor(F.unix_seconds("end") / bucket_s)
-    w = eras.select(F.col(era_id).alias("w"), "start", "end", lo.alias("lo"), hi.alias("hi"))
-    short = F.coalesce(F.col("hi") - F.col("lo") < most_buckets, F.lit(False))
-    ev = events.select(event_id, "ts").withColumn("bucket", F.floor(F.unix_seconds("ts") / bucket_s))
-    cut = w.where(short & (F.col("hi") >= F.col("lo"))).withColumn("bucket", F.explode(F.sequence("lo", "hi")))
-    score = F.struct(F.coalesce("start", F.lit("0001-01-01").cast("timestamp")).alias("s"), F.col("w"))
-    held = ev.join(cut.select("w", "start", "end", "bucket"), "bucket").where(_inside(F.col("ts"), F.col("start"), F.col("end"))).select(event_id, score.alias("h"))
-    wide = ev.join(w.where(~short).select("w", "start", "end"), (F.col("start").isNull() | (F.col("start") <= F.col("ts"))) & (F.col("end").isNull() | (F.col("ts") < F.col("end")))).select(event_id, score.alias("h"))
-    best = held.unionByName(wide).groupBy(event_id).agg(F.max("h").alias("h"))
-    return events.select(event_id).join(best, event_id, "left").select(event_id, F.col("h.w").alias(era_id))
+def era_join(events: DataFrame, eras: DataFrame, bucket_s: int, era_id: str = "era_id", event_id: str = "event_id") -> DataFrame:
+    """Interval join without a key; the latest window wins.
+
+    Time is cut into buckets of ``bucket_s``.  The buckets that a window covers
+    wholly are a few nodes of a binary tree over the buckets, and a node keeps its
+    latest window only; a bucket asks its ancestors.  Only the buckets in which a
+    window begins or ends compare events with that window.
+    """
+    step, far = bucket_s * 1_000_000, 1 << 40
+    at = lambda c: F.floor(F.unix_micros(c) / F.lit(step)).cast("bigint")
+    lo, hi = at("start"), at("end")
+    first = F.when(F.unix_micros("start") == lo * step, lo).otherwise(F.coalesce(lo + 1, F.lit(-far)))
+    h = F.struct(F.coalesce("start", F.lit("0001-01-01").cast("timestamp")).alias("s"), F.col(era_id).alias("w"))
+    w = eras.select("start", "end", lo.alias("lo"), hi.alias("hi"), first.alias("a"), F.coalesce(hi, F.lit(far)).alias("b"), h.alias("h"))
+    ranges = w.groupBy("a", "b").agg(F.max("h").alias("h"))
+    left, right = "-shiftright(-a, k)", "shiftright(b, k)"
+    ends = [f"if({left} < {right} and {x} % 2 <> 0, named_struct('k', k, 'node', {y}), null)" for x, y in ((left, left), (right, f"{right} - 1"))]
+    covered = F.expr(f"filter(flatten(transform(sequence(0, 41), k -> array({', '.join(ends)}))), x -> x is not null)")
+    always = F.when((F.col("a") == -far) & (F.col("b") == far), F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast("bigint").alias("node")))).otherwise(F.expr("cast(array() as array<struct<k:int,node:bigint>>)"))
+    nodes = ranges.select("h", F.explode(F.concat(covered, always)).alias("n")).groupBy("n.k", "n.node").agg(F.max("h").alias("h"))
+    ev = events.select(event_id, "ts", at("ts").alias("bucket"))
+    # an event without a time is held by windows without a start and an end
+    up = F.expr("if(bucket is null, array(named_struct('k', -1, 'node', 0L)), transform(sequence(0, 41), k -> named_struct('k', k, 'node', shiftright(bucket, k))))")
+    best = ev.select("bucket").distinct().select("bucket", F.explode(up).alias("n")).select("bucket", "n.k", "n.node").join(nodes, ["k", "node"]).groupBy("bucket").agg(F.max("h").alias("h"))
+    whole = ev.join(best, ev["bucket"].eqNullSafe(best["bucket"])).select(event_id, "h")
+    edges = w.select("start", "end", "h", F.explode(F.array_compact(F.array_distinct(F.array(*[F.when(F.unix_micros(c) != F.col(n) * step, F.col(n)) for c, n in (("start", "lo"), ("end", "hi"))])))).alias("bucket"))
+    part = ev.join(edges, "bucket").where(_inside(F.col("ts"), F.col("start"), F.col("end"))).select(event_id, "h")
+    held = whole.unionByName(part).groupBy(event_id).agg(F.max("h").alias("h"))
+    return events.select(event_id).join(held, event_id, "left").select(event_id, F.col("h.w").alias(era_id))
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, value: str) -> DataFrame:
