@@ -1,12 +1,15 @@
 """License scans.  DataFrame operations only.
 
 Base: places where the words of a known phrase stand consecutively.
-Method: an exact set-similarity join of the texts' lines with license templates.
-Tokens are ordered by their frequency over all documents, rarest first; a line
-and a template can only reach the containment threshold if the line holds one
-of the template's first tokens in that order (prefix filter), enough tokens at
-all (length filter) and enough room after the shared token on both sides
-(positional filter).  Pairs that pass are verified by their intersection.
+Method: an exact set-similarity join of word windows with license templates.
+A window slides over the whole text, across line breaks, and is a quarter longer
+than the template (``reach``).  Tokens are ordered by their frequency over all
+documents, rarest first; a window and a template can only reach the containment
+threshold if the window holds one of the template's first tokens in that order
+(prefix filter), enough tokens at all (length filter) and enough room after the
+shared token on both sides (positional filter).  Only windows around a place of
+such a first token are formed, and only if the words around it hold enough of the
+template.  Pairs that pass are verified by their intersection.
 
 Defined results: a null or empty text has no words, no labels and score 0;
 repeated rows repeat; other columns are ignored.
@@ -64,6 +67,11 @@ def needed(tokens: int, threshold: float) -> int:
     return math.ceil(threshold * tokens - 1e-9)
 
 
+def reach(words: int) -> int:
+    """Words of a window: those of a notice, and a few that stand between them."""
+    return words + max(1, words // 4)
+
+
 def token_order(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> list[str]:
     """The templates' tokens, rarest over all documents first.  As many rows as
     the templates have tokens come to the driver, whatever the input."""
@@ -82,8 +90,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     index = []
     for label, t in templates:
         ids = sorted(rank[w] for w in set(t.split()))
-        index.append((label, ids, needed(len(ids), threshold)))
-    prefix = sorted({i for _, ids, need in index for i in ids[: len(ids) - need + 1]})
+        index.append((label, ids, needed(len(ids), threshold), reach(len(t.split()))))
+    prefix = sorted({i for _, ids, need, _ in index for i in ids[: len(ids) - need + 1]})
     df = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     df = df.withColumn("__flat", _flat(F.col("__text")))
     df = df.withColumn("n_words", F.when(F.col("__flat") == "  ", F.lit(0)).otherwise(_spaces(F.col("__flat")) - 1).cast("bigint"))
@@ -99,14 +107,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         labels.append(F.when(F.col(name).isNotNull(), F.lit(label)))
     n_base = sum(counts[1:], counts[0])
     base = F.array_sort(F.array_distinct(F.filter(F.array(*labels), lambda x: x.isNotNull())))
-    # lines of the few documents that hold a prefix token at all
+    # places of template tokens in the few documents that hold a prefix token at all
     may = F.arrays_overlap(F.split(F.col("__flat"), " "), F.array([F.lit(order[i]) for i in prefix]))
     places = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
-    vocabulary = F.array([F.lit(w) for w in order])
-    lines = F.when(may, F.split(F.col("__text"), "\n")).otherwise(F.array().cast("array<string>"))
-    blocks = F.transform(lines, lambda x: F.array_sort(F.transform(F.array_intersect(F.split(_flat(x), " "), vocabulary), lambda w: F.element_at(places, w))))
-    # a template: its tokens in order, the overlap it needs, its label
-    table = F.array([F.struct(F.lit(label).alias("label"), F.array([F.lit(i) for i in ids]).alias("ids"), F.array([F.lit(i) for i in ids[: len(ids) - need + 1]]).alias("prefix"), F.lit(need).alias("need")) for label, ids, need in index])
+    words = F.when(may, F.split(F.trim("__flat"), " ")).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn("__ids", F.transform(words, lambda w: F.coalesce(F.try_element_at(places, w), F.lit(-1))))
+    first_tokens = F.array([F.lit(i) for i in prefix])
+    anchors = F.filter(F.transform("__ids", lambda x, i: F.struct(x.alias("token"), (i + 1).alias("place"))), lambda a: F.array_contains(first_tokens, a["token"]))
+    # a template: its tokens in order, the overlap it needs, its label, the words of its windows
+    table = F.array([F.struct(F.lit(label).alias("label"), F.array([F.lit(i) for i in ids]).alias("ids"), F.array([F.lit(i) for i in ids[: len(ids) - need + 1]]).alias("prefix"), F.lit(need).alias("need"), F.lit(size).alias("size")) for label, ids, need, size in index])
 
     def could(b: Column, t: Column) -> Column:
         long_enough = F.size(b) >= t["need"]
@@ -118,7 +127,21 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def overlap(b: Column, t: Column) -> Column:
         return F.size(F.array_intersect(b, t["ids"]))
 
-    found = F.flatten(F.transform(blocks, lambda b: F.transform(F.filter(table, lambda t: could(b, t) & (overlap(b, t) >= t["need"])), lambda t: F.struct((overlap(b, t) / F.size(t["ids"])).alias("score"), t["label"].alias("label")))))
+    def start(a: Column, t: Column) -> Column:
+        return F.greatest(F.lit(1), a["place"] - t["size"] + 1)
+
+    def near(a: Column, t: Column) -> Column:
+        around = F.slice("__ids", start(a, t), a["place"] + t["size"] - start(a, t))
+        return F.array_contains(t["prefix"], a["token"]) & (overlap(around, t) >= t["need"])
+
+    def windows(a: Column, t: Column) -> Column:
+        return F.transform(F.sequence(start(a, t), a["place"]), lambda i: F.array_sort(F.array_distinct(F.filter(F.slice("__ids", i, t["size"]), lambda x: x >= 0))))
+
+    def scores(a: Column, t: Column) -> Column:
+        held = F.filter(windows(a, t), lambda b: could(b, t) & (overlap(b, t) >= t["need"]))
+        return F.transform(held, lambda b: F.struct((overlap(b, t) / F.size(t["ids"])).alias("score"), t["label"].alias("label")))
+
+    found = F.flatten(F.transform(anchors, lambda a: F.flatten(F.transform(F.filter(table, lambda t: near(a, t)), lambda t: scores(a, t)))))
     df = df.withColumn("__base", base).withColumn("__found", found).withColumn("__n", n_base.cast("bigint"))
     first = F.least(*firsts, F.lit(None).cast("int")).cast("bigint")
     last = F.greatest(*lasts, F.lit(None).cast("bigint")).cast("bigint")

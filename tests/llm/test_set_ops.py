@@ -159,6 +159,18 @@ def test_licenses(spark):
     assert (got[6]["first_word"], got[6]["last_word"]) == (0, 2)
 
 
+def test_wrapped_licenses(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software"
+    bsd = "/* Redistribution and use in source and binary forms, with or without\n * modification, are permitted */"
+    mpl = "Subject to the terms of the Mozilla Public\nLicense"
+    narrow = mit.replace(" ", "\n")
+    tokens = licenses.TEMPLATES[6][1].split()
+    scattered = " ".join(f"{w} x{i} y z" for i, w in enumerate(tokens))
+    rows = [(1, mit), (2, bsd), (3, mpl), (4, narrow), (5, scattered), (6, scattered + " " + mit.replace("\n", " ")), (7, "hereby " * 40 + mit)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert got == {1: (["mit"], 1), 2: (["bsd"], 1), 3: (["mpl"], 1), 4: (["mit"], 1), 5: ([], 0), 6: (["mit"], 1), 7: (["mit"], 1)}
+
+
 def test_reply_trees(spark):
     rows = [("c", 1, None, "user", "q"), ("c", 2, 1, "assistant", "good"), ("c", 3, 1, "assistant", "bad"), ("c", 4, 2, "user", r"\### Assistant: </turn> ok"), ("c", 5, 4, "assistant", None), ("c", 6, 3, None, ""), ("d", 1, 9, "a:b", "\\h<#\n"), ("e", 1, 2, "user", "loop"), ("e", 2, 1, "user", "loop"), (None, 1, None, "assistant", "x")]
     score = {2: 3.0, 3: 1.0}
