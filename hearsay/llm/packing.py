@@ -1,15 +1,20 @@
 """Packing documents into fixed windows by lexical retrieval.
 
-Each task builds BM25 inverted indexes over shards of the documents it reads.
-A window starts with a seed document (or what was left of the last one that was
+Documents are tokenised once, into a table.  Document frequency, document count
+and mean length are counted over all of it.  Then documents are routed by content:
+they are dealt and sorted by their rarest indexed terms, so that those that share
+them meet in one shard whatever the files they came from, and each task builds BM25
+inverted indexes over its shards, with the weights of the whole corpus.  Documents
+that share only commoner terms may lie in different shards.  A window starts with a seed document (or what was left of the last one that was
 cut); the index ranks the shard's unused documents against the seed's tokens
 and the best neighbours fill the window.  A document that does not fit is cut
 and its rest opens the next window, so full windows carry no padding.  A shard's
-last, unfilled window is cut at powers of two, which need no padding either.
+last, unfilled window is cut at powers of two, which need no padding either.  A
+document as long as a shard fills windows of its own with all but its end.
 
 Defined results: null and empty texts are documents of the end token alone;
 repeated rows and repeated or null ids are documents of their own; ties of the
-score go to the earlier document of the shard; an empty table packs to no rows;
+score go to the earlier document of the shard in the order of routing; an empty table packs to no rows;
 other columns are ignored.
 """
 
@@ -28,9 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .store import materialize, partitions
 from .units import UnitCache, filled, groups
 
 K1, B = 1.2, 0.75
+#: Documents are routed by so many terms; those that have fewer go last.
+KEYS, LAST = 4, np.iinfo(np.int32).max
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -84,26 +92,49 @@ class WordTokenizer:
         return [ids[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
 
 
-class Bm25:
-    """An inverted index over one shard: term -> documents with their BM25 weight.
+class Corpus:
+    """Document frequency by term, documents and mean length of all documents."""
 
-    Terms of one document, and terms of more than half of the documents (whose
-    BM25 weight is negative), rank nothing and are left out.
-    """
+    def __init__(self, df: np.ndarray, n: int, tokens: int):
+        self.df, self.n, self.mean = df, n, tokens / max(n, 1)
+        # terms of one document, and terms of more than half of the documents
+        # (whose BM25 weight is negative), rank nothing and are left out
+        self.indexed = (df > 1) & (2 * df <= n)
+        self.idf = np.log((n - df + 0.5) / (df + 0.5))
+        self.rank = np.empty(len(df), np.int32)
+        self.rank[np.argsort(df, kind="stable")] = np.arange(len(df), dtype=np.int32)
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Corpus:
+        return cls(frequency(docs), len(docs), sum(map(len, docs)))
+
+    def rarest(self, terms: np.ndarray, k: int) -> np.ndarray:
+        r = np.sort(self.rank[terms[self.indexed[terms]]])[:k]
+        return np.concatenate([r, np.full(k - len(r), LAST, np.int32)])
+
+
+def frequency(docs: list[np.ndarray]) -> np.ndarray:
+    found = [np.unique(d) for d in docs]
+    return np.bincount(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+class Bm25:
+    """An inverted index over one shard: term -> documents with their BM25 weight
+    in the whole corpus.  ``counts``: terms and their counts of each document."""
 
-    def __init__(self, docs: list[np.ndarray]):
-        self.n = n = len(docs)
-        lens = np.array([len(d) for d in docs])
-        flat = np.concatenate(docs).astype(np.int64)
-        owner = np.repeat(np.arange(n), lens)
-        keys, tf = np.unique(flat * n + owner, return_counts=True)
-        term, doc = keys // n, keys % n
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], corpus: Corpus):
+        self.n = n = len(counts)
+        lens = np.array([c.sum() for _, c in counts])
+        doc = np.repeat(np.arange(n), [len(t) for t, _ in counts])
+        term, tf = np.concatenate([t for t, _ in counts]), np.concatenate([c for _, c in counts])
+        order = np.argsort(term, kind="stable")
+        term, doc, tf = term[order], doc[order], tf[order]
         first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
         df = np.diff(np.append(first, len(term)))
-        keep = (df > 1) & (2 * df <= n)
-        idf = np.log((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lens / max(lens.mean(), 1))
-        weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[doc])
+        # what no other document of the shard holds finds nothing here
+        keep = (df > 1) & corpus.indexed[term[first]]
+        norm = K1 * (1 - B + B * lens / max(corpus.mean, 1))
+        weight = corpus.idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         kept = np.repeat(keep, df)
         self.doc, self.weight = doc[kept], weight[kept].astype(np.float32)
         self.df = df[keep]
@@ -127,9 +158,9 @@ class Bm25:
         return hits[np.argsort(-score[hits], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
+def pack_shard(docs: list[np.ndarray], window: int, corpus: Corpus | None = None, counts: list | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Windows as lists of (document, first id, number of ids)."""
-    index = Bm25(docs)
+    index = Bm25(counts or [np.unique(d, return_counts=True) for d in docs], corpus or Corpus.of(docs))
     used = np.zeros(len(docs), bool)
     rest: tuple[int, int] | None = None
     nxt = 0
@@ -187,53 +218,123 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def _words(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, shard_tokens: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``id_col``, ``start``, ``length``, ``ids`` (binary:
     little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``.
 
     ``shard_tokens`` bounds a shard's memory; every document is packed.
     """
+    spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     kind = src.schema["__id"].dataType.simpleString()
     end = np.array([end_id], np.int32)
+    # two bytes an id where the vocabulary allows it
+    kept_as = "<u2" if max(_words(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
 
-    def run(batches):
+    def tokenise(batches):
         tok = _tokenizer(tokenizer)
         task = TaskContext.get()
+        at = (task.partitionId() if task else 0) << 33
+        for batch in batches:
+            texts = filled(batch.column(1))
+            for a, b in groups(texts):
+                raw = [np.concatenate([t, end]).astype(kept_as).tobytes() for t in tok.encode(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(raw, pa.binary()), pa.array(range(at, at + b - a), pa.int64())], names=["__id", "__ids", "__at"])
+                at += b - a
+
+    tokens = materialize(src.mapInArrow(tokenise, f"__id {kind}, __ids binary, __at bigint"), "packing-tokens")
+
+    def count(batches):
+        _tokenizer.cache_clear()  # the workers stay, and no longer need what they remember of words
+        df, n, size = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            found = _documents(batch.column(0), kept_as)
+            more = frequency(found)
+            wide = max(len(df), len(more))
+            df = np.pad(df, (0, wide - len(df))) + np.pad(more, (0, wide - len(more)))
+            n, size = n + len(found), size + sum(map(len, found))
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append([-1, -2], held), pa.int64()), pa.array(np.append([n, size], df[held]), pa.int64())], names=["term", "df"])
+
+    # as many rows as the vocabulary has terms, whatever the input
+    counted = {r["term"]: r["df"] for r in tokens.select("__ids").mapInArrow(count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()}
+    n, size = counted.pop(-1, 0), counted.pop(-2, 0)
+    df = np.zeros(max(counted, default=-1) + 1, np.int64)
+    df[list(counted)] = list(counted.values())
+    corpus = Corpus(df, n, size)
+    keys = [f"__r{i}" for i in range(KEYS)]
+
+    def route(batches):
+        _tokenizer.cache_clear()
+        for batch in batches:
+            found = _documents(batch.column(1), kept_as)
+            r = np.array([corpus.rarest(np.unique(d), KEYS) for d in found], np.int32).reshape(-1, KEYS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(r[:, i], pa.int32()) for i in range(KEYS)]], names=["__id", "__ids", "__at", *keys])
+
+    shards = -(-size // shard_tokens)
+    parts = max(1, min(shards, max(partitions(spark), -(-shards // 8))))
+    routed = tokens.mapInArrow(route, f"__id {kind}, __ids binary, __at bigint, " + ", ".join(f"{k} int" for k in keys))
+    routed = routed.repartitionByRange(parts, *keys, "__at").sortWithinPartitions(*keys, "__at").select("__id", "__ids")
+
+    def run(batches):
+        _tokenizer.cache_clear()
+        task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 32
-        shard: list[np.ndarray] = []
-        ids: list = []
+        id_type = pa.int64()
+        shard: list[tuple] = []  # id, ids that are left, their start, terms and counts, all ids
+        out: list[list] = [[], [], [], [], [], [], []]
         size = 0
 
-        def flush():
-            nonlocal sequence, shard, ids, size
-            raw = [d.astype("<u4") for d in shard]
-            out: list[list] = [[], [], [], [], [], [], []]
-            for full in pack_shard(shard, window):
-                parts = [full] if sum(p[2] for p in full) == window else cut_at_powers(full)
-                for part in parts:
-                    at = 0
-                    for d, a, n in part:
-                        for c, v in zip(out, (ids[d], a, n, raw[d][a : a + n].tobytes(), len(shard[d]), sequence, at), strict=True):
-                            c.append(v)
-                        at += n
-                    sequence += 1
-            shard, ids, size = [], [], 0
+        def put(part):
+            nonlocal sequence
+            at = 0
+            for key, a, ids, total in part:
+                for c, v in zip(out, (key, a, len(ids), ids.astype("<u4").tobytes(), total, sequence, at), strict=True):
+                    c.append(v)
+                at += len(ids)
+            sequence += 1
+
+        def rows():
+            nonlocal out
             kinds = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["__id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["__id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            out = [[], [], [], [], [], [], []]
+            return batch
+
+        def flush():
+            nonlocal shard, size
+            for full in pack_shard([x[1] for x in shard], window, corpus, [x[3] for x in shard]):
+                for part in [full] if sum(p[2] for p in full) == window else cut_at_powers(full):
+                    put([(shard[d][0], shard[d][2] + a, shard[d][1][a : a + k], shard[d][4]) for d, a, k in part])
+            shard, size = [], 0
+            return rows()
 
-        id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
-            texts, keys = filled(batch.column(1)), batch.column(0).to_pylist()
-            for a, b in groups(texts):
-                for key, t in zip(keys[a:b], tok.encode(texts[a:b]), strict=True):
-                    shard.append(np.concatenate([t, end]))
-                    ids.append(key)
-                    size += len(t) + 1
-                    if size >= shard_tokens:
-                        yield flush()
+            for key, ids in zip(batch.column(0).to_pylist(), _documents(batch.column(1), kept_as), strict=True):
+                counts, total, start = np.unique(ids, return_counts=True), len(ids), 0
+                if total >= shard_tokens:
+                    # whole windows of one document need no neighbours; its end does
+                    start = (total - 1) // window * window
+                    for a in range(0, start, window):
+                        put([(key, a, ids[a : a + window], total)])
+                    yield rows()
+                    ids = ids[start:].copy()
+                shard.append((key, ids, start, counts, total))
+                size += max(len(ids), len(counts[0]))
+                if size >= shard_tokens:
+                    yield flush()
         if shard:
             yield flush()
 
-    return src.mapInArrow(run, f"__id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint").withColumnRenamed("__id", id_col)
+    return routed.mapInArrow(run, f"__id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint").withColumnRenamed("__id", id_col)
+
+
+def _documents(column, kept_as: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, kept_as).astype(np.int32) for x in column.to_pylist()]

@@ -90,6 +90,45 @@ def test_packing_takes_neighbours_first():
     assert [d for d, _, _ in first] == [0, 2]
 
 
+def test_packing_searches_all_documents(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4))
+    topics = [" ".join(word() for _ in range(30)) for _ in range(40)]
+    texts = topics + topics  # a copy of each lies 40 documents on, in another partition
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartitionByRange(8, "doc_id")
+    rows = packing.pack(table, P.path("word_bpe_49k.json"), window=256, shard_tokens=1000).collect()
+    together, shards = {}, {r["sequence_id"] >> 32 for r in rows}
+    for r in rows:
+        together.setdefault(r["sequence_id"], set()).add(r["doc_id"] % 40)
+        together.setdefault(("docs", r["sequence_id"]), set()).add(r["doc_id"])
+    met = {d % 40 for k, v in together.items() if isinstance(k, tuple) for d in v if d + 40 in v}
+    assert len(shards) > 1 and len(met) >= 30
+
+
+def test_packing_weighs_by_the_corpus():
+    shard = [np.array(x) for x in ([1, 2, 3, 9], [1, 1, 4, 9], [2, 5, 6, 9], [7, 8, 7, 9], [8, 6, 5, 9])]
+    df = np.array([0, 400, 3, 2, 2, 2, 2, 2, 2, 1000])  # 1 is common in the corpus, though not in this shard
+    index = packing.Bm25([np.unique(d, return_counts=True) for d in shard], packing.Corpus(df, 1000, 4000))
+    assert index.ranked(0, np.array([True, False, False, False, False])).tolist() == [2, 1]
+    own = packing.Bm25([np.unique(d, return_counts=True) for d in shard], packing.Corpus.of(shard))
+    assert own.ranked(0, np.array([True, False, False, False, False])).tolist() == [1, 2]
+
+
+def test_packing_a_document_longer_than_a_shard(spark):
+    texts = ["alpha beta gamma", "delta epsilon", LONG, "alpha beta gamma", "delta", "some other words", "more of other words"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    rows = packing.pack(docs(spark, texts).coalesce(1), P.path("word_bpe_49k.json"), window=64, shard_tokens=6000).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    length, total = {}, {}
+    for r in rows:
+        length[r["sequence_id"]] = length.get(r["sequence_id"], 0) + r["length"]
+        total[r["doc_id"]] = r["doc_tokens"]
+    assert max(total.values()) > 6000 and sum(length.values()) == sum(total.values())
+    # one shard: only its last window is cut
+    assert sum(n < 64 for n in length.values()) == (sum(total.values()) % 64).bit_count()
+
+
 def test_query_columns(spark, data):
     r = queries.op1_packing(spark, data)
     assert r.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
