@@ -72,11 +72,8 @@ def read_json(spark: SparkSession, where: str | None, multi_line: bool = False)
         root, member = where.split("!", 1)
         text = _members(spark, root, member).select("text")
         lines = text if multi_line else text.select(F.explode(F.split("text", "\n")).alias("text")).where(F.trim("text") != "")
-        sample = lines.limit(200).collect()
-        if not sample:
-            return None
-        schema = spark.read.json(spark.createDataFrame(sample, "text string").rdd.map(lambda r: r[0])).schema
-        return lines.select(F.from_json("text", schema).alias("r")).select("r.*")
+        # the schema comes from all lines, as that of a file in a folder does
+        return None if lines.isEmpty() else spark.read.json(lines.rdd.map(lambda r: r[0]))
     return spark.read.option("multiLine", multi_line).json(where)
 
 

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from hearsay import sources
 from hearsay.plans import pipeline
+from hearsay.sources import files
 from hearsay.synth import CONFIG, simulate
 
 
@@ -68,6 +69,25 @@ def test_wiki(spark, tmp_path, zipped):
     assert b.notes["delete_request_lag_s"] == {2: 1} and b.notes["human_handles"] == ["Admin"]
 
 
+def test_zipped_like_unpacked(spark, tmp_path):
+    revs, events = wiki_rows()
+    first = {k: v for k, v in revs[0].items() if k not in ("relation_type", "related_event_id", "round_id")}
+    many = [first | {"rev_id": f"a{i:03}", "page_id": "dse/Q", "time": "2026-05-01T10:00:00Z"} for i in range(250)] + revs
+    mixed = [{"n": i} for i in range(250)] + [{"n": "x", "late": {"deep": 1}}]
+    lines(tmp_path / "revisions.jsonl", many)
+    lines(tmp_path / "events.jsonl", events)
+    lines(tmp_path / "mixed.jsonl", mixed)
+    where = str(tmp_path / "dump.zip")
+    with zipfile.ZipFile(where, "w") as z:
+        for n in ("revisions", "events", "mixed"):
+            z.write(tmp_path / f"{n}.jsonl", f"x/{n}.jsonl")
+    got, want = (files.read_json(spark, files.find(spark, w, "mixed.jsonl")) for w in (where, str(tmp_path)))
+    assert got.schema == want.schema and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert got.where("late.deep = 1 and n = 'x'").count() == 1
+    acts = {r["action"]: r for r in sources.get("wiki").load(spark, where).lifecycle.collect()}
+    assert acts["recreate"]["related_event_id"] == "d1"
+
+
 def test_corpus(spark, tmp_path):
     o = lambda site, lit, k="post": {"source_id": "s", "site": site, "title": "T", "url": "u", "source_date_literal": lit, "kind": k}
     lines(tmp_path / "records.jsonl", [{"id": "1", "text": "hello -- Bob", "origins": [o("a.com", "2026-06-01T10:00:00Z"), o("a.com", "2026-06-01T10:00:00Z"), o("a.com", "current"), o("a.com", "2026-09-01"), o("prowiki.org/dse", "2026-06-01")]}, {"id": "2", "text": "see [operational URL omitted; host=x.org; n=1]", "origins": [o("b.com", "1780000000")]}])
