@@ -27,6 +27,21 @@ def none(spark):
     return spark.createDataFrame([], "family string, item string, consensus_value string")
 
 
+def test_featured_slots_beyond_the_largest(spark):
+    from hearsay.plans import report
+    from hearsay.sources.base import AdapterConfig
+
+    rows = [(f"a{a}", "f", f"i{i:02}", v, at(a)) for i in range(14) for v in ("x", "y") for a in range(3 + (i < 13))]
+    m = spark.createDataFrame(rows, "agent string, family string, item string, value_key string, ts timestamp")
+    seq = [(f"a{a}", "g", float(e), v, at(a), "sequence") for e in range(1, 9) for v in ("x", "y") for a in range(2 + (e < 8))]
+    c = spark.createDataFrame(seq, "agent string, family string, episode double, item string, ts timestamp, event_type string")
+    said = spark.createDataFrame([("f", "a1", "G5 is Maryland", at(1)), ("f", "a2", "G5 is Montana", at(2)), ("f", "a3", "Montana", at(3))], "family string, agent string, text string, ts timestamp")
+    cfg = AdapterConfig(featured_disputes=(("f", "i13"), ("g", "R8")), disputes=({"family": "f", "slot": "G5", "context": r"\bG5\b", "variants": {"md": "Maryland", "mt": "Montana"}},))
+    value, sequence, picked = report.competing(m, c, said, cfg, "agent")
+    assert len(value) == 12 and len(sequence) == 6
+    assert [(r["family"], r.get("item", r.get("episode"))) for r in picked] == [("f", "G5"), ("f", "i13"), ("g", 8.0), ("f", "i00")] and picked[0]["n_carriers"] == 2
+
+
 def test_deleted_copy(spark):
     m = mentions(spark, ("B", 0, "p", "1", 50), ("C", 60, "q", "1", None))
     x = facts.exposures(rounds(spark, "A", 100, "1"), m, none(spark), "agent_merged").first()
