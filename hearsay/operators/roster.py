@@ -131,6 +131,20 @@ def eras_summary(e: DataFrame, cut=None) -> DataFrame:
     return top.join(gaps, how="cross")  # one row each
 
 
+def era_handover(e: DataFrame, goals: DataFrame) -> DataFrame:
+    """The last shared goal, if the first own goal starts within an hour of it; else no row."""
+    last = e.orderBy(F.col("start").desc_nulls_first(), F.desc("era_id")).limit(1).select("label", "goal", "start")
+    own = goals.agg(F.min("start").alias("roster_start"))
+    return last.join(own, how="cross").withColumn("offset_s", seconds_between(F.col("roster_start"), F.col("start"))).where("abs(offset_s) <= 3600")  # one row each
+
+
+def posts_by_era(e: DataFrame, annotated: DataFrame) -> DataFrame:
+    """Posts of every era, and those outside all of them under a null label."""
+    n = annotated.groupBy("era").agg(F.count(F.lit(1)).alias("posts"))
+    known = e.select("label", "start").join(n, F.col("label") == F.col("era"), "left").select("label", "start", F.coalesce("posts", F.lit(0)).alias("posts"))
+    return known.unionByName(annotated.where("era is null").agg(F.count(F.lit(1)).alias("posts")).select(F.lit(None).cast("string").alias("label"), F.lit(None).cast("timestamp").alias("start"), "posts"))
+
+
 def activity_by_agent(activity: DataFrame) -> DataFrame:
     return activity.groupBy("agent_id").agg(F.count(F.lit(1)).alias("sessions"), F.avg((F.weekday("ts") >= 5).cast("int")).alias("weekend_share"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
@@ -145,6 +159,20 @@ def sessions_in_goals(activity: DataFrame, goals: DataFrame) -> DataFrame:
     return in_any_window(activity, goals, "agent_id")
 
 
+def activity_in_goals(activity: DataFrame, goals: DataFrame) -> DataFrame:
+    """Agents of the log that the roster knows, and sessions within a goal of theirs."""
+    known = activity.join(goals.select("agent_id").distinct(), "agent_id", "left_semi").agg(F.countDistinct("agent_id").alias("agents_in_roster"))
+    return known.join(sessions_in_goals(activity, goals).agg(F.count(F.lit(1)).alias("rows_in_goal_window")), how="cross")  # one row each
+
+
+def activity_in_transcript(activity: DataFrame, events: DataFrame) -> DataFrame:
+    """Agents of the log that post: by id, or by name in any case."""
+    authors = events.select(F.lower("author_raw").alias("author")).union(events.select("author_alt")).where("author is not null").distinct()
+    ids = activity.groupBy("agent_id").agg(F.min("agent_name").alias("name"))
+    names = ids.select("agent_id", F.explode(F.array_compact(F.array("agent_id", F.lower("name")))).alias("author"))
+    return names.join(authors, "author", "left_semi").agg(F.countDistinct("agent_id").alias("agents_in_transcript"))
+
+
 # ------------------------------------------------------------------ summaries
 
 EVENT_LINE = r"(?m)^\s*\d+\.\s*\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}(?::\d{2})?)\s*(PT|PST|PDT|UTC)?\]\s*(.+?)\s*$"
@@ -200,3 +228,12 @@ def summaries_summary(s: DataFrame, digest: DataFrame) -> DataFrame:
     a = s.agg(F.count(F.lit(1)).alias("n"), F.count_if("latest").alias("n_latest"), F.countDistinct("generated_by").alias("generators"))
     b = digest.agg(F.count(F.lit(1)).alias("n_events"), F.count("actor").alias("n_named"), F.countDistinct("actor").alias("n_actors"), F.count_if(F.col("ts").isNull()).alias("n_bad_ts"))
     return a.join(b, how="cross")  # one row each
+
+
+def summaries_daily(s: DataFrame) -> DataFrame:
+    """Latest daily summaries: their number, dates and days."""
+    return s.where("latest and type = 'daily'").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.min("day").alias("day_first"), F.max("day").alias("day_last"))
+
+
+def counted(df: DataFrame, c: str) -> DataFrame:
+    return df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 from hearsay import sources
-from hearsay.plans import pipeline
+from hearsay.plans import pipeline, report
 from hearsay.sources import files
 from hearsay.synth import CONFIG, simulate
 
@@ -122,6 +122,28 @@ def test_rooms_folder(spark, tmp_path):
     assert b.directory.first()["vendor"] == "Anthropic" and b.channels.first()["allow"] == ["Ann"]
 
 
+def test_rooms_report(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    lines(src / "agents.jsonl", [{"id": "a1", "name": "Ann", "model_string": "claude-x", "created_at": "2026-01-01"}])
+    lines(src / "goals.jsonl", [{"id": "g1", "agent_id": "a1", "short_name": "r", "name": "n", "start_time": "2026-01-05T00:30:00Z", "end_time": None}])
+    lines(src / "eras.jsonl", [{"id": "e1", "goal": "one", "start_time": "2026-01-01T00:00:00Z", "end_time": "2026-01-04T00:00:00Z"}, {"id": "e2", "goal": "two", "start_time": "2026-01-05T00:00:00Z", "end_time": None}])
+    lines(src / "sessions.jsonl", [{"id": str(i), "agent_id": "a1", "created_at": f"2026-01-{d:02}T{h:02}:00:00Z"} for i, (d, h) in enumerate([(4, 9), (6, 9), (7, 9), (8, 9), (9, 9), (9, 20)])])
+    lines(src / "summaries.jsonl", [{"id": "s1", "type": "daily", "summary_target": "3", "summary_date": "2026-01-06", "generated_by": "m", "created_at": "2026-01-07T00:00:00Z", "content": "1. [2026-01-06 10:00 UTC] Ann did it"}])
+    lines(src / "chat_messages.jsonl", [{"id": f"m{i}", "agent_id": "a1", "chat_room_id": "r1", "created_at": t, "content": "hi"} for i, t in enumerate(["2026-01-06T00:00:00Z", "2026-01-04T12:00:00Z"])])
+    run = pipeline.RunStore(spark, str(tmp_path / "run"))
+    pipeline.ingest(spark, str(src), run, "rooms")
+    pipeline.extract(run)
+    s = report.build(run)
+    assert [r["offset_s"] for r in s["eras_handover"]] == [1800.0]
+    assert sorted(r["posts"] for r in s["eras_posts"]) == [0, 1, 1]
+    assert s["busy_hours_utc"] == [9]
+    assert s["activity_in_goals"] == [{"agents_in_roster": 1, "rows_in_goal_window": 5}] and s["activity_in_transcript"] == [{"agents_in_transcript": 1}]
+    by = s["summaries_by"]
+    assert by["by_type"] == [{"type": "daily", "n": 1}] and by["generators"] == [{"generated_by": "m", "n": 1}] and by["by_kind"] == [{"kind": "event", "n": 1}]
+    assert by["daily"][0]["n"] == 1 and by["daily"][0]["day_first"] == 3 and by["top_actors"] == [{"actor": "Ann", "n": 1}]
+
+
 def test_release(spark, tmp_path):
     r = lambda i, p, t: {"id": i, "cite": i, "kind": "k", "parent_id": p, "time_utc": None, "tags": "x; y", "text": t}
     lines(tmp_path / "redacted.jsonl", [r("1", None, "[CREDENTIAL 1] [CREDENTIAL 2]"), r("2", "1", "b"), r("3", "9", "b")])
