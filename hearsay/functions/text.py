@@ -166,9 +166,10 @@ def roster_timestamp(text: Column) -> Column:
 
 # Words that era labels leave out.
 ERA_STOP = (
-    "a an the your you yours as can it to and of in on for with like whatever youd do each agent agents own be is that "
-    "this up out much many most while one other which will next soon please yourselves"
-).split()
+    "a", "an", "the", "your", "you", "yours", "as", "can", "it", "to", "and", "of", "in", "on", "for", "with", "like", "whatever", "youd", "do",
+    "each", "agent", "agents", "own", "be", "is", "that", "this", "up", "out", "much", "many", "most", "while", "one", "other", "which", "will",
+    "next", "soon", "please", "yourselves",
+)
 
 
 def era_label(number: Column, goal: Column) -> Column:

@@ -95,16 +95,18 @@ def deletion_summary(lifecycle: DataFrame, posts: DataFrame | None = None) -> Da
 
 
 def probe_links(probes: DataFrame, saves: DataFrame, within_s: float = 1.0) -> DataFrame:
-    """Each probe with the nearest save on its prefix, the labels there, and the
-    label saved within a second if the prefix has one label only."""
+    """Each probe with the nearest save on its prefix, how many labels the prefix
+    has, and its only label if a save that carries it lies within ``within_s``
+    (saves without a label never hide one that has a label)."""
     from .windows import nearest
 
-    near = nearest(probes, saves, "ip16", "probe_id", "label").select("probe_id", F.col("label").alias("nearest_save_label"), F.col("dt_s").alias("nearest_save_dt_s"))
-    labels = saves.where("label is not null").groupBy("ip16").agg(F.countDistinct("label").cast("int").alias("n_labels_on_prefix"), F.min("label").alias("only"))
-    out = probes.join(near, "probe_id", "left").join(labels, "ip16", "left")
-    # with one label on the prefix the nearest save decides
-    close = (F.col("nearest_save_dt_s") <= within_s) & (F.col("n_labels_on_prefix") == 1)
-    return out.withColumn("cotimed_label", F.when(close, F.col("only"))).withColumn("n_labels_on_prefix", F.coalesce("n_labels_on_prefix", F.lit(0))).drop("only")
+    labelled = saves.where("label <> ''")
+    near = nearest(probes, saves, "ip16", "probe_id", "label").select("probe_id", F.expr("nullif(label, '')").alias("nearest_save_label"), F.col("dt_s").alias("nearest_save_dt_s"))
+    labels = labelled.groupBy("ip16").agg(F.countDistinct("label").cast("int").alias("n_labels_on_prefix"), F.min("label").alias("only"))
+    close = nearest(probes, labelled, "ip16", "probe_id", "label").where(F.abs("dt_s") <= within_s).select("probe_id", F.lit(True).alias("close"))
+    out = probes.join(near, "probe_id", "left").join(close, "probe_id", "left").join(labels, "ip16", "left")
+    cotimed = F.when(F.col("close") & (F.col("n_labels_on_prefix") == 1), F.col("only"))
+    return out.withColumn("cotimed_label", cotimed).withColumn("n_labels_on_prefix", F.coalesce("n_labels_on_prefix", F.lit(0))).drop("only", "close")
 
 
 def probe_summary(probes: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from hearsay import sources
 from hearsay.plans import pipeline, report
 from hearsay.sources import files
-from hearsay.synth import CONFIG, simulate
+from hearsay.synth import CONFIG, frames
 
 
 def lines(path, rows):
@@ -168,8 +168,9 @@ def test_unknown(spark, tmp_path):
 
 
 def test_synthetic_recovery(spark, tmp_path):
-    posts, truth = simulate(seed=2)
-    src = lines(tmp_path / "transcript.jsonl", posts)
+    posts, truth = frames(spark, seed=2)
+    src = lines(tmp_path / "transcript.jsonl", [r.asDict() for r in posts.collect()])
+    truth = truth.collect()
     run = pipeline.run_all(spark, src, str(tmp_path / "run"), overrides=CONFIG)
     s = json.loads(run.read_text("summary.json"))
     t = s["A1"]["totals"][0]
@@ -184,3 +185,15 @@ def test_synthetic_recovery(spark, tmp_path):
     edges = run.read("edges_merged").where("kind in ('relay', 'relay_xchannel')").count()
     assert edges == sum(r["n_agents"] - 1 for r in chains.collect())
     assert os.path.exists(tmp_path / "run" / "report.md") and "<graphml" in run.read_text("provenance_merged.graphml")
+
+
+def test_a_blank_save_hides_no_labelled_one(spark):
+    from hearsay.operators.lifecycle import probe_links
+
+    probes = spark.sql("select * from values ('p1', timestamp'2026-06-01 12:00:00', '2.2'), ('p2', timestamp'2026-06-01 12:00:00', '3.3'), ('p3', timestamp'2026-06-01 12:00:00', '4.4'), ('p4', timestamp'2026-06-01 12:00:00', '5.5') as t(probe_id, ts, ip16)")
+    saves = spark.sql("""select * from values
+      (timestamp'2026-06-01 12:00:00', '', '2.2'), (timestamp'2026-06-01 12:00:01', 'B', '2.2'),
+      (timestamp'2026-06-01 12:00:00', '', '3.3'), (timestamp'2026-06-01 13:00:00', 'C', '3.3'),
+      (timestamp'2026-06-01 12:00:00', 'D', '4.4'), (timestamp'2026-06-01 11:00:00', 'E', '4.4') as t(ts, label, ip16)""")
+    got = {r["probe_id"]: (r["cotimed_label"], r["n_labels_on_prefix"]) for r in probe_links(probes, saves).collect()}
+    assert got == {"p1": ("B", 1), "p2": (None, 1), "p3": (None, 2), "p4": (None, 0)}
