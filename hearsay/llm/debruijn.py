@@ -1,13 +1,21 @@
 """Substring dedup over words by de Bruijn compaction.
 
-The edges of the graph are windows of 35 words, its nodes the 34-word overlaps.
-Edges are partitioned by minimizer; consecutive edges of a document with one
-minimizer compact to a path, and Spark joins paths of all documents by
-minimizer.  A path that is unbranched - each of its edges leads on the same way
-in another place - is one record and is repeated as a whole; where different
-paths meet under one minimizer the graph branches, and one path of each kind is
-opened into its edges.  Source coordinates then verify the repeats: edges are
-compared word by word (as 64-bit word hashes) at the places they came from.
+Edges of the graph are windows of 35 words; its nodes are the 34 words that an
+edge begins or ends with.  What is wanted are the repeated edges.
+
+1. Neighbouring edges of a document whose minimizer (the k-mer of words with the
+   smallest hash) is at one place are a local path.  Paths are dealt by minimizer;
+   a path is known by a 128-bit BLAKE2b digest of its words, read at its source
+   coordinates, so equal digests are equal words.
+2. A path that occurs again is repeated as a whole.  Where different paths meet
+   under one minimizer the graph may branch inside of them: one path of each kind
+   is opened into its edges, and equal edges (again by digest) are repeated.
+3. Repeated paths and edges form the graph.  A node that one of them enters and
+   one leaves does not branch; Spark joins compact chains of such nodes by pointer
+   doubling, so n links take about log2(n) joins.
+4. Occurrences that follow each other on one compacted path are one long span of
+   their document.  Spans are verified at their source coordinates: the words
+   there, path by path, must have the digests of the path they lie on.
 
 Defined results: null, empty and short texts (fewer words than a window) lose
 nothing; repeated rows are repeats of each other; windows never cross
@@ -16,34 +24,257 @@ documents; words are runs of bytes other than ASCII blanks and keep their form.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .spans import SLICES, apply_spans, batches_of, by_part, covered, dealt, minimizer_runs, part_by_part, part_of, with_key
+from .store import drop, materialize, partitions, small_batches, tidy
+from .words import digests, give_back, grams, lean, runs, text_bytes, word_hashes, words_of
+
+PATH = np.dtype([("h", "<u8"), ("s", "<i8"), ("t", "<i8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("many", "u1")])
+EDGE = np.dtype([("s", "<i8"), ("t", "<i8"), ("doc", "<i8"), ("lo", "<u4"), ("many", "u1"), ("a", "<i8"), ("b", "<i8")])
+ASK = np.dtype([("lo", "<u4"), ("n", "<u2"), ("open", "u1"), ("node", "u1")])
+#: Paths and edges that a task holds before it sends them.
+HELD = 200_000
+PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+PLACES, ASKS, NODES = 0, 1, 2
+#: An occurrence of a repeated path (PLACES: key, path, lo, n), or what is asked of
+#: a document (ASKS: key, lo, n, flags), or the ends of a path (NODES: path, a, b, n).
+ROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("path", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+ROW_SQL = "kind int, key bigint, path bigint, lo bigint, n bigint, a bigint, b bigint"
+
+
+def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
+    arrays = [pa.array(np.full(size, kind), pa.int32())]
+    arrays += [pa.array(columns[f.name].astype(np.int64)) if f.name in columns else pa.nulls(size, pa.int64()) for f in list(ROW)[1:]]
+    return pa.RecordBatch.from_arrays(arrays, schema=ROW)
+
+
+def _grouped(r: np.ndarray, *by: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(r in order, where each content begins, how many rows it has)."""
+    r = r[np.lexsort([r[f] for f in ("lo", "doc", "t", "s", *by)])]
+    fresh = np.append(True, (r["s"][1:] != r["s"][:-1]) | (r["t"][1:] != r["t"][:-1])) if len(r) else np.empty(0, bool)
+    for f in by:
+        fresh[1:] |= r[f][1:] != r[f][:-1]
+    first = np.flatnonzero(fresh)
+    return r, first, np.diff(np.append(first, len(r)))
+
+
+def _heads(r: np.ndarray, *by: str) -> tuple[np.ndarray, np.ndarray]:
+    """(one row of each content, ``many`` where it has several; the other rows)."""
+    r, first, size = _grouped(r, *by)
+    heads = r[first]
+    heads["many"] |= size > 1
+    other = np.ones(len(r), bool)
+    other[first] = False
+    return heads, r[other]
+
+
+def repeated_paths(keyed: DataFrame, length: int, k: int) -> list[DataFrame]:
+    """Tables with the PLACES of repeated paths and edges, and their NODES."""
+    spark = keyed.sparkSession
+    parts = SLICES * partitions(spark)
+
+    def words(data, offsets):
+        starts, ends, first = words_of(data, offsets)
+        return starts, ends, first, word_hashes(data, starts, ends)
 
-from .repeats import Windows, apply_spans, covered, repeated_windows, with_key
-from .words import Rolling, mix, word_hashes, words_of
+    def spelled(data, starts, ends, first, last) -> np.ndarray:
+        """Digests of the words first .. last, one space between them."""
+        # texts that hold other blanks than single spaces are brought to one form
+        return digests(data.tobytes(), starts[first], ends[last])
 
+    def single_spaced(data, offsets) -> tuple[np.ndarray, np.ndarray]:
+        """The texts with one space after each word."""
+        starts, ends, first = words_of(data, offsets)
+        size = ends - starts + 1
+        stop = np.cumsum(size)
+        out = np.full(int(stop[-1]) if len(stop) else 0, 32, np.uint8)
+        solid = np.ones(len(out), bool)
+        solid[stop - 1] = False
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts] += 1
+        inside[ends] -= 1
+        out[solid] = data[np.cumsum(inside[:-1]) > 0]
+        return out, np.concatenate([[0], stop])[first]
 
-def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, first = words_of(data, offsets)
-    return word_hashes(data, starts, ends), first
+    def texts(batch, a, b, data, offsets):
+        return single_spaced(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
+    def cut(batches):
+        lean()
+        held, size = [], 0
 
-def _same_edges(length: int):
-    def same(symbols: np.ndarray, starts: np.ndarray, segments: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            key = mix(Rolling(symbols).of(starts, starts + length)) ^ segments
-        _, first, group = np.unique(key, return_index=True, return_inverse=True)
-        # verify at the source: every edge against the first of its group
-        step = max(1, 2_000_000 // length)
-        col = np.arange(length)
-        for a in range(0, len(starts), step):
-            part = slice(a, a + step)
-            alike = (symbols[starts[part, None] + col] == symbols[starts[first[group[part]], None] + col]).all(1)
-            group[part][~alike] = -1  # a collision: no partner is claimed
-        return group
+        def send() -> Iterator[tuple]:
+            heads, other = _heads(np.concatenate(held), "h")
+            for p, rows in by_part(heads, part_of(heads["h"], parts)):
+                yield p, 0, rows.tobytes()
+            for p, rows in by_part(other, part_of(other["doc"].astype(np.uint64), parts)):
+                yield p, 1, rows.tobytes()
 
-    return same
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            raw, at = text_bytes(batch.column(1))
+            for a, b in runs(at):
+                data, offsets = texts(batch, a, b, raw, at)
+                starts, ends, first, h = words(data, offsets)
+                own, lo, n, _, kmer = minimizer_runs(h, first, length, k)
+                r = np.empty(len(lo), PATH)
+                r["h"], r["doc"], r["lo"], r["n"], r["many"] = kmer, keys[a:b][own], lo - first[own], n, 0
+                same = spelled(data, starts, ends, lo, lo + n + length - 2)
+                r["s"], r["t"] = same[:, 0], same[:, 1]
+                held.append(r)
+                size += len(r)
+                if size >= HELD:
+                    yield from batches_of(send(), PARTS)
+                    held, size = [], 0
+        if held:
+            yield from batches_of(send(), PARTS)
+        held.clear()
+        give_back()
+
+    def meet(batches):
+        lean()
+        for kinds, blobs in part_by_part(batches, [1, 2]):
+            other = np.frombuffer(b"".join(x for i, x in zip(kinds, blobs, strict=True) if i == 1), PATH)
+            r = np.frombuffer(b"".join(x for i, x in zip(kinds, blobs, strict=True) if i == 0), PATH)
+            del blobs
+            yield _rows(PLACES, len(other), key=other["doc"], path=other["s"], lo=other["lo"], n=other["n"])
+            r, first, size = _grouped(r, "h")
+            if not len(r):
+                continue
+            many = np.logical_or.reduceat(r["many"] > 0, first) | (size > 1)
+            again = r[np.repeat(many, size)]
+            yield _rows(PLACES, len(again), key=again["doc"], path=again["s"], lo=again["lo"], n=again["n"])
+            heads = r[first]
+            h = np.flatnonzero(np.append(True, heads["h"][1:] != heads["h"][:-1]))
+            contents = np.diff(np.append(h, len(heads)))
+            # different paths under one minimizer: edges of one may be edges of another
+            open_ = np.repeat(contents, contents) > 1
+            ask = open_ | many
+            yield _rows(ASKS, int(ask.sum()), key=heads["doc"][ask], lo=heads["lo"][ask], n=heads["n"][ask], path=heads["s"][ask], a=open_[ask], b=many[ask])
+        give_back()
+
+    met = materialize(dealt(keyed.select("key", "text").mapInArrow(cut, "part int, kind int, blob binary"), parts).mapInArrow(meet, ROW_SQL), "paths")
+    tidy(spark)
+
+    def ends_of(h, at, last) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the nodes that a path begins and ends with."""
+        g = grams(h, length - 1)
+        return g[at].view(np.int64), g[last].view(np.int64)
+
+    def open_up(batches):
+        lean()
+        held, size = [], 0
+
+        def send() -> Iterator[tuple]:
+            heads, other = _heads(np.concatenate(held))
+            for p, rows in by_part(heads, part_of(heads["s"].view(np.uint64), parts)):
+                yield p, 0, rows.tobytes()
+            for p, rows in by_part(other, part_of(other["doc"].astype(np.uint64), parts)):
+                yield p, 1, rows.tobytes()
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            raw, at = text_bytes(batch.column(1))
+            flat, cuts = batch.column(2).flatten(), batch.column(2).offsets.to_numpy()
+            flat, cuts = np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in range(5)], 1), cuts - cuts[0]
+            for a, b in runs(at):
+                data, offsets = texts(batch, a, b, raw, at)
+                starts, ends, first, h = words(data, offsets)
+                many_asks = np.diff(cuts[a : b + 1])
+                doc = np.repeat(keys[a:b], many_asks)
+                lo, n, path, open_, many = flat[cuts[a] : cuts[b]].T
+                begin = lo + np.repeat(first[:-1], many_asks)
+                whole = many > 0
+                x, y = ends_of(h, begin[whole], (begin + n)[whole])
+                nodes = np.stack([path[whole], n[whole], x, y], 1)
+                yield from batches_of(((p, 2, rows.tobytes()) for p, rows in by_part(nodes, part_of(path[whole].view(np.uint64), parts))), PARTS)
+                o = np.flatnonzero(open_ > 0)
+                run, j = np.repeat(o, n[o]), np.arange(n[o].sum()) - np.repeat(np.cumsum(n[o]) - n[o], n[o])
+                e = np.empty(len(run), EDGE)
+                w = begin[run] + j
+                same = spelled(data, starts, ends, w, w + length - 1)
+                # an edge of a path that occurs again is repeated, and is covered by it
+                e["s"], e["t"], e["doc"], e["lo"], e["many"] = same[:, 0], same[:, 1], doc[run], lo[run] + j, 0
+                e["a"], e["b"] = ends_of(h, w, w + 1)
+                held.append(e)
+                size += len(e)
+                if size >= HELD:
+                    yield from batches_of(send(), PARTS)
+                    held, size = [], 0
+        if held:
+            yield from batches_of(send(), PARTS)
+        held.clear()
+        give_back()
+
+    def compare(batches):
+        lean()
+        for kinds, blobs in part_by_part(batches, [1, 2]):
+            edges, other, nodes = (b"".join(x for i, x in zip(kinds, blobs, strict=True) if i == kind) for kind in range(3))
+            nodes = np.frombuffer(nodes, np.int64).reshape(-1, 4)
+            yield _rows(NODES, len(nodes), path=nodes[:, 0], n=nodes[:, 1], a=nodes[:, 2], b=nodes[:, 3])
+            other = np.frombuffer(other, EDGE)
+            yield _rows(PLACES, len(other), key=other["doc"], path=other["s"], lo=other["lo"], n=np.ones(len(other)))
+            r, first, size = _grouped(np.frombuffer(edges, EDGE))
+            if not len(r):
+                continue
+            many = np.logical_or.reduceat(r["many"] > 0, first) | (size > 1)
+            again, heads = r[np.repeat(many, size)], r[first][many]
+            yield _rows(PLACES, len(again), key=again["doc"], path=again["s"], lo=again["lo"], n=np.ones(len(again)))
+            yield _rows(NODES, len(heads), path=heads["s"], n=np.ones(len(heads)), a=heads["a"], b=heads["b"])
+        give_back()
+
+    asks = met.where(F.col("kind") == ASKS).groupBy("key").agg(F.collect_list(F.struct("lo", "n", "path", "a", "b")).alias("asks"))
+    opened = keyed.select("key", "text").join(asks, "key").select("key", "text", "asks").mapInArrow(open_up, "part int, kind int, blob binary")
+    found = materialize(dealt(opened, parts).mapInArrow(compare, ROW_SQL), "edges")
+    tidy(spark)
+    return [met, found]
+
+
+def compacted(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(path, root, ahead): the first path of each nonbranching chain, and the
+    edges between its beginning and that of ``path``; and the tables written for
+    it.  ``nodes``: path, a, b, n."""
+    nodes = nodes.select("path", "a", "b", "n").dropDuplicates(["path"])
+    none = F.lit(None).cast("bigint")
+    touch = nodes.select(F.col("b").alias("node"), F.col("path").alias("enters"), none.alias("leaves")).unionByName(nodes.select(F.col("a").alias("node"), none.alias("enters"), F.col("path").alias("leaves")))
+    degrees = touch.groupBy("node").agg(F.count("enters").alias("into"), F.count("leaves").alias("out"), F.max("enters").alias("enters"), F.max("leaves").alias("leaves"))
+    # a node that does not branch joins the path that enters with the one that leaves
+    joints = degrees.where("into = 1 and out = 1 and enters <> leaves").select(F.col("leaves").alias("path"), F.col("enters").alias("root"))
+    links = materialize(joints.join(nodes.select(F.col("path").alias("root"), F.col("n").alias("ahead")), "root").select("path", "root", "ahead"), "path-links")
+    done = links.limit(0)
+    written = [links]
+    # a chain of 2^40 paths is a ring: its paths stay as they are
+    for _ in range(40):
+        if links.isEmpty():
+            break
+        step = links.withColumn("ended", F.lit(False)).unionByName(done.withColumn("ended", F.lit(True)))
+        step = step.select(F.col("path").alias("root"), F.col("root").alias("root2"), F.col("ahead").alias("ahead2"), "ended")
+        moved = links.join(step, "root", "left").select("path", F.coalesce("root2", "root").alias("root"), (F.col("ahead") + F.coalesce("ahead2", F.lit(0))).alias("ahead"), F.coalesce("ended", F.lit(True)).alias("end"))
+        moved = materialize(moved, "path-links")
+        written.append(moved)
+        done = done.unionByName(moved.where("end").drop("end"))
+        links = moved.where("not end").drop("end")
+    return done, written
+
+
+def long_spans(found: DataFrame) -> DataFrame:
+    """(key, spans): (first edge, edges) of each document, occurrences that follow
+    each other on a compacted path in one."""
+    places = found.where(F.col("kind") == PLACES).select("key", "path", "lo", "n")
+    chains, written = compacted(found.where(F.col("kind") == NODES))
+    on = places.join(chains, "path", "left").select("key", "lo", "n", F.coalesce("root", "path").alias("root"), (F.col("lo") - F.coalesce("ahead", F.lit(0))).alias("origin"))
+    runs_ = on.groupBy("key", "root", "origin").agg(F.min("lo").alias("lo"), (F.max(F.col("lo") + F.col("n")) - F.min("lo")).alias("size"), F.sum("n").alias("n"), F.collect_list(F.struct("lo", "n")).alias("parts"))
+    # without a gap the parts are one span
+    spans = F.when(F.col("size") == F.col("n"), F.array(F.struct("lo", F.col("size").alias("n")))).otherwise(F.col("parts"))
+    out = materialize(runs_.select("key", spans.alias("s")).groupBy("key").agg(F.flatten(F.collect_list("s")).alias("spans")), "long-spans")
+    drop(found.sparkSession, *written)
+    return out
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, k: int = 12, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -51,13 +282,18 @@ def substring_dedup(docs: DataFrame, window: int = 35, k: int = 12, id_col: str
     spans (``removed_start``, ``removed_end``, in words) and ``kept``: the text
     that stays, its words joined by one space.  ``carry``: columns that come
     along in the struct ``carried``."""
-    spec = Windows(window, k, False, word_symbols)
+    small_batches(docs.sparkSession)
     keyed = with_key(docs, id_col, text_col, carry)
-    spans = repeated_windows(keyed, spec, _same_edges(window))
+    found = repeated_paths(keyed, window, k)
+    spans = long_spans(found[0].where(F.col("kind") != ASKS).unionByName(found[1]))
+    drop(docs.sparkSession, *found)
+
+    def read(found: list[dict]) -> np.ndarray:
+        return np.array([(x["lo"], x["n"]) for x in found], np.int64).reshape(-1, 2)
 
     def keep(data: np.ndarray, found) -> tuple[int, np.ndarray, bytes]:
         words = data.tobytes().split()
         gone = covered(found, len(words), window)
         return len(words), gone, b" ".join(words if found is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g])
 
-    return apply_spans(keyed, spans, spec, keep, pa.string(), "string")
+    return apply_spans(keyed, spans, read, keep, pa.string(), "string")

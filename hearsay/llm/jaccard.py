@@ -3,71 +3,99 @@
 Sets are their shingles in one global order: rarer ones first (a bounded list of
 the most frequent shingles goes last), then by hash.  Two sets can only reach
 the threshold if they share a shingle of both prefixes, at places and with sizes
-that leave room for the overlap needed; each inverted list is sorted by size and
-place, and what lies behind a bound is skipped as a block.
+that leave room for the overlap needed.  Each inverted list is sorted by size and
+position; it falls into blocks of one size, and of every block what lies behind
+the position that still leaves room is skipped.
 
 Set relations save the rest.  Equal sets are one set.  Lists of more than
 ``SMALL`` sets are not paired out: every set is compared with the list's first
 set and its neighbour in size.  Then only pairs of different components are left,
 and for those the answers of the first set are carried over: with overlaps
 |c&y| and |c&z| known, |y&z| is at least |c&y| + |c&z| - |c| and at most
-min(|c&y|, |c&z|) + min(|y-c|, |z-c|), which settles most pairs unseen.
+min(|c&y|, |c&z|) + min(|y-c|, |z-c|), which settles most pairs unseen.  A long
+list is probed in slices, each by its own task.
+
+Hashes find, they do not decide: sets are equal if their 128-bit digests are, ids
+of 64 bits that two digests share are told apart (``torn_ids``), and overlaps are
+counted in the texts with two independent hashes of each shingle.
 
 Defined results: null, empty and wordless texts have no shingles, link with
 nothing and are their own component; a text with fewer words than a shingle is
 one shingle; rows that repeat an id, or have none, count as documents of their
-own; other columns are ignored.
+own; ids may be of any type that has an order; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import _batches, _by_part, with_key
-from .store import materialize, partitions, tidy
-from .words import LOWER, MIX, Rolling, mix, runs, text_bytes, word_hashes, words_of
+from .spans import SLICES, batches_of, by_part, dealt, part_by_part, part_of, with_key
+from .store import drop, materialize, partitions, small_batches, tidy
+from .words import LOWER, MIX, give_back, grams, lean, pair, runs, text_bytes, word_hashes, words_of
 
 #: Lists up to this length are paired out.
 SMALL = 4
 #: Frequent shingles that are known to all tasks: one megabyte, whatever the input.
 #: The list only orders the shingles; any order gives the same result.
 FREQUENT, FREQUENT_FROM = 1 << 17, 48
-#: Pairs of one set that are verified with one copy of it.
+#: Pairs of one set that are verified with one copy of it; entries of a long list
+#: that one task probes it with.
 SLICE = 4096
+#: Shingles, entries and sets that a map task holds at a time.
+COUNTED, HELD, SEEN = 1_500_000, 400_000, 100_000
 
 ENTRY = np.dtype([("tok", "<u8"), ("set", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 COUNT = np.dtype([("tok", "<u8"), ("n", "<i8")])
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; A-Z count as a-z."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, twice: bool = False) -> list[np.ndarray]:
+    """Distinct shingle hashes of each text, in order; A-Z count as a-z.
+    ``twice``: two columns, by two independent hashes."""
     data = LOWER[data]
     starts, ends, first = words_of(data, offsets)
-    h = word_hashes(data, starts, ends)
-    n = len(h)
-    rolling = Rolling(h)
-    at = np.arange(max(0, n - size + 1))
-    full = mix(rolling.of(at, at + size) + MIX)
+    columns = []
+    for seed in (0, 1) if twice else (0,):
+        h = word_hashes(data, starts, ends, seed)
+        short = np.zeros(len(first) - 1, np.uint64)
+        few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size))
+        for i in few.tolist():
+            x = MIX
+            for w in h[first[i] : first[i + 1]]:
+                x = pair(x[None] if x.ndim else np.array([x]), w[None])[0]
+            short[i] = x
+        columns.append((grams(h, size), short))
     out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= size:
-            out.append(np.unique(full[a : b - size + 1]))
-        elif b > a:
-            with np.errstate(over="ignore"):
-                out.append(mix(rolling.of(np.array([a]), np.array([b])) + np.uint64(b - a)))
-        else:
-            out.append(full[:0])
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        x = [full[a : b - size + 1] if b - a >= size else short[i : i + 1] if b > a else full[:0] for full, short in columns]
+        if not twice:
+            out.append(np.unique(x[0]))
+            continue
+        order = np.lexsort((x[1], x[0]))
+        one, two = x[0][order], x[1][order]
+        fresh = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])) if len(one) else np.empty(0, bool)
+        out.append(np.stack([one[fresh], two[fresh]], 1))
     return out
 
 
-def set_id(s: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        return int((mix(s ^ MIX).sum(dtype=np.uint64) * MIX + mix(s).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64))
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Shingles in both; two columns each."""
+    at = np.minimum(np.searchsorted(a[:, 0], b[:, 0]), len(a) - 1)
+    same = a[at, 0] == b[:, 0]
+    if (a[at[same], 1] == b[same, 1]).all():
+        return int(same.sum())
+    return len(set(map(tuple, a.tolist())) & set(map(tuple, b.tolist())))
+
+
+def set_digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two numbers."""
+    d = blake2b(s, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -87,7 +115,7 @@ def _entries(s: np.ndarray, sid: int, rank: np.ndarray, percent: int) -> np.ndar
     return out
 
 
-PROFILE = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())])
+PROFILE = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("set", pa.int64()), ("more", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())])
 INDEX = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 FOUND = pa.schema([("kind", pa.int32()), ("tok", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
 PAIR, LIST = 0, 1
@@ -104,10 +132,11 @@ def _fits(n_a, n_b, pos_a, pos_b, percent: int) -> np.ndarray:
 
 
 def join_lists(e: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs as two columns, entries of long lists with their list's first set)."""
-    e = e[np.lexsort((e["pos"], e["set"], e["n"], e["tok"]))]
-    same = (e["tok"][1:] == e["tok"][:-1]) & (e["set"][1:] == e["set"][:-1])
-    e = e[np.append(True, ~same)] if len(e) else e
+    """(pairs as two columns, entries of long lists); lists in order of size and position."""
+    # a set that lists a shingle twice (two hashes that collide) counts once
+    e = e[np.lexsort((e["pos"], e["set"], e["tok"]))]
+    e = e[np.append(True, (e["tok"][1:] != e["tok"][:-1]) | (e["set"][1:] != e["set"][:-1]))] if len(e) else e
+    e = e[np.lexsort((e["set"], e["pos"], e["n"], e["tok"]))]
     twin = e["tok"][1:] == e["tok"][:-1]
     e = e[np.append(False, twin) | np.append(twin, False)] if len(e) else e
     if not len(e):
@@ -140,7 +169,11 @@ def join_lists(e: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _profile(docs: DataFrame, size: int, parts: int) -> DataFrame:
+    """Of every document its set's digest and size (kind 0), and counts of
+    shingles that come often (kind 1)."""
+
     def run(batches):
+        lean()
         held, amount = [], 0
 
         def counts():
@@ -148,54 +181,72 @@ def _profile(docs: DataFrame, size: int, parts: int) -> DataFrame:
             often = n > 2
             r = np.empty(int(often.sum()), COUNT)
             r["tok"], r["n"] = tok[often], n[often]
-            for p, blob in _by_part(r, (r["tok"] >> np.uint64(40)) % np.uint64(parts)):
-                yield 1, None, None, None, p, blob
+            for p, rows in by_part(r, part_of(r["tok"], parts)):
+                yield 1, None, None, None, None, p, rows.tobytes()
 
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             ids, sizes = [], []
             for a, b in runs(offsets):
                 for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size):
-                    ids.append(set_id(s) if len(s) else None)
+                    ids.append(set_digest(s) if len(s) else (None, None))
                     sizes.append(len(s))
                     held.append(s)
                     amount += len(s)
-                if amount > 4_000_000:
-                    yield from _batches(counts(), PROFILE)
+                if amount > COUNTED:
+                    yield from batches_of(counts(), PROFILE)
                     held, amount = [], 0
             n = len(ids)
-            yield _columns(PROFILE, [0] * n, batch.column(0), ids, sizes, [None] * n, [None] * n)
+            yield _columns(PROFILE, [0] * n, batch.column(0), [x for x, _ in ids], [y for _, y in ids], sizes, [None] * n, [None] * n)
         if held:
-            yield from _batches(counts(), PROFILE)
+            yield from batches_of(counts(), PROFILE)
+        held.clear()
+        give_back()
+
+    return docs.mapInArrow(run, "kind int, key bigint, set bigint, more bigint, n bigint, part int, blob binary")
+
+
+def torn_ids(profile: DataFrame) -> list[int]:
+    """64-bit ids that sets with different digests share.  Of n sets about n^2 / 2^65
+    ids are: none of a billion, some dozen of 50 billion."""
+    found = profile.where("set is not null").groupBy("set").agg(F.min("more").alias("x"), F.max("more").alias("y")).where("x <> y")
+    return [r["set"] for r in found.select("set").collect()]
+
 
-    return docs.mapInArrow(run, "kind int, key bigint, set bigint, n bigint, part int, blob binary")
+def _own_id(torn: list[int]) -> Column:
+    if not torn:
+        return F.col("set")
+    return F.when(F.col("set").isin(*torn), F.xxhash64("set", "more")).otherwise(F.col("set"))
 
 
-def _frequent(profile: DataFrame, spark) -> np.ndarray:
+def _frequent(profile: DataFrame, spark, parts: int) -> np.ndarray:
     def total(batches):
-        blobs = [np.frombuffer(x, COUNT) for batch in batches for x in batch.column(1).to_pylist()]
-        if blobs:
-            r = np.concatenate(blobs)
+        lean()
+        for (blobs,) in part_by_part(batches, [1]):
+            r = np.frombuffer(b"".join(blobs), COUNT)
             tok, back = np.unique(r["tok"], return_inverse=True)
             n = np.bincount(back, r["n"]).astype(np.int64)
             often = n >= FREQUENT_FROM
             yield pa.RecordBatch.from_arrays([pa.array(tok[often].view(np.int64)), pa.array(n[often])], names=["tok", "n"])
+        give_back()
 
-    seen = profile.where("kind = 1").select("part", "blob").repartition(partitions(spark), "part").mapInArrow(total, "tok bigint, n bigint")
+    seen = dealt(profile.where("kind = 1").select("part", "blob"), parts).mapInArrow(total, "tok bigint, n bigint")
     rows = seen.orderBy(F.desc("n"), "tok").limit(FREQUENT).collect()
     return np.array([r[0] for r in rows], np.int64).view(np.uint64)
 
 
-def _index(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, parts: int) -> DataFrame:
+def _index(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, torn: list[int], parts: int) -> DataFrame:
     order = np.argsort(frequent)
     toks, places = frequent[order], len(frequent) - order  # the most frequent is the last
+    apart = frozenset(torn)
 
     def run(batches):
+        lean()
         held, amount, seen = [], 0, set()
 
         def send():
             e = np.concatenate(held)
-            return _by_part(e, (e["tok"] >> np.uint64(40)) % np.uint64(parts))
+            return ((p, rows.tobytes()) for p, rows in by_part(e, part_of(e["tok"], parts)))
 
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
@@ -209,49 +260,67 @@ def _index(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, parts
                     rank[hit] = places[at[hit]]
                 cuts = np.cumsum([len(s) for s in sets])
                 for s, end in zip(sets, cuts.tolist(), strict=True):
-                    if len(s) and (sid := set_id(s)) not in seen:
-                        seen.add(sid)
+                    if not len(s):
+                        continue
+                    both = set_digest(s)
+                    if both not in seen:
+                        seen.add(both)
+                        sid = both[0] if both[0] not in apart else _xxhash(both)
                         held.append(_entries(s, sid, rank[end - len(s) : end], percent))
                         amount += len(held[-1])
-                if amount > 1_500_000:
-                    yield from _batches(send(), INDEX)
+                if amount > HELD:
+                    yield from batches_of(send(), INDEX)
                     held, amount = [], 0
-                    if len(seen) > 500_000:
+                    if len(seen) > SEEN:
                         seen = set()
         if held:
-            yield from _batches(send(), INDEX)
+            yield from batches_of(send(), INDEX)
+        held.clear()
+        seen.clear()
+        give_back()
 
     return docs.mapInArrow(run, "part int, blob binary")
 
 
-def _candidates(index: DataFrame, percent: int, lengths_only: bool = False) -> DataFrame:
+def _xxhash(both: tuple[int, int]) -> int:
+    """What Spark's ``xxhash64`` of two numbers gives."""
+    import xxhash
+
+    h = 42
+    for x in both:
+        h = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def _candidates(index: DataFrame, percent: int, parts: int, lengths_only: bool = False) -> DataFrame:
     """Pairs of short lists and stars of long ones (PAIR: a, b), and the entries of
     long lists (LIST: tok, first set, set, n, pos).  ``lengths_only``: the long
     lists' tokens and lengths (tok, n) alone."""
 
     def run(batches):
-        blobs = [np.frombuffer(x, ENTRY) for batch in batches for x in batch.column(1).to_pylist()]
-        if not blobs:
-            return
-        if lengths_only:
-            e = np.concatenate(blobs)
-            e = e[np.lexsort((e["set"], e["tok"]))]
-            e = e[np.append(True, (e["tok"][1:] != e["tok"][:-1]) | (e["set"][1:] != e["set"][:-1]))]
-            tok, n = np.unique(e["tok"], return_counts=True)
-            tok, n = tok[n > SMALL], n[n > SMALL]
-            none = np.zeros(len(tok), np.int64)
-            yield _columns(FOUND, np.full(len(tok), LIST, np.int32), tok.view(np.int64), none, none, n, none)
-            return
-        a, b, rest = join_lists(np.concatenate(blobs), percent)
-        none = np.zeros(len(a), np.int64)
-        if len(a):
-            yield _columns(FOUND, np.full(len(a), PAIR, np.int32), none, a, b, none, none)
-        if len(rest):
-            first = np.flatnonzero(np.append(True, rest["tok"][1:] != rest["tok"][:-1]))
-            lead = np.repeat(np.minimum.reduceat(rest["set"], first), np.diff(np.append(first, len(rest))))
-            yield _columns(FOUND, np.full(len(rest), LIST, np.int32), rest["tok"].view(np.int64), lead, rest["set"], rest["n"].astype(np.int64), rest["pos"].astype(np.int64))
-
-    return index.repartition(partitions(index.sparkSession), "part").mapInArrow(run, "kind int, tok bigint, a bigint, b bigint, n bigint, pos bigint")
+        lean()
+        for (blobs,) in part_by_part(batches, [1]):
+            e = np.frombuffer(b"".join(blobs), ENTRY)
+            blobs.clear()
+            if lengths_only:
+                e = e[np.lexsort((e["set"], e["tok"]))]
+                e = e[np.append(True, (e["tok"][1:] != e["tok"][:-1]) | (e["set"][1:] != e["set"][:-1]))]
+                tok, n = np.unique(e["tok"], return_counts=True)
+                tok, n = tok[n > SMALL], n[n > SMALL]
+                none = np.zeros(len(tok), np.int64)
+                yield _columns(FOUND, np.full(len(tok), LIST, np.int32), tok.view(np.int64), none, none, n, none)
+                continue
+            a, b, rest = join_lists(e, percent)
+            none = np.zeros(len(a), np.int64)
+            if len(a):
+                yield _columns(FOUND, np.full(len(a), PAIR, np.int32), none, a, b, none, none)
+            if len(rest):
+                first = np.flatnonzero(np.append(True, rest["tok"][1:] != rest["tok"][:-1]))
+                lead = np.repeat(np.minimum.reduceat(rest["set"], first), np.diff(np.append(first, len(rest))))
+                yield _columns(FOUND, np.full(len(rest), LIST, np.int32), rest["tok"].view(np.int64), lead, rest["set"], rest["n"].astype(np.int64), rest["pos"].astype(np.int64))
+        give_back()
+
+    return dealt(index, parts).mapInArrow(run, "kind int, tok bigint, a bigint, b bigint, n bigint, pos bigint")
 
 
 def verify(pairs: DataFrame, members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -270,19 +339,20 @@ def verify(pairs: DataFrame, members: DataFrame, texts: DataFrame, words: int, p
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("overlap", pa.int64()), ("linked", pa.bool_())])
 
     def run(batches):
+        lean()
         current, items = None, None
         for batch in batches:
             data, offsets = text_bytes(batch.column(4))
-            sets = (s for x, y in runs(offsets) for s in shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], words))
+            sets = (s for x, y in runs(offsets) for s in shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], words, twice=True))
             out = []
             for a, role, b, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), sets, strict=True):
                 if role == 0:
                     current, items = a, s
                 elif a == current:
-                    at = np.minimum(np.searchsorted(items, s), len(items) - 1)
-                    both = int((items[at] == s).sum())
+                    both = overlap(items, s)
                     out.append((a, b, len(items), len(s), both, 100 * both >= percent * (len(items) + len(s) - both)))
-            yield from _batches(iter(out), schema)
+            yield from batches_of(iter(out), schema)
+        give_back()
 
     return both.mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, overlap bigint, linked boolean")
 
@@ -316,44 +386,66 @@ def _across(lists: DataFrame, roots: DataFrame, checked: DataFrame, percent: int
     by_lead = by_lead.unionByName(checked.select(F.col("b").alias("lead"), F.col("a").alias("other"), "overlap", F.col("n_b").alias("n_a")))
     named = named.withColumnRenamed("a", "lead").join(by_lead.withColumnRenamed("other", "b"), ["lead", "b"], "left")
     rows = named.select("tok", "b", "n", "pos", "root", "lead", F.coalesce("overlap", F.lit(-1)).cast("bigint").alias("o"), F.coalesce("n_a", F.lit(0)).cast("bigint").alias("nc"))
-    rows = rows.repartition(partitions(lists.sparkSession), "tok").sortWithinPartitions("tok", "n", "b")
+    # a long list goes to several tasks, each probes it with a slice of its entries
+    slices = rows.groupBy("tok").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    rows = rows.join(slices, "tok").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = rows.select("tok", "slice", "slices", "b", "n", "pos", "root", "lead", "o", "nc").repartition(partitions(lists.sparkSession), "tok", "slice").sortWithinPartitions("tok", "slice", "n", "pos", "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
 
     def one_list(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        b, n, pos, root, lead, o, nc = x
+        slice_, slices, b, n, pos, root, lead, o, nc = x
         o = np.where(b == lead, n, o)
         nc = np.full(len(b), max(int(nc.max()), int(n[b == lead].max(initial=0))))
-        for i in range(len(b) - 1):
-            # sizes ascend: everything from ``stop`` on is too large
+        # blocks of one size, each in order of position
+        begins = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
+        wide = np.int64(max(int(pos.max()), 0) + 2)
+        place = n * wide + pos
+        left, right, certain = [], [], []
+        for i in range(int(slice_[0]), len(b) - 1, int(slices[0])):
+            # sizes ascend: the blocks from ``stop`` on are too large
             stop = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
-            j = np.arange(i + 1, max(stop, i + 1))
-            j = j[root[j] != root[i]]
-            if not len(j):
+            blocks = begins[(begins < stop) & (n[begins] >= n[i])]
+            size = n[blocks]
+            need = needed(np.full(len(size), n[i]), size, percent)
+            # behind the last position that leaves room the rest of a block is skipped
+            last = np.where(n[i] - pos[i] >= need, np.clip(size - need, -1, wide - 1), -1)
+            ends = np.searchsorted(place, size * wide + last, "right")
+            starts = np.maximum(blocks, i + 1)
+            count = np.maximum(ends - starts, 0)
+            if not count.any():
                 continue
-            j = j[_fits(np.full(len(j), n[i]), n[j], np.full(len(j), pos[i]), pos[j], percent)]
-            need = needed(np.full(len(j), n[i]), n[j], percent)
-            known = (o[j] >= 0) & (o[i] >= 0)
+            j = np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            need = np.repeat(need, count)
             most = np.minimum(o[i], o[j]) + np.minimum(n[i] - o[i], n[j] - o[j])
-            fine = ~known | (most >= need)
+            known = (o[j] >= 0) & (o[i] >= 0)
+            fine = (root[j] != root[i]) & (~known | (most >= need))
             j, need, known = j[fine], need[fine], known[fine]
             if len(j):
-                sure = known & (o[i] + o[j] - nc[j] >= need)
-                yield _columns(schema, np.minimum(b[i], b[j]), np.maximum(b[i], b[j]), sure)
+                left.append(np.minimum(b[i], b[j]))
+                right.append(np.maximum(b[i], b[j]))
+                certain.append(known & (o[i] + o[j] - nc[j] >= need))
+            if sum(map(len, left)) > 100_000:
+                yield _columns(schema, *map(np.concatenate, (left, right, certain)))
+                left, right, certain = [], [], []
+        if left:
+            yield _columns(schema, *map(np.concatenate, (left, right, certain)))
 
     def run(batches):
-        tok, held = None, []
+        lean()
+        now, held = None, []
         for batch in batches:
-            t = batch.column(0).to_numpy()
-            columns = [batch.column(i).to_numpy() for i in range(1, 8)]
-            cuts = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.empty(0, int)
+            columns = [batch.column(i).to_numpy() for i in range(10)]
+            t, s = columns[0], columns[1]
+            cuts = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (s[1:] != s[:-1]))) if len(t) else np.empty(0, int)
             for a, z in zip(cuts.tolist(), np.append(cuts[1:], len(t)).tolist(), strict=True):
-                if t[a] != tok:
+                if (t[a], s[a]) != now:
                     if held:
                         yield from one_list([np.concatenate(c) for c in zip(*held, strict=True)])
-                    tok, held = t[a], []
-                held.append([c[a:z] for c in columns])
+                    now, held = (t[a], s[a]), []
+                held.append([c[a:z] for c in columns[1:]])
         if held:
             yield from one_list([np.concatenate(c) for c in zip(*held, strict=True)])
+        give_back()
 
     return rows.mapInArrow(run, "a bigint, b bigint, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
@@ -362,22 +454,25 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     """One row per input row: ``id``, ``n_shingles``, ``component_id`` (the
     smallest id of its component) and ``key`` (unique, in the order of ids)."""
     spark = docs.sparkSession
-    parts = 4 * partitions(spark)
+    small_batches(spark)
+    parts = SLICES * partitions(spark)
     keyed = with_key(docs, id_col, text_col)
     texts = keyed.select("key", "text")
     profile = materialize(_profile(texts, words, parts), "jaccard-sets")
-    members = profile.where("kind = 0").select("key", "set", "n")
-    frequent = _frequent(profile, spark)
+    sets = profile.where("kind = 0")
+    torn = torn_ids(sets)
+    members = sets.select("key", _own_id(torn).alias("set"), "n")
+    frequent = _frequent(profile, spark, parts)
     # a first index finds the shingles whose lists are long; they go behind the
     # rest of the order, and the second index has short lists
-    met = _candidates(_index(texts, words, percent, frequent, parts), percent, lengths_only=True)
-    long = materialize(met.select("tok", "n"), "jaccard-lists").orderBy(F.desc("n"), "tok").limit(FREQUENT).collect()
+    met = materialize(_candidates(_index(texts, words, percent, frequent, torn, parts), percent, parts, lengths_only=True).select("tok", "n"), "jaccard-lists")
+    long = met.orderBy(F.desc("n"), "tok").limit(FREQUENT).collect()
     known = dict.fromkeys(frequent.view(np.int64).tolist())
     # those of the sample stay the most frequent, the new ones follow by length
     more = [r["tok"] for r in long if r["tok"] not in known]
     frequent = np.array([*known, *more][:FREQUENT], np.int64).view(np.uint64)
     tidy(spark)
-    found = materialize(_candidates(_index(texts, words, percent, frequent, parts), percent), "jaccard-candidates")
+    found = materialize(_candidates(_index(texts, words, percent, frequent, torn, parts), percent, parts), "jaccard-candidates")
     tidy(spark)
     pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
     lists = found.where(F.col("kind") == LIST).select("tok", "a", "b", "n", "pos")
@@ -394,8 +489,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         roots = components(links.unionByName(left.where("sure").select("a", "b")).unionByName(more))
     rooted = members.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("key").alias("least"))
-    owner = rooted.join(least, "root", "left").select("key", "n", F.coalesce("least", "key").alias("least"))
-    if keyed.select(F.max(F.col("key") != F.col("id"))).first()[0] is False:
+    owner = materialize(rooted.join(least, "root", "left").select("key", "n", F.coalesce("least", "key").alias("least")), "jaccard-owners")
+    drop(spark, profile, met, found, checked, left)
+    if keyed.schema["id"].dataType.typeName() in ("long", "integer", "short", "byte") and keyed.select(F.max(F.col("key") != F.col("id"))).first()[0] is False:
         return owner.select(F.col("key").alias("id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), "key")
     names = keyed.select("key", "id")
     return owner.join(names, "key").join(names.select(F.col("key").alias("least"), F.col("id").alias("component_id")), "least").select("id", F.col("n").alias("n_shingles"), "component_id", "key")

@@ -45,12 +45,14 @@ l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_d
 m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
         CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+        length(regexp_replace(text, '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]', '', 'g')) AS n_letters,
+        len(list_filter(string_split(text, chr(10)), lambda x: ends_with(x, '...'))) AS n_ellipses,
         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 """
-KEPT = "NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words)"
+KEPT = "NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR n_words > 100000 OR 10 * n_ellipses > 3 * n_lines OR 2 * n_letters < word_chars)"
 
 OP7 = f"""
 WITH src AS (SELECT doc_id, text FROM documents), {RULE_CTES}

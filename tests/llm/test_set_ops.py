@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from hearsay.llm import chat, debruijn, exact, jaccard, licenses, oracles, queries, repeats, suffixes
+from hearsay.llm import chat, debruijn, exact, jaccard, licenses, oracles, queries, spans, suffixes
 from hearsay.llm.words import Rolling, mix
 from pyspark.sql import functions as F
 
@@ -51,7 +51,7 @@ def test_suffixes(spark, seed):
 @pytest.mark.parametrize("hot", [0, 256])
 def test_hot_contexts(spark, monkeypatch, hot):
     """One passage between many different texts; opened by window and by run."""
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(suffixes, "HOT", hot)
     rng = random.Random(9)
     word = lambda: f"w{rng.randrange(10**6)}"
     passage = [word() for _ in range(45)]
@@ -78,16 +78,56 @@ def test_suffix_sorter():
 def test_runs_are_the_same_wherever_they_stand():
     rng = np.random.default_rng(2)
     shared = mix(rng.integers(1, 1 << 60, 200).astype(np.uint64))
-    spec = repeats.Windows(35, 12, False, lambda d, o: (d, o))
     seen = []
     for lead in (0, 7, 50):
         x = np.concatenate([mix(rng.integers(1, 1 << 60, lead).astype(np.uint64)), shared])
-        r = repeats.window_runs(x, np.array([0, len(x)]), np.array([lead]), spec)
-        assert int(r["n"].astype(int).sum()) == len(x) - 34
-        seen.append(set(r["s"].tolist()))
+        own, lo, n, at, h = spans.minimizer_runs(x, np.array([0, len(x)]), 35, 12)
+        assert int(n.sum()) == len(x) - 34
+        seen.append({(x[a : a + c + 34].tobytes(), p, k) for a, c, p, k in zip(lo.tolist(), n.tolist(), at.tolist(), h.tolist())})
     assert len(seen[0] & seen[1] & seen[2]) > 8
 
 
+def thue_morse(a, b, n):
+    """A word over a and b and its complement: every polynomial hash modulo a power of two takes them for equal."""
+    w = [0]
+    while len(w) < n:
+        w += [1 - x for x in w]
+    return "".join((a, b)[x] for x in w), "".join((b, a)[x] for x in w)
+
+
+def test_words_that_linear_hashes_confuse(spark):
+    a, b = thue_morse("a", "b", 2048)
+    lead = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{lead} {a}"), (2, f"{lead} {b}")]
+    assert [r["n_removed"] for r in debruijn.substring_dedup(docs(spark, rows)).collect()] == [0, 0]
+    got = {r["id"]: (bytes(r["kept"]), r["n_removed"], len(r["removed_start"])) for r in suffixes.suffix_dedup(docs(spark, rows)).collect()}
+    assert got == brute.suffixes(rows, 100)
+    rows = [(1, f"p q r s {a}"), (2, f"p q r s {b}")]
+    assert {r["id"]: r["component_id"] for r in jaccard.jaccard_components(docs(spark, rows)).collect()} == {1: 1, 2: 2}
+
+
+def test_colliding_hashes_are_noticed(monkeypatch):
+    """With a hash that says that all suffixes are equal the bytes still decide."""
+    rng = np.random.default_rng(3)
+    symbols, starts = rng.integers(0, 2, 400).astype(np.uint8), np.arange(300)
+
+    class Alike(suffixes.Rolling):
+        def of(self, a, b):
+            return np.zeros(len(a), np.uint64)
+
+    monkeypatch.setattr(suffixes, "Rolling", Alike)
+    group = suffixes.SuffixSorter(symbols, starts, np.zeros(300, np.uint64), 8).groups()
+    words = [symbols[i : i + 8].tobytes() for i in starts]
+    assert len(set(group.tolist())) == len(set(words)) == len(set(zip(group.tolist(), words, strict=True)))
+
+
+def test_compacted_paths(spark):
+    """A chain, a branch and a ring."""
+    rows = [(i, 100 + i, 101 + i, 2) for i in range(1, 20)] + [(50, 120, 500, 1), (51, 120, 501, 1), (60, 700, 701, 1), (61, 701, 700, 1)]
+    got = {r["path"]: (r["root"], r["ahead"]) for r in debruijn.compacted(spark.createDataFrame(rows, "path bigint, a bigint, b bigint, n bigint"))[0].collect()}
+    assert got == {i: (1, 2 * (i - 1)) for i in range(2, 20)}
+
+
 def test_repeated_and_missing_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = docs(spark, [(None, text), (1, text), (1, text), (2, "short"), (None, None)])
@@ -122,6 +162,26 @@ def test_jaccard_long_lists(spark):
     assert got == brute.components(rows)
 
 
+def _weak_digest(s):
+    return len(s) % 3, int(s.sum() >> np.uint64(1))
+
+
+def test_sets_whose_ids_collide(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "set_digest", _weak_digest)
+    rows = corpus(6, 40)
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs(spark, rows)).collect()}
+    assert got == brute.components(rows)
+
+
+def test_ids_that_are_strings(spark):
+    rows = [(f"doc-{i:05}", t) for i, t in corpus(1, 20)]
+    src = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id string, text string, spans string")
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(src).collect()} == brute.components(rows)
+    want = brute.suffixes(rows, 100)
+    assert {r["id"]: (bytes(r["kept"]), r["n_removed"], len(r["removed_start"])) for r in suffixes.suffix_dedup(src).collect()} == want
+    assert {r["id"]: r["n_removed"] for r in debruijn.substring_dedup(src).collect()} == {i: n for (i, _), (_, n) in zip(rows, brute.substrings(rows, 35), strict=True)}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 40), (40, 45), (7, 7)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in jaccard.components(links).collect()}
