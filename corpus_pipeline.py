@@ -26,7 +26,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
-    return apply_rules(docs, measures=False, only_kept=True).drop("kept")
+    return apply_rules(docs, measures=False, only_kept=True)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
