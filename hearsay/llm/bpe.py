@@ -68,6 +68,9 @@ class MergeVocabulary:
         # verdicts of pairs met before: a direct-mapped table of fixed size
         self.seen_keys = np.full(1 << 20, -1, np.int64)
         self.seen_ok = np.zeros(1 << 20, bool)
+        #: The tokens that merging can give, by their symbols.
+        self.reachable = {tokens[t]: t for t in reachable}
+        self._known: dict[tuple[int, int], bool] = {}
         self._trie([(t, tokens[t]) for t in sorted(reachable, key=lambda t: len(tokens[t]))])
 
     def _trie(self, entries) -> None:
@@ -141,6 +144,30 @@ class MergeVocabulary:
             self.seen_ok[slot[new[won]]] = out[new[won]]
         return out
 
+    def fits(self, a: int, b: int) -> bool:
+        """``compatible`` for one pair."""
+        key = (a, b)
+        if (known := self._known.get(key)) is None:
+            if len(self._known) > 1_000_000:
+                self._known.clear()
+            known = self._known[key] = bool(self._walk_one(a, b))
+        return known
+
+    def _walk_one(self, x: int, y: int) -> bool:
+        rank, left, right, pairs, never = self.rank, self.left, self.right, self.pairs, (int(NONE),)
+        cx = cy = int(NONE)
+        while True:
+            r = pairs.get((x, y), never)[0]
+            if r < cx and r <= cy:
+                return False
+            rx, ry = int(rank[x]), int(rank[y])
+            if rx < 0 and ry < 0:
+                return True
+            if ry >= rx:
+                cy, y = ry, int(left[y])
+            else:
+                cx, x = rx, int(right[x])
+
     def _walk(self, keys: np.ndarray) -> np.ndarray:
         x, y = keys // self.size, keys % self.size
         ok = np.ones(len(keys), bool)

@@ -249,16 +249,17 @@ def compacted(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     links = materialize(joints.join(nodes.select(F.col("path").alias("root"), F.col("n").alias("ahead")), "root").select("path", "root", "ahead"), "path-links")
     done = links.limit(0)
     written = [links]
-    # a chain of 2^40 paths is a ring: its paths stay as they are
-    for _ in range(40):
-        if links.isEmpty():
-            break
+    while not links.isEmpty():
         step = links.withColumn("ended", F.lit(False)).unionByName(done.withColumn("ended", F.lit(True)))
         step = step.select(F.col("path").alias("root"), F.col("root").alias("root2"), F.col("ahead").alias("ahead2"), "ended")
         moved = links.join(step, "root", "left").select("path", F.coalesce("root2", "root").alias("root"), (F.col("ahead") + F.coalesce("ahead2", F.lit(0))).alias("ahead"), F.coalesce("ended", F.lit(True)).alias("end"))
         moved = materialize(moved, "path-links")
         written.append(moved)
-        done = done.unionByName(moved.where("end").drop("end"))
+        ended = moved.where("end").drop("end")
+        # some link of every chain ends in every round: what is left are rings, whose paths stay as they are
+        if ended.isEmpty():
+            break
+        done = done.unionByName(ended)
         links = moved.where("not end").drop("end")
     return done, written
 

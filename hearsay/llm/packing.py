@@ -33,19 +33,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .store import materialize, partitions
-from .units import UnitCache, filled, groups
+from .store import materialize, partitions, small_batches
+from .units import UnitCache
+from .words import BLANK, LOWER, distinct, give_back, lean, runs, text_bytes, words_of
 
 K1, B = 1.2, 0.75
 #: Documents are routed by so many terms; those that have fewer go last.
 KEYS, LAST = 4, np.iinfo(np.int32).max
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_ODD_SPACE = re.compile(r"[\x1c-\x1f\s]")
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[BLANK] = 0
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[128:] = _LETTER
+#: Bytes of chunks that are cut all at once: ASCII without control characters and the apostrophe.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[33:127] = True
+_PLAIN[BLANK] = True
+_PLAIN[39] = False
+#: Units that a worker remembers at most; then it starts over.
+WORDS_KEPT, ODD_KEPT = 400_000, 100_000
 
 
 class WordTokenizer:
-    """The lower-casing word vocabulary; chunks between white space never interact."""
+    """The lower-casing word vocabulary, over whole batches of bytes.
+
+    Chunks between blanks never interact.  Chunks of ASCII and Latin letters are
+    cut where the kind of character changes, all at once; others (apostrophes,
+    further alphabets, control strings) are cut by pattern or go to the library.
+    Each distinct unit of a batch is looked up once.
+    """
 
     def __init__(self, path: str):
         os.environ["RAYON_NUM_THREADS"] = "1"
@@ -54,42 +73,85 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.vocabulary = bpe.from_json(path)
-        self.cache = UnitCache(self._encode)
+        self.words = UnitCache(self._encode_words, WORDS_KEPT)
+        self.odd = UnitCache(self._encode_odd, ODD_KEPT)
 
-    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words: list[bytes] = []
-        per = np.zeros(len(chunks), np.int64)
-        strange: list[int] = []
-        for i, c in enumerate(chunks):
-            # composed Latin letters are their own normal form and lower-case one by one
-            if not (c.isascii() or max(c) < "İ") or "<|" in c:
-                strange.append(i)
-            elif c.isalpha():
-                words.append(c.lower().encode())
-                per[i] = 1
-            else:
-                found = _WORD.findall(c.lower())
-                words += [w.encode() for w in found]
-                per[i] = len(found)
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum([0, *map(len, words)], dtype=np.int64)
         flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
-        if len(words):
-            flat[ends[1:] - 1] += 256
-        ids, n = self.vocabulary.encode_many(flat, ends)
-        counts = np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per)])])
-        if not strange:
-            return ids, counts
-        pieces = np.split(ids, np.cumsum(counts)[:-1])
-        for i, e in zip(strange, self.library.encode_batch_fast([chunks[i] for i in strange], add_special_tokens=False), strict=True):
-            pieces[i] = np.asarray(e.ids, np.int32)
-            counts[i] = len(e.ids)
-        return np.concatenate(pieces).astype(np.int32), counts
+        flat[ends[1:] - 1] += 256
+        return self.vocabulary.encode_many(flat, ends)
+
+    def _encode_odd(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        parts: list[list[bytes] | None] = []
+        for c in chunks:
+            t = c.decode()
+            # composed Latin letters are their own normal form and lower-case one by one
+            plain = (t.isascii() or max(t) < "İ") and "<|" not in t and not _ODD_SPACE.search(t)
+            parts.append([w.encode() for w in _WORD.findall(t.lower())] if plain else None)
+        words = [w for p in parts if p for w in p]
+        ids, ends = self.words.spread(self.words.codes(words)) if words else (np.empty(0, np.int32), np.empty(0, np.int64))
+        ends = np.concatenate([[0], ends])
+        strange = [i for i, p in enumerate(parts) if p is None]
+        found = iter(self.library.encode_batch_fast([chunks[i].decode() for i in strange], add_special_tokens=False)) if strange else iter(())
+        out, at = [], 0
+        for p in parts:
+            if p is None:
+                out.append(np.asarray(next(found).ids, np.int32))
+            else:
+                out.append(ids[ends[at] : ends[at + len(p)]])
+                at += len(p)
+        return np.concatenate(out).astype(np.int32), np.array([len(x) for x in out])
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, where each text's begin and the total)."""
+        starts, ends, first = words_of(data, offsets)
+        if not len(starts):
+            return np.empty(0, np.int32), np.zeros(len(offsets), np.int64)
+        before = np.append(np.uint8(32), data[:-1])
+        after = np.append(data[1:], np.uint8(32))
+        latin = before == 0xC3
+        fine = _PLAIN[data] | (data == 0xC3) & (after >= 0x80) | latin & (data >= 0x80) & (data != 0x97) & (data != 0xB7)
+        fine &= ~((data == 60) & (after == 124))  # a control string may begin
+        bad = np.concatenate([[0], np.cumsum(~fine)])
+        odd = bad[ends] > bad[starts]
+        low = LOWER[data]
+        low[latin & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 32
+        # where the kind changes, and at each digit, a unit of a plain chunk begins
+        kind = _KIND[data]
+        begins = (kind != _KIND[before]) & (kind > 0) | (kind == _DIGIT)
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts[odd]] += 1
+        inside[ends[odd]] -= 1
+        begins &= np.cumsum(inside[:-1]) == 0
+        begins[starts] = True
+        at = np.flatnonzero(begins)
+        chunk = np.searchsorted(starts, at, "right") - 1
+        stop = np.minimum(np.append(at[1:], len(data)), ends[chunk])
+        strange = odd[chunk]
+        codes = np.empty(len(at), np.int64)
+        counts = np.empty(len(at), np.int64)
+        sources = []
+        for cache, rows, bytes_ in ((self.words, np.flatnonzero(~strange), low), (self.odd, np.flatnonzero(strange), data)):
+            place, number = distinct(bytes_, at[rows], stop[rows])
+            raw = bytes_.tobytes()
+            units = [raw[a:b] for a, b in zip(at[rows][place].tolist(), stop[rows][place].tolist(), strict=True)]
+            code = cache.codes(units) if units else np.empty(0, np.int64)
+            codes[rows] = cache.start[code][number] if units else 0
+            counts[rows] = cache.count[code][number] if units else 0
+            sources.append(cache.ids)
+            # codes hold until the next call only: the ids of the first cache must not move meanwhile
+        total = np.concatenate([[0], np.cumsum(counts)])
+        gather = np.repeat(codes - total[:-1], counts) + np.arange(total[-1])
+        from_odd = np.repeat(strange, counts)
+        ids = np.empty(total[-1], np.int32)
+        ids[~from_odd] = sources[0][gather[~from_odd]]
+        ids[from_odd] = sources[1][gather[from_odd]]
+        return ids, total[np.searchsorted(at, offsets)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        each = [[c for c in _WHITE.split(t) if c] if _ODD_SPACE.search(t) else t.split() for t in texts]
-        ids, ends = self.cache.spread(self.cache.codes([c for x in each for c in x]))
-        stops = np.concatenate([[0], ends])[np.cumsum([0, *map(len, each)])]
-        return [ids[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
+        ids, cuts = self.encode_bytes(*text_bytes(pa.array(texts, pa.string())))
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 class Corpus:
@@ -233,25 +295,38 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     kind = src.schema["__id"].dataType.simpleString()
-    end = np.array([end_id], np.int32)
+    small_batches(spark)
     # two bytes an id where the vocabulary allows it
     kept_as = "<u2" if max(_words(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
 
     def tokenise(batches):
+        lean()
         tok = _tokenizer(tokenizer)
         task = TaskContext.get()
         at = (task.partitionId() if task else 0) << 33
         for batch in batches:
-            texts = filled(batch.column(1))
-            for a, b in groups(texts):
-                raw = [np.concatenate([t, end]).astype(kept_as).tobytes() for t in tok.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(raw, pa.binary()), pa.array(range(at, at + b - a), pa.int64())], names=["__id", "__ids", "__at"])
-                at += b - a
+            data, offsets = text_bytes(batch.column(1))
+            for a, b in runs(offsets, 2_000_000):
+                ids, cuts = tok.encode_bytes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                # every document ends with its end token
+                n = b - a
+                out = np.empty(len(ids) + n, kept_as)
+                last = cuts[1:] + np.arange(n)
+                out[last] = end_id
+                body = np.ones(len(out), bool)
+                body[last] = False
+                out[body] = ids
+                borders = np.concatenate([[0], last + 1]) * out.itemsize
+                raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(borders.astype(np.int32)), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), raw, pa.array(np.arange(at, at + n))], names=["__id", "__ids", "__at"])
+                at += n
+        give_back()
 
     tokens = materialize(src.mapInArrow(tokenise, f"__id {kind}, __ids binary, __at bigint"), "packing-tokens")
 
     def count(batches):
         _tokenizer.cache_clear()  # the workers stay, and no longer need what they remember of words
+        give_back()
         df, n, size = np.zeros(0, np.int64), 0, 0
         for batch in batches:
             found = _documents(batch.column(0), kept_as)
@@ -283,7 +358,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
     routed = routed.repartitionByRange(parts, *keys, "__at").sortWithinPartitions(*keys, "__at").select("__id", "__ids")
 
     def run(batches):
+        lean()
         _tokenizer.cache_clear()
+        give_back()
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 32
         id_type = pa.int64()

@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .store import small_batches
 from .units import UnitCache, filled, groups
+from .words import lean
 
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -121,9 +123,11 @@ def _encoder(model: str) -> PieceEncoder:
 def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, ``ids`` (binary: little-endian unsigned
     32-bit ids) and ``decoded`` (the model's own decoding of them)."""
-    src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    small_batches(docs.sparkSession)
+    src = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
 
     def run(batches):
+        lean()
         enc = _encoder(model)
         for batch in batches:
             texts = filled(batch.column(1))

@@ -176,9 +176,10 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "
 
 
 def ordered(rules: tuple[Rule, ...], estimates: list[Estimate]) -> tuple[Rule, ...]:
-    """Most rejections per cost first; ties keep the given order."""
+    """Most rejections per cost first; ties keep the given order, rules without
+    an estimate come last."""
     worth = {e.name: e.rejected / max(e.cost, 1e-9) for e in estimates}
-    return tuple(sorted(rules, key=lambda r: -worth[r.name]))
+    return tuple(sorted(rules, key=lambda r: -worth.get(r.name, 0.0)))
 
 
 def cascade(m: Measures, rules: tuple[Rule, ...]) -> np.ndarray:

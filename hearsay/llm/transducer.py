@@ -1,14 +1,20 @@
 """Token counts from a compiled finite-state tokenizer (byte-level BPE files).
 
-Two machines run one after the other:
-
-* the splitter, a deterministic transducer over character classes whose
-  transitions say "a new word starts here".  Each character is a map from state
-  to state; maps are elements of a small finite monoid, multiplied by table.
-  Blocks of characters reduce to one element each and the elements compose by
-  parallel prefix scan, which gives the state before every character at once;
-* the word machine: the transitions of words seen so far, each annotated with
-  the tokens it emits, compiled on first sight from the merges.
+Two deterministic transducers run one after the other:
+
+* the splitter reads character classes; its transitions say "a new word starts
+  here".  Each character is a map from state to state; maps are elements of a
+  small finite monoid, multiplied by table.  Blocks of characters reduce to one
+  element each and the elements compose by parallel prefix scan, which gives the
+  state before every character at once;
+* the word machine reads bytes; its transitions carry how many tokens the
+  encoding gains or loses (``WordMachine``).  Every word starts it anew, so the
+  map of a word is constant - a number of tokens - and the maps of all words of a
+  text compose by a prefix sum.
+
+The word machine has finitely many states, but far more than any data visits; a
+state and its transitions are compiled when they are first reached.  Words of a
+batch are told apart by their bytes, and each distinct word runs once.
 
 Defined results: null and empty texts have 0 tokens; an added special string
 inside a text is one token; repeated rows repeat; other columns are ignored.
@@ -26,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .units import filled, groups
+from .store import small_batches
+from .words import distinct, give_back, lean, runs, text_bytes
 
 # classes of characters
 LETTER, NUMBER, OTHER, SPACE, WHITE, END = range(6)
@@ -35,8 +42,8 @@ S_LETTER, S_NUMBER, S_OTHER, S_QUOTE1, S_QUOTE2, S_LASTSPACE, S_LASTWHITE, S_WHI
 # states: what is open
 START, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_WHITE, AFTER_SPACE, ONE_MORE, TWO_MORE = range(8)
 WHITE_SPACE = {*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
-WORDS_KEPT = 600_000
-BASE = 0xD6E8FEB86659FD93
+#: Words, and transitions, that a worker keeps at most; then it starts over.
+WORDS_KEPT, TRANSITIONS_KEPT = 300_000, 600_000
 
 
 @lru_cache(maxsize=1)
@@ -145,74 +152,115 @@ def symbols_of(code: np.ndarray, text_ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _powers_of(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+class WordMachine:
+    """A deterministic transducer that counts the tokens of a word.
+
+    The encoding of a prefix ends in the one token that fits behind the encoding of
+    what lies before it (re-merging the two leaves them as they are).  Which token
+    that is depends on a bounded part of the past, and this is the state: the longest
+    end of the prefix that begins a token, and for every place in it the last token
+    of the encoding up to there and its number of tokens, counted from the end.  A
+    transition is annotated with the tokens that it adds (or takes back, when a byte
+    completes a longer token).
+    """
+
+    #: A place is one number: the token before it plus one (0: nothing lies before),
+    #: and in the low bits how many tokens the end has more, plus ``EVEN``.
+    LOW, EVEN = 10, 512
+
+    def __init__(self, vocabulary: bpe.MergeVocabulary):
+        self.token = {bytes(symbols): t for symbols, t in vocabulary.reachable.items()}
+        self.begins = {t[:i] for t in self.token for i in range(1, len(t) + 1)}
+        self.fits = vocabulary.fits
+        self._reset()
+
+    def _reset(self) -> None:
+        self.number: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.steps: dict[int, tuple[int, int]] = {}
+        self._state(b"", (self.EVEN,))
+
+    def _state(self, end: bytes, places: tuple) -> int:
+        key = (end, places)
+        if key not in self.number:
+            self.number[key] = len(self.states)
+            self.states.append(key)
+        return self.number[key]
+
+    def _compile(self, state: int, byte: int) -> tuple[int, int]:
+        """(next state, tokens added) of one transition."""
+        end, places = self.states[state]
+        end += bytes((byte,))
+        for at, place in enumerate(places):
+            t = self.token.get(end[at:])
+            if t is not None and (place < 1 << self.LOW or self.fits((place >> self.LOW) - 1, t)):
+                added = 1 + self.EVEN - (place & (1 << self.LOW) - 1)
+                break
+        else:
+            raise ValueError("a byte has no token")
+        places = (*(x + added for x in places), (t + 1 << self.LOW) + self.EVEN)
+        cut = next((i for i in range(len(end)) if end[i:] in self.begins), len(end))
+        step = self.steps[state << 8 | byte] = self._state(end[cut:], places[cut:]), added
+        return step
+
+    def count(self, word: bytes) -> int:
+        if len(self.steps) > TRANSITIONS_KEPT:
+            self._reset()
+        state, n, get = 0, 0, self.steps.get
+        for b in word:
+            state, added = get(state << 8 | b) or self._compile(state, b)
+            n += added
+        return n
 
 
 class TokenCounter:
     def __init__(self, path: str):
-        self.vocabulary = bpe.from_json(path)
+        self.machine = WordMachine(bpe.from_json(path))
         with open(path, encoding="utf-8") as f:
-            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+            self.special = [t["content"].encode() for t in json.load(f)["added_tokens"]]
         self.splitter = Splitter()
-        self.words: dict[int, int] = {}
-        self.power = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.power) < n:
-            n = max(n, 1 << 21)
-            with np.errstate(over="ignore"):
-                self.power = _powers_of(BASE, n)
-                self.inverse = _powers_of(pow(BASE, -1, 1 << 64), n)
-        return self.power, self.inverse
-
-    def _segments(self, text: str) -> tuple[list[str], int]:
-        parts, n = [text], 0
-        for s in self.special:
-            if s in text:
-                parts = [q for p in parts for q in p.split(s)]
-        return [p for p in parts if p], len(parts) - 1
-
-    def count(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros(len(texts), np.int64)
-        flat, owner = [], []
-        for i, t in enumerate(texts):
-            if any(s in t for s in self.special):
-                parts, out[i] = self._segments(t)
-                flat += parts
-                owner += [i] * len(parts)
-            elif t:
-                flat.append(t)
-                owner.append(i)
-        if not flat:
-            return out
-        joined = "".join(flat)
-        code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        ends = np.cumsum([len(t) for t in flat])
-        begins = ends - [len(t) for t in flat]
-        starts = self.splitter.starts(symbols_of(code, ends), begins)
-        stops = np.append(starts[1:], len(code))
-        power, inverse = self._powers(len(code))
-        with np.errstate(over="ignore"):
-            mixed = (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-            total = np.zeros(len(code) + 1, np.uint64)
-            np.cumsum(mixed * power[: len(code)], out=total[1:])
-            hashes = (total[stops] - total[starts]) * inverse[starts]
-        distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
+        self.words: dict[bytes, int] = {}
+
+    def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Tokens of each text; texts lie end to end."""
+        raw = data.tobytes()
+        if not any(s in raw for s in self.special):
+            return self._plain(raw, data, offsets)
+        # special strings are one token each, and what lies between them is on its own
+        parts, owner = [], []
+        out = np.zeros(len(offsets) - 1, np.int64)
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            own = [raw[a:b]]
+            for s in self.special:
+                own = [q for p in own for q in p.split(s)]
+            parts += own
+            owner += [i] * len(own)
+            out[i] = len(own) - 1
+        joined = b"".join(parts)
+        np.add.at(out, np.array(owner), self._plain(joined, np.frombuffer(joined, np.uint8), np.cumsum([0, *map(len, parts)])))
+        return out
+
+    def _plain(self, raw: bytes, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if not len(data):
+            return np.zeros(len(offsets) - 1, np.int64)
+        code = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+        byte_of = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        borders = np.searchsorted(byte_of, offsets)
+        some = np.flatnonzero(np.diff(borders) > 0)
+        starts = byte_of[self.splitter.starts(symbols_of(code, borders[some + 1]), borders[some])]
+        stops = np.append(starts[1:], len(data))
+        place, number = distinct(data, starts, stops)
         if len(self.words) > WORDS_KEPT:
             self.words.clear()
-        counts = np.fromiter(map(lambda k, get=self.words.get: get(k, -1), keys), np.int64, len(keys))
-        new = np.flatnonzero(counts < 0)
-        if new.size:
-            raw = [joined[a:b].encode() for a, b in zip(starts[where[new]].tolist(), stops[where[new]].tolist(), strict=True)]
-            counts[new] = self.vocabulary.encode_many(np.frombuffer(b"".join(raw), np.uint8).astype(np.int32), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))[1]
-            self.words.update(zip((keys[i] for i in new.tolist()), counts[new].tolist(), strict=True))
-        np.add.at(out, np.asarray(owner), np.diff(np.concatenate([[0], np.cumsum(counts[back])])[np.append(np.searchsorted(starts, begins), len(starts))]))
-        return out
+        counts = np.empty(len(place), np.int64)
+        for i, (a, b) in enumerate(zip(starts[place].tolist(), stops[place].tolist(), strict=True)):
+            word = raw[a:b]
+            n = self.words.get(word)
+            if n is None:
+                n = self.words[word] = self.machine.count(word)
+            counts[i] = n
+        total = np.concatenate([[0], np.cumsum(counts[number])])
+        return np.diff(total[np.searchsorted(starts, offsets)])
 
 
 @lru_cache(maxsize=2)
@@ -222,15 +270,17 @@ def _counter(path: str) -> TokenCounter:
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, ``n_bytes`` and ``n_tokens``."""
-    src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    small_batches(docs.sparkSession)
+    src = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
 
     def run(batches):
+        lean()
         counter = _counter(path)
         for batch in batches:
-            texts = filled(batch.column(1))
-            size = batch.column(1).to_pandas().map(lambda t: len(t.encode()) if t is not None else 0).to_numpy(np.int64) if len(texts) else np.empty(0, np.int64)
-            n = [counter.count(texts[a:b]) for a, b in groups(texts, 1_000_000)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.concatenate(n) if n else np.empty(0, np.int64), pa.int64())], names=["__id", "n_bytes", "n_tokens"])
+            data, offsets = text_bytes(batch.column(1))
+            n = [counter.count(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in runs(offsets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(np.concatenate(n) if n else np.empty(0, np.int64), pa.int64())], names=["__id", "n_bytes", "n_tokens"])
+        give_back()
 
     kind = src.schema["__id"].dataType.simpleString()
     return src.mapInArrow(run, f"__id {kind}, n_bytes bigint, n_tokens bigint").withColumnRenamed("__id", id_col)

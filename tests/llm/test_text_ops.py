@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hearsay.llm import packing, pieces, queries, rules, transducer
@@ -33,6 +34,34 @@ def test_counts_match_the_library(spark):
     assert got == {i: (len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)}
 
 
+def test_counts_of_words_that_linear_hashes_confuse():
+    from tokenizers import Tokenizer
+
+    from hearsay.llm.words import text_bytes
+
+    from .test_set_ops import thue_morse
+
+    texts = [x for pair in ("th", "in") for x in thue_morse(*pair, 2048)[::-1]]
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    counter = transducer.TokenCounter(P.path("byte_bpe_50k.json"))
+    assert counter.count(*text_bytes(pa.array(texts))).tolist() == [len(lib.encode(t).ids) for t in texts]
+
+
+def test_word_machine_starts_over(monkeypatch):
+    monkeypatch.setattr(transducer, "TRANSITIONS_KEPT", 50)
+    machine = transducer.TokenCounter(P.path("byte_bpe_50k.json")).machine
+    words = [w.encode() for t in fuzz(50) for w in t.split()] + [b" international", b"tokenization" * 30]
+    assert [machine.count(w) for w in words] == [machine.count(w) for w in words]
+    assert [len(machine.steps) <= 500 for _ in (1,)] == [True]
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (None, None)], "doc_id bigint, text string")
+    assert sorted(r["n_tokens"] for r in transducer.count_tokens(rows, P.path("byte_bpe_50k.json")).collect()) == [0, 3, 3, 3]
+    assert sorted((r["doc_id"] or 0, r["doc_tokens"]) for r in packing.pack(rows, P.path("word_bpe_49k.json")).collect()) == [(0, 1), (0, 4), (1, 4), (1, 4)]
+    assert pieces.encode_decode(rows, P.path("piece_bpe_32k.model")).count() == rules.apply_rules(rows).count() == 4
+
+
 def test_prefix_scan():
     s = transducer.Splitter()
     rng = np.random.default_rng(1)
