@@ -8,12 +8,15 @@ position; it falls into blocks of one size, and of every block what lies behind
 the position that still leaves room is skipped.
 
 Set relations save the rest.  Equal sets are one set.  Lists of more than
-``SMALL`` sets are not paired out: every set is compared with the list's first
-set and its neighbour in size.  Then only pairs of different components are left,
-and for those the answers of the first set are carried over: with overlaps
-|c&y| and |c&z| known, |y&z| is at least |c&y| + |c&z| - |c| and at most
-min(|c&y|, |c&z|) + min(|y-c|, |z-c|), which settles most pairs unseen.  A long
-list is probed in slices, each by its own task.
+``SMALL`` sets are not paired out: every set is compared with its neighbour and
+with the list's center, the set that stands in most lists, as the least changed of
+a group of copies does.  In a few more rounds the sets that are not yet in the
+component of most of their list are compared with another member of it.  Only
+pairs of different components are left then, and for those the answers of the
+center are carried over: with overlaps |c&y| and |c&z| known, |y&z| is at least
+|c&y| + |c&z| - |c| and at most min(|c&y|, |c&z|) + min(|y-c|, |z-c|), which
+settles most pairs unseen; the others are verified.  A long list is probed in
+slices, each by its own task.
 
 Hashes find, they do not decide: sets are equal if their 128-bit digests are, ids
 of 64 bits that two digests share are told apart (``torn_ids``), and overlaps are
@@ -47,6 +50,8 @@ FREQUENT, FREQUENT_FROM = 1 << 17, 48
 #: Pairs of one set that are verified with one copy of it; entries of a long list
 #: that one task probes it with.
 SLICE = 4096
+#: Rounds in which sets outside of their list's largest component meet a member of it.
+ROUNDS = 3
 #: Shingles, entries and sets that a map task holds at a time.
 COUNTED, HELD, SEEN = 1_500_000, 400_000, 100_000
 
@@ -144,8 +149,7 @@ def join_lists(e: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.
     first = np.flatnonzero(np.append(True, e["tok"][1:] != e["tok"][:-1]))
     size = np.diff(np.append(first, len(e)))
     start, long = np.repeat(first, size), np.repeat(size > SMALL, size)
-    at = np.arange(len(e))
-    left, right = [], []
+    at, left, right = np.arange(len(e)), [], []
 
     def put(i, j):
         a, b = e[i], e[j]
@@ -157,13 +161,6 @@ def join_lists(e: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.
         i = at[:-d]
         i = i[(start[i] == start[i + d]) & (~long[i] if d > 1 else True)]
         put(i, i + d)
-    lead = np.minimum.reduceat(e["set"], first)
-    which = np.flatnonzero(e["set"] == np.repeat(lead, size))
-    center = np.full(len(e), -1)
-    center[start[which]] = which
-    center = center[start]
-    i = at[long & (center != at)]
-    put(center[i], i)
     pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if left else np.empty((0, 2), np.int64)
     return pairs[:, 0], pairs[:, 1], e[long]
 
@@ -293,9 +290,9 @@ def _xxhash(both: tuple[int, int]) -> int:
 
 
 def _candidates(index: DataFrame, percent: int, parts: int, lengths_only: bool = False) -> DataFrame:
-    """Pairs of short lists and stars of long ones (PAIR: a, b), and the entries of
-    long lists (LIST: tok, first set, set, n, pos).  ``lengths_only``: the long
-    lists' tokens and lengths (tok, n) alone."""
+    """Pairs of short lists and neighbours of long ones (PAIR: a, b), and the entries
+    of long lists (LIST: tok, set b, n, pos).  ``lengths_only``: the long lists'
+    tokens and lengths (tok, n) alone."""
 
     def run(batches):
         lean()
@@ -315,9 +312,8 @@ def _candidates(index: DataFrame, percent: int, parts: int, lengths_only: bool =
             if len(a):
                 yield _columns(FOUND, np.full(len(a), PAIR, np.int32), none, a, b, none, none)
             if len(rest):
-                first = np.flatnonzero(np.append(True, rest["tok"][1:] != rest["tok"][:-1]))
-                lead = np.repeat(np.minimum.reduceat(rest["set"], first), np.diff(np.append(first, len(rest))))
-                yield _columns(FOUND, np.full(len(rest), LIST, np.int32), rest["tok"].view(np.int64), lead, rest["set"], rest["n"].astype(np.int64), rest["pos"].astype(np.int64))
+                none = np.zeros(len(rest), np.int64)
+                yield _columns(FOUND, np.full(len(rest), LIST, np.int32), rest["tok"].view(np.int64), none, rest["set"], rest["n"].astype(np.int64), rest["pos"].astype(np.int64))
         give_back()
 
     return dealt(index, parts).mapInArrow(run, "kind int, tok bigint, a bigint, b bigint, n bigint, pos bigint")
@@ -376,15 +372,49 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialize(small, "links")
 
 
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """The size and position filters on columns (n, pos) of two entries."""
+    na, nb, pa_, pb = (F.col(x) for x in (f"{a}n", f"{b}n", f"{a}pos", f"{b}pos"))
+    need = F.ceil((na + nb) * percent / F.lit(100 + percent))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa_, nb - pb) >= need)
+
+
+def _star(named: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of entries with their list's center."""
+    found = named.where((F.col("lead") != F.col("b")) & _may_link("lead_", "", percent))
+    return found.select(F.least("lead", "b").alias("a"), F.greatest("lead", "b").alias("b")).distinct()
+
+
+def _centered(lists: DataFrame) -> DataFrame:
+    """Entries of long lists with their list's center: the set in most lists."""
+    spread = lists.groupBy("b").agg(F.count(F.lit(1)).alias("held"))
+    center = lists.join(spread, "b").groupBy("tok").agg(F.max(F.struct("held", "b", "n", "pos")).alias("c")).select("tok", F.col("c.b").alias("lead"), F.col("c.n").alias("lead_n"), F.col("c.pos").alias("lead_pos"))
+    return lists.select("tok", "b", "n", "pos").join(center, "tok")
+
+
+def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries of the lists that hold several components, with their component."""
+    named = lists.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    several = named.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tok")
+    return named.join(several, "tok")
+
+
+def _outsiders(lists: DataFrame, roots: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of sets outside of their list's largest component with a member of it,
+    another one in every turn."""
+    named = _rooted(lists, roots).select("tok", "b", "n", "pos", "root")
+    groups = named.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), F.col("b").alias("lead"), F.col("n").alias("lead_n"), F.col("pos").alias("lead_pos"))).alias("c"))
+    main = groups.groupBy("tok").agg(F.max(F.struct("size", "root", "c")).alias("m")).select("tok", F.col("m.root").alias("main"), "m.c.lead", "m.c.lead_n", "m.c.lead_pos")
+    return _star(named.join(main, "tok").where("root <> main"), percent)
+
+
 def _across(lists: DataFrame, roots: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
     """Pairs of long lists whose sets still lie in different components:
     (a, b, sure) where sure says that the bounds already link them."""
-    named = lists.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    several = named.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tok")
-    named = named.join(several, "tok")
+    named = _rooted(lists, roots)
     by_lead = checked.select(F.col("a").alias("lead"), F.col("b").alias("other"), "overlap", "n_a")
     by_lead = by_lead.unionByName(checked.select(F.col("b").alias("lead"), F.col("a").alias("other"), "overlap", F.col("n_b").alias("n_a")))
-    named = named.withColumnRenamed("a", "lead").join(by_lead.withColumnRenamed("other", "b"), ["lead", "b"], "left")
+    named = named.join(by_lead.withColumnRenamed("other", "b"), ["lead", "b"], "left")
     rows = named.select("tok", "b", "n", "pos", "root", "lead", F.coalesce("overlap", F.lit(-1)).cast("bigint").alias("o"), F.coalesce("n_a", F.lit(0)).cast("bigint").alias("nc"))
     # a long list goes to several tasks, each probes it with a slice of its entries
     slices = rows.groupBy("tok").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
@@ -474,23 +504,36 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     tidy(spark)
     found = materialize(_candidates(_index(texts, words, percent, frequent, torn, parts), percent, parts), "jaccard-candidates")
     tidy(spark)
-    pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
-    lists = found.where(F.col("kind") == LIST).select("tok", "a", "b", "n", "pos")
+    written = [profile, met, found]
 
-    def checked_pairs(some: DataFrame) -> DataFrame:
-        return materialize(verify(some, members, texts, words, percent), "jaccard-checked")
+    def checked_pairs(some: DataFrame, done: DataFrame | None = None) -> DataFrame:
+        if done is not None:
+            some = some.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        written.append(materialize(verify(some, members, texts, words, percent), "jaccard-checked"))
+        return written[-1]
 
-    checked = checked_pairs(pairs)
+    lists = materialize(_centered(found.where(F.col("kind") == LIST).select("tok", "b", "n", "pos")), "jaccard-centers")
+    written.append(lists)
+    checked = checked_pairs(found.where(F.col("kind") == PAIR).select("a", "b").unionByName(_star(lists, percent)).distinct())
     links = checked.where("linked").select("a", "b")
     roots = components(links)
-    left = materialize(_across(lists, roots, checked, percent), "jaccard-across")
+    for turn in range(ROUNDS):
+        more = checked_pairs(_outsiders(lists, roots, turn, percent), checked)
+        new = more.where("linked").select("a", "b")
+        checked = checked.unionByName(more)
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        roots = components(links)
+    left = materialize(_across(lists, roots, checked, percent).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-across")
+    written.append(left)
     if not left.isEmpty():
         more = checked_pairs(left.where(~F.col("sure")).select("a", "b")).where("linked").select("a", "b")
         roots = components(links.unionByName(left.where("sure").select("a", "b")).unionByName(more))
     rooted = members.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("key").alias("least"))
     owner = materialize(rooted.join(least, "root", "left").select("key", "n", F.coalesce("least", "key").alias("least")), "jaccard-owners")
-    drop(spark, profile, met, found, checked, left)
+    drop(spark, *written)
     if keyed.schema["id"].dataType.typeName() in ("long", "integer", "short", "byte") and keyed.select(F.max(F.col("key") != F.col("id"))).first()[0] is False:
         return owner.select(F.col("key").alias("id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), "key")
     names = keyed.select("key", "id")
