@@ -31,22 +31,33 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-# Words of short license notices and the labels they give.
+# Words of published license notices and the labels they give: the
+# short forms that name a license, and sentences of the notices themselves.
 TEMPLATES = (
     ("agpl", "licensed under the gnu affero general public license"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program if not see"),
     ("lgpl", "licensed under the gnu lesser general public license"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library if not see"),
     ("gpl", "this work is licensed under the gnu general public license version"),
     ("gpl", "free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("cc-by-nc", "licensed under cc by nc"),
     ("cc-by-sa", "licensed under cc by sa"),
     ("cc-by", "licensed under a creative commons attribution license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("mpl", "subject to the terms of the mozilla public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
 )
 #: Nearly all of a template: one missing word may be the one that tells two licenses apart.
 THRESHOLD = 0.9

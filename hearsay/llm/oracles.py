@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import PHRASES, TEMPLATES, THRESHOLD, needed
+from .licenses import PHRASES, TEMPLATES, THRESHOLD, needed, reach
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -62,20 +62,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 def _op8() -> str:
     separators = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    sets = [(i, label, sorted(set(t.split()))) for i, (label, t) in enumerate(TEMPLATES)]
-    templates = ", ".join(f"({i}, '{label}', {w!r}, {needed(len(w), THRESHOLD)})" for i, label, w in sets)
+    templates = ", ".join(f"('{label}', {sorted(set(t.split()))!r}, {needed(len(set(t.split())), THRESHOLD)}, {reach(len(t.split()))})" for label, t in TEMPLATES)
     phrases = ", ".join(f"('{p}', {p.split()!r}, '{label}')" for p, label in PHRASES)
     words = "list_filter(regexp_split_to_array({}, '" + separators + "'), lambda x: x <> '')"
     return f"""
-WITH t(id, label, words, need) AS (VALUES {templates}), ph(phrase, words, label) AS (VALUES {phrases}),
+WITH t(label, words, need, size) AS (VALUES {templates}), ph(phrase, words, label) AS (VALUES {phrases}),
 n AS (SELECT doc_id, {LOW} AS low FROM documents),
 d AS (SELECT doc_id, low, {words.format("low")} AS ws FROM n),
 hits AS (SELECT doc_id, label, unnest(list_filter(generate_series(1, len(ws)), lambda i: list_slice(ws, i, i + len(ph.words) - 1) = ph.words)) - 1 AS place
          FROM (SELECT doc_id, ws, ph.words, ph.label, phrase FROM d, ph WHERE contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || phrase || ' ')) ph),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM hits GROUP BY 1),
-lines AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM n),
-b AS (SELECT doc_id, list_distinct({words.format("line")}) AS ws FROM lines WHERE {" OR ".join(f"contains(line, '{w}')" for w in ("licen", "cc", "software", "redistribution", "mozilla"))}),
-f AS (SELECT doc_id, label, max(len(list_intersect(ws, words)) / len(words)) AS score FROM b, t WHERE len(list_intersect(ws, words)) >= need GROUP BY 1, 2),
+c AS (SELECT doc_id, ws, t.* FROM (SELECT doc_id, ws, list_distinct(ws) AS own FROM d), t WHERE len(list_intersect(own, words)) >= need),
+w AS (SELECT doc_id, label, words, need, list_distinct(list_slice(ws, i, i + size - 1)) AS win FROM (SELECT *, unnest(generate_series(1, len(ws))) AS i FROM c)),
+f AS (SELECT doc_id, label, max(len(list_intersect(win, words)) / len(words)) AS score FROM w WHERE len(list_intersect(win, words)) >= need GROUP BY 1, 2),
 own AS (SELECT doc_id, list(label) AS labels, max(score) AS score FROM f GROUP BY 1)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(base.labels, ','), '') AS base_labels,

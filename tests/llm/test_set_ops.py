@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -224,13 +225,59 @@ def test_wrapped_licenses(spark):
     bsd = "/* Redistribution and use in source and binary forms, with or without\n * modification, are permitted */"
     mpl = "Subject to the terms of the Mozilla Public\nLicense"
     narrow = mit.replace(" ", "\n")
-    tokens = licenses.TEMPLATES[6][1].split()
+    tokens = next(t for _, t in licenses.TEMPLATES if t.startswith("permission is hereby")).split()
     scattered = " ".join(f"{w} x{i} y z" for i, w in enumerate(tokens))
     rows = [(1, mit), (2, bsd), (3, mpl), (4, narrow), (5, scattered), (6, scattered + " " + mit.replace("\n", " ")), (7, "hereby " * 40 + mit)]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(docs(spark, rows)).collect()}
     assert got == {1: (["mit"], 1), 2: (["bsd"], 1), 3: (["mpl"], 1), 4: (["mit"], 1), 5: ([], 0), 6: (["mit"], 1), 7: (["mit"], 1)}
 
 
+def test_licenses_against_plain(spark):
+    """Every window of every text against every template."""
+    rng = random.Random(12)
+    words = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
+    rows = [(1, None), (2, ""), (3, "same text"), (3, "same text"), (None, "mit license"), (4, "filler words " * 20000 + licenses.TEMPLATES[2][1])]
+    for i in range(60):
+        notice = rng.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(rng.choice((0, 0, 1, 2, 4))):
+            notice[rng.randrange(len(notice))] = rng.choice([*words, "odd"])
+        for _ in range(rng.choice((0, 0, 1, 3))):
+            notice.insert(rng.randrange(len(notice)), rng.choice(words))
+        around = [rng.choice([*words, "x", "y"]) for _ in range(rng.randrange(30))]
+        at = rng.randrange(len(around) + 1)
+        rows.append((100 + i, rng.choice((" ", "\n", ", ")).join(around[:at] + notice + around[at:])))
+
+    def plain(text):
+        ws = [w for w in re.split(licenses.SEPARATORS, (text or "").lower()) if w]
+        base = {label for phrase, label in licenses.PHRASES for i in range(len(ws)) if " ".join(ws[i : i + len(phrase.split())]) == phrase}
+        found = {}
+        for label, t in licenses.TEMPLATES:
+            tokens, size = set(t.split()), licenses.reach(len(t.split()))
+            if len(tokens & set(ws)) >= licenses.needed(len(tokens), licenses.THRESHOLD):
+                best = max(len(tokens & set(ws[i : i + size])) for i in range(len(ws)))
+                if best >= licenses.needed(len(tokens), licenses.THRESHOLD):
+                    found[label] = max(found.get(label, 0), best / len(tokens))
+        return sorted(base | set(found)), 1.0 if base else max(found.values(), default=0.0)
+
+    got = sorted((r["doc_id"] or 0, r["labels"], r["score"]) for r in licenses.scan_licenses(docs(spark, rows)).collect())
+    assert got == sorted((i or 0, *plain(t)) for i, t in rows)
+    assert sum(bool(x[1]) for x in got) > 25
+
+
+def test_state_of_earlier_portions(spark, tmp_path):
+    """A later portion meets rows of an earlier one, by full bytes in their own file."""
+    paths = [str(tmp_path / x) for x in "ab"]
+    docs(spark, [(1, "Same"), (2, "other"), (3, "x1")]).write.parquet(paths[0])
+    docs(spark, [(7, "same"), (8, "new"), (9, "x2")]).write.parquet(paths[1])
+    state = str(tmp_path / "state")
+    weak = lambda c: F.substring(c, 1, 1)  # noqa: E731  x1 and x2 share a digest
+    first = exact.exact_dedup(spark.read.parquet(paths[0]), digest=weak, state=state).collect()
+    assert sorted((r["doc_id"], r["kept"]) for r in first) == [(1, True), (2, True), (3, True)]
+    later = {r["doc_id"]: r for r in exact.exact_dedup(spark.read.parquet(paths[1]), digest=weak, state=state).collect()}
+    assert (later[7]["keep_id"], later[7]["group_size"], later[8]["group_size"]) == (7, 2, 1)
+    assert (later[9]["keep_id"], later[9]["group_size"]) == (9, 1) and "/b/" in later[9]["locator"]
+
+
 def test_reply_trees(spark):
     rows = [("c", 1, None, "user", "q"), ("c", 2, 1, "assistant", "good"), ("c", 3, 1, "assistant", "bad"), ("c", 4, 2, "user", r"\### Assistant: </turn> ok"), ("c", 5, 4, "assistant", None), ("c", 6, 3, None, ""), ("d", 1, 9, "a:b", "\\h<#\n"), ("e", 1, 2, "user", "loop"), ("e", 2, 1, "user", "loop"), (None, 1, None, "assistant", "x")]
     score = {2: 3.0, 3: 1.0}
