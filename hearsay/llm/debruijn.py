@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .spans import SLICES, apply_spans, batches_of, by_part, covered, dealt, minimizer_runs, part_by_part, part_of, with_key
 from .store import drop, materialize, partitions, small_batches, tidy
-from .words import digests, give_back, grams, lean, runs, text_bytes, word_hashes, words_of
+from .words import digests, give_back, grams, runs, text_bytes, word_hashes, words_of
 
 PATH = np.dtype([("h", "<u8"), ("s", "<i8"), ("t", "<i8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("many", "u1")])
 EDGE = np.dtype([("s", "<i8"), ("t", "<i8"), ("doc", "<i8"), ("lo", "<u4"), ("many", "u1"), ("a", "<i8"), ("b", "<i8")])
@@ -106,7 +106,6 @@ def repeated_paths(keyed: DataFrame, length: int, k: int) -> list[DataFrame]:
         return single_spaced(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
     def cut(batches):
-        lean()
         held, size = [], 0
 
         def send() -> Iterator[tuple]:
@@ -138,7 +137,6 @@ def repeated_paths(keyed: DataFrame, length: int, k: int) -> list[DataFrame]:
         give_back()
 
     def meet(batches):
-        lean()
         for kinds, blobs in part_by_part(batches, [1, 2]):
             other = np.frombuffer(b"".join(x for i, x in zip(kinds, blobs, strict=True) if i == 1), PATH)
             r = np.frombuffer(b"".join(x for i, x in zip(kinds, blobs, strict=True) if i == 0), PATH)
@@ -168,7 +166,6 @@ def repeated_paths(keyed: DataFrame, length: int, k: int) -> list[DataFrame]:
         return g[at].view(np.int64), g[last].view(np.int64)
 
     def open_up(batches):
-        lean()
         held, size = [], 0
 
         def send() -> Iterator[tuple]:
@@ -213,7 +210,6 @@ def repeated_paths(keyed: DataFrame, length: int, k: int) -> list[DataFrame]:
         give_back()
 
     def compare(batches):
-        lean()
         for kinds, blobs in part_by_part(batches, [1, 2]):
             edges, other, nodes = (b"".join(x for i, x in zip(kinds, blobs, strict=True) if i == kind) for kind in range(3))
             nodes = np.frombuffer(nodes, np.int64).reshape(-1, 4)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .spans import SLICES, batches_of, by_part, dealt, part_by_part, part_of, with_key
 from .store import drop, materialize, partitions, small_batches, tidy
-from .words import LOWER, MIX, give_back, grams, lean, pair, runs, text_bytes, word_hashes, words_of
+from .words import LOWER, MIX, give_back, grams, pair, runs, text_bytes, word_hashes, words_of
 
 #: Lists up to this length are paired out.
 SMALL = 4
@@ -170,7 +170,6 @@ def _profile(docs: DataFrame, size: int, parts: int) -> DataFrame:
     shingles that come often (kind 1)."""
 
     def run(batches):
-        lean()
         held, amount = [], 0
 
         def counts():
@@ -218,7 +217,6 @@ def _own_id(torn: list[int]) -> Column:
 
 def _frequent(profile: DataFrame, spark, parts: int) -> np.ndarray:
     def total(batches):
-        lean()
         for (blobs,) in part_by_part(batches, [1]):
             r = np.frombuffer(b"".join(blobs), COUNT)
             tok, back = np.unique(r["tok"], return_inverse=True)
@@ -238,7 +236,6 @@ def _index(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, torn:
     apart = frozenset(torn)
 
     def run(batches):
-        lean()
         held, amount, seen = [], 0, set()
 
         def send():
@@ -295,7 +292,6 @@ def _candidates(index: DataFrame, percent: int, parts: int, lengths_only: bool =
     tokens and lengths (tok, n) alone."""
 
     def run(batches):
-        lean()
         for (blobs,) in part_by_part(batches, [1]):
             e = np.frombuffer(b"".join(blobs), ENTRY)
             blobs.clear()
@@ -335,7 +331,6 @@ def verify(pairs: DataFrame, members: DataFrame, texts: DataFrame, words: int, p
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("overlap", pa.int64()), ("linked", pa.bool_())])
 
     def run(batches):
-        lean()
         current, items = None, None
         for batch in batches:
             data, offsets = text_bytes(batch.column(4))
@@ -461,7 +456,6 @@ def _across(lists: DataFrame, roots: DataFrame, checked: DataFrame, percent: int
             yield _columns(schema, *map(np.concatenate, (left, right, certain)))
 
     def run(batches):
-        lean()
         now, held = None, []
         for batch in batches:
             columns = [batch.column(i).to_numpy() for i in range(10)]

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .store import materialize, partitions, small_batches
 from .units import UnitCache
-from .words import BLANK, LOWER, distinct, give_back, lean, runs, text_bytes, words_of
+from .words import BLANK, LOWER, distinct, give_back, runs, text_bytes, words_of
 
 K1, B = 1.2, 0.75
 #: Documents are routed by so many terms; those that have fewer go last.
@@ -300,7 +300,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
     kept_as = "<u2" if max(_words(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
 
     def tokenise(batches):
-        lean()
         tok = _tokenizer(tokenizer)
         task = TaskContext.get()
         at = (task.partitionId() if task else 0) << 33
@@ -358,7 +357,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
     routed = routed.repartitionByRange(parts, *keys, "__at").sortWithinPartitions(*keys, "__at").select("__id", "__ids")
 
     def run(batches):
-        lean()
         _tokenizer.cache_clear()
         give_back()
         task = TaskContext.get()

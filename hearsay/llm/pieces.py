@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from . import bpe
 from .store import small_batches
 from .units import UnitCache, filled, groups
-from .words import lean
 
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -127,7 +126,6 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     src = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
 
     def run(batches):
-        lean()
         enc = _encoder(model)
         for batch in batches:
             texts = filled(batch.column(1))

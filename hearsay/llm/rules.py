@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import small_batches
-from .words import distinct, give_back, lean, runs, text_bytes, words_of
+from .words import distinct, give_back, runs, text_bytes, words_of
 
 #: Documents, and bytes of text, that the estimates of cost and selectivity read at
 #: most; the verdicts do not depend on them.
@@ -210,7 +210,6 @@ def apply_rules(docs: DataFrame, text_col: str = "text", measures: bool = True,
     schema = T.StructType([*fields, *new])
 
     def run(batches):
-        lean()
         for batch in batches:
             data, offsets = text_bytes(batch.column(place))
             for a, b in runs(offsets):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .store import small_batches
-from .words import distinct, give_back, lean, runs, text_bytes
+from .words import distinct, give_back, runs, text_bytes
 
 # classes of characters
 LETTER, NUMBER, OTHER, SPACE, WHITE, END = range(6)
@@ -274,7 +274,6 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     src = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
 
     def run(batches):
-        lean()
         counter = _counter(path)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))

@@ -32,7 +32,7 @@ class UnitCache:
         """A code for each unit; valid until the next call."""
         if len(self.code) > self.limit:
             self._reset()
-        new = list(set(units).difference(self.code))
+        new = list(dict.fromkeys(u for u in units if u not in self.code))
         if new:
             ids, counts = self.encode(new)
             n = len(self.code)

@@ -224,12 +224,3 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # not this C library: the memory stays with the worker
         pass
-
-
-def lean() -> None:
-    """Large arrays are mapped and unmapped one by one instead of growing the
-    heap, which a single small object could keep from shrinking."""
-    try:
-        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 18)  # the size from which memory is mapped
-    except (OSError, AttributeError):
-        pass
