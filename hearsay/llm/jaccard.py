@@ -10,8 +10,8 @@ the position that still leaves room is skipped.
 Set relations save the rest.  Equal sets are one set.  Lists of more than
 ``SMALL`` sets are not paired out: every set is compared with its neighbour and
 with the list's center, the set that stands in most lists, as the least changed of
-a group of copies does.  In a few more rounds the sets that are not yet in the
-component of most of their list are compared with another member of it.  Only
+a group of copies does.  Then the sets that are not yet in the component
+of most of their list are compared with another member of it (``ROUNDS`` times).  Only
 pairs of different components are left then, and for those the answers of the
 center are carried over: with overlaps |c&y| and |c&z| known, |y&z| is at least
 |c&y| + |c&z| - |c| and at most min(|c&y|, |c&z|) + min(|y-c|, |z-c|), which
@@ -51,7 +51,7 @@ FREQUENT, FREQUENT_FROM = 1 << 17, 48
 #: that one task probes it with.
 SLICE = 4096
 #: Rounds in which sets outside of their list's largest component meet a member of it.
-ROUNDS = 3
+ROUNDS = 1
 #: Shingles, entries and sets that a map task holds at a time.
 COUNTED, HELD, SEEN = 1_500_000, 400_000, 100_000
 
@@ -506,6 +506,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         written.append(materialize(verify(some, members, texts, words, percent), "jaccard-checked"))
         return written[-1]
 
+    def stars(roots: DataFrame) -> DataFrame:
+        """Links that stand for components found before."""
+        return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
     lists = materialize(_centered(found.where(F.col("kind") == LIST).select("tok", "b", "n", "pos")), "jaccard-centers")
     written.append(lists)
     checked = checked_pairs(found.where(F.col("kind") == PAIR).select("a", "b").unionByName(_star(lists, percent)).distinct())
@@ -517,13 +521,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         checked = checked.unionByName(more)
         if new.isEmpty():
             break
-        links = links.unionByName(new)
+        links = stars(roots).unionByName(new)
         roots = components(links)
     left = materialize(_across(lists, roots, checked, percent).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-across")
     written.append(left)
     if not left.isEmpty():
         more = checked_pairs(left.where(~F.col("sure")).select("a", "b")).where("linked").select("a", "b")
-        roots = components(links.unionByName(left.where("sure").select("a", "b")).unionByName(more))
+        roots = components(stars(roots).unionByName(left.where("sure").select("a", "b")).unionByName(more))
     rooted = members.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("key").alias("least"))
     owner = materialize(rooted.join(least, "root", "left").select("key", "n", F.coalesce("least", "key").alias("least")), "jaccard-owners")
