@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: cuts lineage and survives lost executors.  The folder
-    is the session's ``spark.checkpoint.dir``; only where unset a local one."""
+    is the session's ``spark.checkpoint.dir``; only a local master may leave it unset."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hearsay-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = root or tempfile.mkdtemp(prefix="hearsay-")
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
