@@ -113,7 +113,8 @@ def citation_edges(spark, d):
     posts = _said(spark, d)
     agents = posts.select("author_raw").distinct().select("author_raw", F.col("author_raw").alias("agent_merged"), F.lit(None).cast("string").alias("cohort"))
     least = posts.agg(F.min("author_raw").alias("name"))
-    tagged = posts.where("k % 2 = 0").join(least, how="cross").select("event_id", "agent_merged", "family", F.array("name").alias("cites"))  # one name for all
+    cites = F.when(F.col("k") % 2 == 0, F.array("name"))  # one name for all
+    tagged = posts.join(least, how="cross").select("event_id", "agent_merged", "family", cites.alias("cites"))
     return relay.citation_edges(tagged, agents, "agent_merged").select("src", "dst", "event_id")
 
 

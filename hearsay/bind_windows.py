@@ -54,22 +54,12 @@ def _goals(spark, d):
     return o.select(F.col("o_orderkey").cast("string").alias("goal_id"), F.col("o_custkey").cast("string").alias("agent_id"), role.alias("role"), F.col("o_orderdate").alias("start"), F.lead("o_orderdate").over(w).alias("end"))
 
 
-@query("""WITH o AS (SELECT o_orderkey AS k, o_orderdate AS t FROM orders WHERE o_custkey % 50 = 1),
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderdate AS t FROM orders),
  g AS (SELECT *, CASE WHEN (epoch_us(t) - epoch_us(lag(t) OVER w)) / 1e6 <= 600 THEN 0 ELSE 1 END AS fresh FROM o WINDOW w AS (ORDER BY t, CAST(k AS VARCHAR))), r AS (SELECT *, sum(fresh) OVER (ORDER BY t, CAST(k AS VARCHAR)) AS run FROM g),
  h AS (SELECT run, strftime(min(t), '%b%d') AS token FROM r GROUP BY 1), n AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY run) AS j FROM h)
  SELECT CAST(k AS VARCHAR) AS goal_id, token || CASE WHEN j > 1 THEN chr(CAST(96 + j AS INT)) ELSE '' END AS batch FROM r JOIN n USING (run)""")
 def goal_batches(spark, d):
-    return _batches(table(spark, d, "orders").where("o_custkey % 50 = 1"))
-
-
-@query()
-def goal_batches_all(spark, d):
-    """All orders; the SQL above reads a subset."""
-    return _batches(table(spark, d, "orders"))
-
-
-def _batches(o):
-    g = o.select(F.col("o_orderkey").cast("string").alias("goal_id"), F.col("o_orderdate").alias("created"), F.col("o_orderdate").alias("start"))
+    g = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("goal_id"), F.col("o_orderdate").alias("created"), F.col("o_orderdate").alias("start"))
     return windows.batches(g).select("goal_id", "batch")
 
 
@@ -86,11 +76,11 @@ def era_gaps(spark, d):
 
 
 #: Line items as events of the order's customer, at their ship date.
-SHIPPED = "sh AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS event_id, CAST(o_custkey AS VARCHAR) AS agent_id, l_shipdate AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 5 = 1)"
+SHIPPED = "sh AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS event_id, CAST(o_custkey AS VARCHAR) AS agent_id, l_shipdate AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
-def _shipped(spark, d, which="o_custkey % 5 = 1"):
-    o = table(spark, d, "orders").where(which).select("o_orderkey", F.col("o_custkey").cast("string").alias("agent_id"))
+def _shipped(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("agent_id"))
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").alias("ts"))
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("event_id"), "agent_id", "ts")
 
@@ -101,26 +91,13 @@ def goal_window_join(spark, d):
     return windows.window_join(_shipped(spark, d), _goals(spark, d), "agent_id", "goal_id")
 
 
-@query()
-def goal_window_join_all(spark, d):
-    """All orders and line items; the SQL above reads a subset."""
-    return windows.window_join(_shipped(spark, d, "true"), _goals(spark, d), "agent_id", "goal_id")
-
-
-#: Every order of a few customers opens a window of 60 days for everyone.
-ERAS = """er AS (SELECT CAST(o_orderkey AS VARCHAR) AS era_id, o_orderdate AS start, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate + INTERVAL 60 DAY END AS "end" FROM orders WHERE o_custkey % 500 = 7)"""
+#: Every order opens a window of 60 days for everyone.
+ERAS = """er AS (SELECT CAST(o_orderkey AS VARCHAR) AS era_id, o_orderdate AS start, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate + INTERVAL 60 DAY END AS "end" FROM orders)"""
 
 
 @query(f"""WITH {ERAS}, {SHIPPED} SELECT event_id, max((epoch_us(start), era_id))[2] AS era_id FROM sh LEFT JOIN er ON ts >= start AND ("end" IS NULL OR ts < "end") GROUP BY 1""")
 def era_join(spark, d):
-    eras = _eras(table(spark, d, "orders").where("o_custkey % 500 = 7"))
-    return windows.era_join(_shipped(spark, d), eras, 30 * 86400)
-
-
-@query()
-def era_join_all(spark, d):
-    """All orders open a window for all line items; the SQL above reads a subset."""
-    return windows.era_join(_shipped(spark, d, "true"), _eras(table(spark, d, "orders")), 86400)
+    return windows.era_join(_shipped(spark, d), _eras(table(spark, d, "orders")), 86400)
 
 
 def _eras(o):
@@ -132,12 +109,6 @@ def activity_in_window(spark, d):
     return windows.in_any_window(_shipped(spark, d), _goals(spark, d), "agent_id").select("event_id")
 
 
-@query()
-def activity_in_window_all(spark, d):
-    """All orders and line items; the SQL above reads a subset."""
-    return windows.in_any_window(_shipped(spark, d, "true"), _goals(spark, d), "agent_id").select("event_id")
-
-
 def _side(spark, d, kind):
     e = table(spark, d, "events").where(F.col("event_type") == kind)
     return e.select("event_id", "user_id", "ts", F.concat(F.lit(kind), "event_id").alias("label"))

@@ -47,22 +47,22 @@ def test_goals_of_all_orders(spark, tables):
         far = [(min(abs((t - x).total_seconds()) for x in g[2:] if x), g[1]) for g in own]
         by_goal[e] = (max(held)[1], True) if held else (min(far)[1], False)
         inside |= {e} if held else set()
-    got = {r["event_id"]: (r["goal_id"], r["in_window"]) for r in bindings.QUERIES["goal_window_join_all"](spark, d).collect()}
+    got = {r["event_id"]: (r["goal_id"], r["in_window"]) for r in bindings.QUERIES["goal_window_join"](spark, d).collect()}
     assert got == by_goal
-    assert {r["event_id"] for r in bindings.QUERIES["activity_in_window_all"](spark, d).collect()} == inside
+    assert {r["event_id"] for r in bindings.QUERIES["activity_in_window"](spark, d).collect()} == inside
 
 
 def test_batches_of_all_orders(spark, tables):
     d, orders, _ = tables
     want = {str(o[0]): o[3].strftime("%b%d") for o in orders}
-    assert {r["goal_id"]: r["batch"] for r in bindings.QUERIES["goal_batches_all"](spark, d).collect()} == want
+    assert {r["goal_id"]: r["batch"] for r in bindings.QUERIES["goal_batches"](spark, d).collect()} == want
 
 
 def test_eras_of_all_orders(spark, tables):
     d, orders, items = tables
     eras = [(o[3], str(o[0]), o[3] + timedelta(days=60) if o[0] % 7 else None) for o in orders]
     want = {e: max(((s, w) for s, w, end in eras if holds(s, end, t)), default=(None, None))[1] for e, _, t in shipped(orders, items)}
-    assert {r["event_id"]: r["era_id"] for r in bindings.QUERIES["era_join_all"](spark, d).collect()} == want
+    assert {r["event_id"]: r["era_id"] for r in bindings.QUERIES["era_join"](spark, d).collect()} == want
 
 
 def test_era_join_at_any_time(spark):
