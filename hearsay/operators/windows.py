@@ -90,7 +90,8 @@ def window_join(events: DataFrame, windows: DataFrame, key: str, window_id: str,
 
 
 def era_join(events: DataFrame, eras: DataFrame, bucket_s: int, era_id: str = "era_id", event_id: str = "event_id") -> DataFrame:
-    """Interval join without a key; the latest window wins.
+    """Interval join without a key; the latest window wins.  One row per event id:
+    rows that share an id, a missing one too, count as one event.
 
     Time is cut into buckets of ``bucket_s``.  The buckets that a window covers
     wholly are a few nodes of a binary tree over the buckets, and a node keeps its
@@ -116,8 +117,9 @@ def era_join(events: DataFrame, eras: DataFrame, bucket_s: int, era_id: str = "e
     whole = ev.join(best, ev["bucket"].eqNullSafe(best["bucket"])).select(event_id, "h")
     edges = w.select("start", "end", "h", F.explode(F.array_compact(F.array_distinct(F.array(*[F.when(F.unix_micros(c) != F.col(n) * step, F.col(n)) for c, n in (("start", "lo"), ("end", "hi"))])))).alias("bucket"))
     part = ev.join(edges, "bucket").where(_inside(F.col("ts"), F.col("start"), F.col("end"))).select(event_id, "h")
-    held = whole.unionByName(part).groupBy(event_id).agg(F.max("h").alias("h"))
-    return events.select(event_id).join(held, event_id, "left").select(event_id, F.col("h.w").alias(era_id))
+    none = events.select(event_id, F.lit(None).cast(w.schema["h"].dataType).alias("h"))
+    held = whole.unionByName(part).unionByName(none).groupBy(event_id).agg(F.max("h").alias("h"))
+    return held.select(event_id, F.col("h.w").alias(era_id))
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, value: str) -> DataFrame:
