@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import era_label, pacific_to_utc, roster_timestamp, slug, vendor
 from .facts import seconds_between
+from .scan import ranged, ranks
 from .windows import batches, era_join, in_any_window, latest_versions, window_gaps, window_join
 
 # The names a roster field goes by, best first.
@@ -114,8 +115,8 @@ def directory(rows: DataFrame) -> DataFrame:
 def eras(rows: DataFrame) -> DataFrame:
     """Shared goals in order of their start, with short labels."""
     e = rows.select(pick(rows, ("id",)).alias("era_id"), pick(rows, ("goal", "name")).alias("goal"), *[roster_timestamp(pick(rows, names)).alias(c) for c, names in (("start", ("start_time", "start")), ("end", ("end_time", "end")), ("created", ("created_at",)), ("updated", ("updated_at",)))]).where("goal is not null")
-    n = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("start", "era_id"))
-    return e.withColumn("n", n).withColumn("label", era_label(F.col("n"), F.col("goal"))).drop("n")
+    order = ["start", "era_id"]
+    return ranks(ranged(e, order), "n", order).withColumn("label", era_label(F.col("n"), F.col("goal"))).select(*e.columns, "label")
 
 
 def annotate_eras(events: DataFrame, e: DataFrame, bucket_s: int = 86400) -> DataFrame:

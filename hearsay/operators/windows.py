@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .facts import seconds_between
+from .scan import previous, ranged, running
 
 
 def sessions(df: DataFrame, gap_s: float, by: list[str], ts: str = "ts", order: list[str] | None = None, page: str | None = None) -> DataFrame:
@@ -49,9 +50,10 @@ def batches(goals: DataFrame, gap_s: float = 600) -> DataFrame:
     day ('Jul06'), later batches of a day get b, c, ...; without a time it is ''."""
     at = F.coalesce("created", "start")
     known = goals.withColumn("at", at).where("at is not null").withColumn("day", F.date_format("at", "MMMdd"))
-    w = W.partitionBy(F.lit(0)).orderBy("at", "goal_id")
-    fresh = F.coalesce((seconds_between(F.col("at"), F.lag("at").over(w)) > gap_s).cast("int"), F.lit(1))
-    numbered = known.withColumn("run", F.sum(fresh).over(w))
+    order = ["at", "goal_id"]
+    rows = previous(ranged(known.select("at", "goal_id", "day"), order), {"before": "at"}, order)
+    fresh = F.coalesce((seconds_between(F.col("at"), F.col("before")) > gap_s).cast("bigint"), F.lit(1))
+    numbered = running(rows, {"run": fresh}, order)
     heads = numbered.groupBy("run").agg(F.min_by("day", F.struct("at", "goal_id")).alias("token"))
     place = F.row_number().over(W.partitionBy("token").orderBy("run"))
     named = heads.withColumn("k", place).withColumn("batch", F.concat("token", F.when(F.col("k") > 1, F.char(F.lit(96) + F.col("k"))).otherwise("")))
