@@ -121,6 +121,24 @@ SELECT doc_id, CAST(length(x) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)
 FROM h LEFT JOIN k USING (doc_id)
 """
 
+#: Arrivals of each batch, the batch that closes, kept turns, and the run from the first turn.
+OP11 = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  CAST('0x' || substr(sha256(coalesce(CAST(conv_id AS VARCHAR), '') || ':' || turn), 1, 8) AS BIGINT) AS h FROM conversations WHERE turn IS NOT NULL),
+s AS (SELECT conv_id, turn, role, text, h % 8 AS batch FROM t UNION ALL SELECT conv_id, turn, 'user', text, (h + 3) % 8 FROM t WHERE h % 7 < 2),
+a AS (SELECT batch, conv_id, turn, min({'p': role || '|' || text, 'r': role}) AS x FROM s GROUP BY ALL),
+b AS (SELECT DISTINCT conv_id, batch FROM a),
+g AS (SELECT conv_id, batch, coalesce(lead(batch) OVER (PARTITION BY conv_id ORDER BY batch), 99) - batch > 3 AS last FROM b),
+c AS (SELECT conv_id, least(min(batch) FILTER (last) + 3, 8) AS closes FROM g GROUP BY 1),
+f AS (SELECT conv_id, min(turn) AS first FROM t GROUP BY 1),
+k AS (SELECT a.conv_id, turn, first, min(batch) AS batch, arg_min(x, batch) AS x FROM a JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id AND batch <= closes JOIN f ON a.conv_id IS NOT DISTINCT FROM f.conv_id GROUP BY ALL),
+r AS (SELECT *, turn - first + 1 = row_number() OVER w AS run, max(batch) OVER w AS at_, lag(turn) OVER w = turn - 1 AND lag(x.r) OVER w = x.r AS broken FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+e AS (SELECT conv_id, max(turn) - min(first) + 1 - count(*) AS n_missing, count(*) FILTER (broken) AS n_breaks, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (NOT run), '') AS left_ FROM r GROUP BY 1)
+SELECT 'release' AS event, sha256(x.p) AS sha256, conv_id, turn, at_ AS batch, CAST(NULL AS BIGINT) AS n_missing, CAST(NULL AS BIGINT) AS n_breaks FROM r WHERE run
+UNION ALL SELECT 'reject', sha256(x.p), a.conv_id, turn, batch, NULL, NULL FROM a JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id AND batch > closes
+UNION ALL SELECT 'close', sha256(left_), e.conv_id, -1, closes, n_missing, n_breaks FROM e JOIN c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 ORACLES = {
     "op2_substring_dedup": OP2,
     "op3_chat": OP3,
@@ -129,4 +147,5 @@ ORACLES = {
     "op7_quality_rules": OP7,
     "op8_license_scan": _op8(),
     "op9_suffix_dedup": OP9,
+    "op11_turn_reassembly": OP11,
 }

@@ -100,6 +100,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op11_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turns import payload, reassemble
+
+    rows = _table(spark, sf_dir, "conversations").where("turn is not null").select(F.col("conv_id").alias("conv"), "turn", "role", "text")
+    name = F.concat_ws(":", F.coalesce(F.col("conv").cast("string"), F.lit("")), F.col("turn").cast("string"))
+    rows = rows.withColumn("h", F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("bigint"))
+    once = F.struct((F.col("h") % 8).alias("batch"), "role")
+    again = F.struct(((F.col("h") + 3) % 8).alias("batch"), F.lit("user").alias("role"))
+    arrivals = rows.withColumn("a", F.explode(F.when(F.col("h") % 7 < 2, F.array(once, again)).otherwise(F.array(once)))).select("conv", "turn", "a.role", "text", "a.batch")
+    out = reassemble(arrivals, 8)
+    turns = F.array_join(F.col("unreleased").cast("array<string>"), ",")
+    return out.select(
+        "event",
+        F.sha2(F.when(F.col("event") == "close", turns).otherwise(payload(F.col("role"), F.col("text"))), 256).alias("sha256"),
+        F.col("conv").alias("conv_id"),
+        F.coalesce("turn", F.lit(-1)).cast("bigint").alias("turn"),
+        "batch",
+        "n_missing",
+        "n_breaks",
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -111,4 +133,5 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_turn_reassembly": op11_turn_reassembly,
 }
