@@ -12,7 +12,7 @@ Rows with null keys form a key of their own; nulls of the order come first.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,11 +23,12 @@ from ..store import checkpoint
 RANGE = "__range"
 
 
-def ranged(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
-    """The rows with the number of their range, ascending in (by, order); cut from lineage, so
-    that every later step sees the same ranges."""
+def ranged(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), ranges: int | None = None, write: Callable[[DataFrame], DataFrame] = checkpoint) -> DataFrame:
+    """The rows with the number of their range, ascending in (by, order); cut from lineage by
+    ``write``, so that every later step sees the same ranges.  ``order`` may be a prefix of the
+    order of later steps: rows that tie on it share a range."""
     n = ranges or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return checkpoint(df.repartitionByRange(n, *by, *order).withColumn(RANGE, F.spark_partition_id()))
+    return write(df.repartitionByRange(n, *by, *order).withColumn(RANGE, F.spark_partition_id()))
 
 
 def _back(rows: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
