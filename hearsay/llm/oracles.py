@@ -139,6 +139,35 @@ UNION ALL SELECT 'reject', sha256(x.p), a.conv_id, turn, batch, NULL, NULL FROM
 UNION ALL SELECT 'close', sha256(left_), e.conv_id, -1, closes, n_missing, n_breaks FROM e JOIN c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
+#: The checksum bit by bit; then the cheapest edits row by row, with the repaired lines.
+OP12 = r"""
+WITH RECURSIVE n AS (SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT) FOR z IN range(8)]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS h FROM n),
+d AS (SELECT conv, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE h WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS k, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) AS k0,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+ins(q, at_, c, l, lines) AS (VALUES (0, 0, 0, '', []), (0, 2, 5, 'I', ['user:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []), (1, 2, 5, 'I', ['user:']), (1, 3, 10, 'II', ['user:', 'assistant:']),
+  (2, 2, 0, '', []), (2, 3, 5, 'I', ['assistant:']), (2, 2, 10, 'II', ['assistant:', 'user:']), (3, 3, 0, '', []), (3, 2, 5, 'I', ['user:']), (3, 3, 10, 'II', ['user:', 'assistant:'])),
+act(at_, to_, k, l, c) AS (VALUES (0, 0, '', 'D', 2), (1, 1, '', 'D', 2), (2, 2, '', 'D', 2), (3, 3, '', 'D', 2), (0, 2, '', 'R', 1), (1, 2, '', 'R', 1), (3, 2, '', 'R', 1), (2, 3, '', 'R', 1),
+  (0, 2, 'u', 'K', 0), (1, 2, 'u', 'K', 0), (3, 2, 'u', 'K', 0), (2, 3, 'a', 'K', 0), (0, 1, 's', 'K', 0)),
+m AS (SELECT q, to_, k, act.l AS own, ins.c + act.c AS c, ins.l || act.l AS l, lines FROM ins JOIN act USING (at_)),
+dp(conv, i, q, cost, audit, lines) AS (SELECT DISTINCT conv, CAST(0 AS BIGINT), 0, 0, '', CAST([] AS VARCHAR[]) FROM f
+  UNION ALL SELECT conv, i, q, cost, audit, lines FROM (
+    SELECT dp.conv, f.i, m.to_ AS q, dp.cost + m.c + CASE WHEN own <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END AS cost, dp.audit || m.l AS audit,
+      list_concat(dp.lines, m.lines, CASE own WHEN 'D' THEN [] WHEN 'R' THEN [CASE m.to_ WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] ELSE [role || ':' || text] END) AS lines
+    FROM dp JOIN f ON f.conv IS NOT DISTINCT FROM dp.conv AND f.i = dp.i + 1 JOIN m ON m.q = dp.q AND (m.k = '' OR m.k = f.k) AND (own = 'D' OR fault NOT IN ('blank', 'duplicate')))
+  QUALIFY row_number() OVER (PARTITION BY conv, q ORDER BY cost, audit) = 1),
+e AS (SELECT dp.conv, cost + c AS cost, audit || l AS audit, list_concat(dp.lines, ins.lines) AS lines FROM dp JOIN (SELECT conv, max(i) AS i FROM f GROUP BY 1) z ON z.conv IS NOT DISTINCT FROM dp.conv AND z.i = dp.i JOIN ins USING (q) WHERE at_ IN (0, 3)),
+b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY conv ORDER BY cost, audit) = 1),
+s AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (k0 || k NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s ON s.conv IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.conv IS NOT DISTINCT FROM a.conv_id
+"""
+
 ORACLES = {
     "op2_substring_dedup": OP2,
     "op3_chat": OP3,
@@ -148,4 +177,5 @@ ORACLES = {
     "op8_license_scan": _op8(),
     "op9_suffix_dedup": OP9,
     "op11_turn_reassembly": OP11,
+    "op12_conversation_repair": OP12,
 }

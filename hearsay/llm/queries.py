@@ -122,6 +122,34 @@ def op11_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """conv, turn, role, text of the turns after damage by the checksum of their name."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = turns.select(F.col("conv_id").alias("conv"), "turn", space("role").alias("role"), space("text").alias("text"), (F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20).alias("h"))
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("h") == 4, "user").otherwise(F.col("role"))
+    out = rows.where("h <> 0").select("conv", "turn", role.alias("role"), text.alias("text"), F.when(F.col("h") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).alias("n"))
+    return out.withColumn("n", F.explode("n")).drop("n")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import repair
+
+    turns = _table(spark, sf_dir, "conversations")
+    report, repaired = repair(damaged(turns))
+    lines = F.array_sort(F.collect_list(F.struct("pos", "sub", F.concat("role", F.lit(":"), "text").alias("line"))))
+    digests = repaired.groupBy(F.col("conv").alias("of")).agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), 256).alias("repaired_sha256"))
+    every = turns.select("conv_id").distinct()
+    found = every.join(report, every["conv_id"].eqNullSafe(report["conv"]), "left").join(digests, every["conv_id"].eqNullSafe(digests["of"]), "left")
+    none = F.lit(0).cast("bigint")
+    return found.select(
+        "conv_id",
+        *[F.coalesce(F.col(c), none).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -134,4 +162,5 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
     "op11_turn_reassembly": op11_turn_reassembly,
+    "op12_conversation_repair": op12_conversation_repair,
 }

@@ -1,8 +1,10 @@
 """Operators 11 to 13: turns, repair and shards."""
 
 import hashlib
+import random
 from collections import defaultdict
 
+from hearsay.llm import repair
 from hearsay.llm.turns import reassemble
 
 from .brute import sha
@@ -72,3 +74,87 @@ def test_reassembly_of_nothing_and_of_a_long_text(spark):
     long = "é" * 2_000_000
     out = reassemble(spark.createDataFrame([(1, 5, "user", long, 0)], kind), 2).collect()
     assert sorted((r["event"], r["turn"], r["text"] and hashlib.sha256(r["text"].encode()).hexdigest()) for r in out) == [("close", None, None), ("release", 5, sha(long))]
+
+
+def plain_repair(rows):
+    """(counts, cost, audit, lines) of one conversation's (turn, role, text) rows; whole strings, no ranks."""
+    rows = sorted(((t is not None, t or 0, r if r is not None else " ", x if x is not None else " ") for t, r, x in rows), key=lambda r: r[:2] + (r[2].encode(), r[3].encode()))
+    turn = {0: ("user", 2), 1: ("user", 2), 2: ("assistant", 3), 3: ("user", 2)}
+    seen, kinds, best = set(), [], {0: (0, "", ())}
+
+    def grown(found):
+        out = dict(found)
+        for _ in range(3):
+            for q, (cost, audit, lines) in list(out.items()):
+                role, to = turn[q]
+                way = cost + 5, audit + "I", (*lines, role + ":")
+                out[to] = min(out.get(to, way), way)
+        return out
+
+    for _, _, role, text in rows:
+        solid = text.strip(" \t\n\v\f\r")
+        fault = "blank" if not solid else "duplicate" if (role, text) in seen else "truncated" if solid[-1] not in ".!?" else ""
+        seen.add((role, text))
+        kinds.append((role[:1], fault))
+        found = {}
+        for q, (cost, audit, lines) in grown(best).items():
+            ways = [(q, (cost + 2, audit + "D", lines))]
+            if fault not in ("blank", "duplicate"):
+                more = cost + 5 * (fault == "truncated")
+                name, to = turn[q]
+                ways.append((to, (more + 1, audit + "R", (*lines, f"{name}:{text}"))))
+                if role[:1] == name[0]:
+                    ways.append((to, (more, audit + "K", (*lines, f"{role}:{text}"))))
+                if role[:1] == "s" and q == 0:
+                    ways.append((1, (more, audit + "K", (*lines, f"{role}:{text}"))))
+            for to, way in ways:
+                found[to] = min(found.get(to, way), way)
+        best = found
+    cost, audit, lines = min(x for q, x in grown(best).items() if q in (0, 3))
+    turns = [t for known, t, _, _ in rows if known]
+    count = [sum(f == k for _, f in kinds) for k in ("blank", "duplicate", "truncated")]
+    illegal = sum(a[0] + b[0] not in ("su", "ua", "au") for a, b in zip(kinds, kinds[1:], strict=False))
+    return (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *count, illegal, cost, audit), list(lines)
+
+
+def _talks():
+    rng = random.Random(12)
+    texts = ["Yes.", "no", "", " \t", "Why?", "Why?", "é!", "x. \n", None, "\x0b"]
+    talks = {None: [(1, "user", "Hi."), (None, None, None)], "": [], "hot": [(t, rng.choice(["user", "assistant"]), rng.choice(["a.", "b", "c!"]) + str(t)) for t in range(700)]}
+    for i in range(120):
+        roles = ["user", "assistant", "system", "tool", "", None] if i % 3 else ["user", "assistant"]
+        talks[f"c{i}"] = [(rng.choice([None, *range(9)]), rng.choice(roles), rng.choice(texts)) for _ in range(rng.randrange(1, 12))]
+    return talks
+
+
+def test_repair_against_plain(spark, monkeypatch):
+    talks = _talks()
+    rows = [(c, *r, 1, "z") for c, rs in talks.items() for r in rs]
+    df = spark.createDataFrame(rows, "conv string, turn bigint, role string, text string, pos int, fault string")
+    for block in (4096, 5):
+        # a block of few rows: every conversation is folded from blocks
+        monkeypatch.setattr(repair, "BLOCK", block)
+        report, repaired = repair.repair(df)
+        lines = defaultdict(list)
+        for r in sorted(repaired.collect(), key=lambda r: (r["pos"], r["sub"])):
+            lines[r["conv"]].append(f"{r['role']}:{r['text']}")
+        got = {r["conv"]: ((r["gaps"], r["blank"], r["duplicate"], r["truncated"], r["illegal"], r["cost"], r["audit"]), lines[r["conv"]]) for r in report.collect()}
+        assert got == {c: plain_repair(rs) for c, rs in talks.items() if rs}
+
+
+def test_repair_of_nothing_and_of_a_long_text(spark):
+    kind = "conv bigint, turn bigint, role string, text string"
+    report, repaired = repair.repair(spark.createDataFrame([], kind))
+    assert report.collect() == [] and repaired.collect() == []
+    report, repaired = repair.repair(spark.createDataFrame([(1, 0, "assistant", "é " * 900_000 + ".")], kind))
+    assert [r["audit"] for r in report.collect()] == ["D"] and repaired.collect() == []
+
+
+def test_a_shared_prefix_is_solved_once(monkeypatch):
+    calls = []
+    plain = repair.step
+    monkeypatch.setattr(repair, "step", lambda layer, letter: calls.append(letter) or plain(layer, letter))
+    trie = repair.Trie((repair.NOTHING,))
+    for signature in ["a", "dg", "dgd", "dgdg", "dgdg", "dgdh"]:
+        trie.solve(signature)
+    assert len(calls) == 1 + 4 + 1
