@@ -150,6 +150,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shards import shard
+
+    out = shard(_table(spark, sf_dir, "documents"), 8)
+    return out.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -163,4 +170,5 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_turn_reassembly": op11_turn_reassembly,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_sharding": op13_sharding,
 }

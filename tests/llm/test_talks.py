@@ -2,10 +2,13 @@
 
 import hashlib
 import random
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 from hearsay.llm import repair
+from hearsay.llm.shards import range_of, shard
 from hearsay.llm.turns import reassemble
+from pyspark.sql import functions as F
 
 from .brute import sha
 
@@ -158,3 +161,51 @@ def test_a_shared_prefix_is_solved_once(monkeypatch):
     for signature in ["a", "dg", "dgd", "dgdg", "dgdg", "dgdh"]:
         trie.solve(signature)
     assert len(calls) == 1 + 4 + 1
+
+
+def _sharded(spark, rows, shards, **more):
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, size int, key int")
+    out = shard(df, shards, **more).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["crc"]) for r in out) == sorted((i is not None, i or 0, size(t), zlib.crc32((t or "").encode())) for i, t in rows)
+    slots, filled = defaultdict(list), Counter(dict.fromkeys(range(shards), 0))
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+        filled[r["shard"]] += r["size"]
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(shards))
+    return out, filled
+
+
+def test_shards_are_near_equal(spark):
+    rng = random.Random(5)
+    rows = [(i, "x" * int(rng.paretovariate(0.8) * 30 % 20_000) + str(i)) for i in range(3000)]
+    _, filled = _sharded(spark, rows, 8, ranges=256)
+    assert max(filled.values()) <= 1.01 * sum(filled.values()) / 8
+
+
+def test_hot_groups_are_subdivided_and_others_stay_whole(spark):
+    # copies, empty texts and one id hold most rows; the rest are pairs of copies
+    rows = [(i, "copy of a passage") for i in range(3000)] + [(i, None if i % 2 else "") for i in range(3000, 6000)] + [(-1, "same id " + str(i)) for i in range(1500)] + [(None, "no id")] * 500
+    rows += [(10_000 + i, f"text of a pair, number {i // 2} " * 9) for i in range(3000)]
+    out, filled = _sharded(spark, rows, 8, ranges=512)
+    assert max(filled.values()) <= 1.01 * sum(filled.values()) / 8
+    n = Counter(r["shard"] for r in out if r["doc_id"] is not None and 0 <= r["doc_id"] < 3000)
+    assert len(n) == 8 and max(n.values()) < 2 * min(n.values())
+    where = defaultdict(set)
+    for r in out:
+        if (r["doc_id"] or 0) >= 10_000:
+            where[(r["doc_id"] - 10_000) // 2].add(r["shard"])
+    assert sum(len(v) > 1 for v in where.values()) < 60  # the ranges that hot groups share
+
+
+def test_shards_of_little_and_of_nothing(spark):
+    kind = "doc_id bigint, text string"
+    assert shard(spark.createDataFrame([], kind), 8).collect() == []
+    out, filled = _sharded(spark, [(1, "é" * 3_000_000), (2, None), (3, "a"), (3, "a")], 3)
+    assert sorted(filled.values()) == [2, 3, 6_000_001] or sorted(filled.values()) == [1, 4, 6_000_001]
+
+
+def test_range_of_every_key(spark):
+    for begins in ([], [5], [-3, 0, 4], [-9, -2, 0, 1, 7, 8, 30]):
+        got = spark.createDataFrame([(k,) for k in range(-12, 35)], "key bigint").select("key", range_of(F.col("key"), begins).alias("r")).collect()
+        assert all(r["r"] == sum(b <= r["key"] for b in begins) for r in got)
