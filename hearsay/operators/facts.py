@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import value_key
+from .staircase import first_open
 
 FACT = ["family", "item", "value_key"]
 
@@ -75,23 +76,24 @@ def consensus(claims: DataFrame, mentions: DataFrame | None, agent: str, min_age
     return ranked.where("rn = 1").where((F.col("agents") >= min_agents) | (F.col("variants") == 1)).select("family", "item", F.col("value_key").alias("consensus_value"))
 
 
-def top_two(mentions: DataFrame, agent: str) -> DataFrame:
-    """Per fact its two earliest distinct carriers.  The first other carrier of
-    any agent is one of them, so exposure is an equi-join on one row a fact."""
-    first = mentions.where("family <> 'url'").groupBy(*FACT, F.col(agent).alias("carrier")).agg(F.min("ts").alias("t"))
-    rank = W.partitionBy(*FACT).orderBy("t", "carrier")
-    ranked = first.withColumn("rn", F.row_number().over(rank)).where("rn <= 2")
+def top_two(mentions: DataFrame, agent: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per fact (and ``by``) its two earliest distinct carriers: a1, f1, a2, f2, where f is
+    (ts, event_id, until).  The first other carrier of any agent is one of them, so exposure is
+    an equi-join on one row a fact.  Both steps shrink a hot fact before they shuffle it: first
+    mentions by partial aggregation, the two of a fact by partial group limits."""
+    until = F.col("visible_until") if "visible_until" in mentions.columns else F.lit(None).cast("timestamp")
+    key = [*FACT, *by]
+    first = mentions.where("family <> 'url'").groupBy(*key, F.col(agent).alias("carrier")).agg(F.min(F.struct("ts", "event_id", until.alias("until"))).alias("f"))
+    ranked = first.withColumn("rn", F.row_number().over(W.partitionBy(*key).orderBy("f.ts", "f.event_id", "carrier"))).where("rn <= 2")
     pick = lambda n, c: F.max(F.when(F.col("rn") == n, F.col(c)))
-    return ranked.groupBy(*FACT).agg(pick(1, "carrier").alias("a1"), pick(1, "t").alias("t1"), pick(2, "carrier").alias("a2"), pick(2, "t").alias("t2"))
+    return ranked.groupBy(*key).agg(pick(1, "carrier").alias("a1"), pick(1, "f").alias("f1"), pick(2, "carrier").alias("a2"), pick(2, "f").alias("f2"))
 
 
-def _other(report: str = "t_report") -> tuple[Column, Column]:
-    """(time, carrier) of the earliest mention by another agent before the report."""
-    second = F.col("a1") == F.col("agent")
-    t = F.when(second, F.col("t2")).otherwise(F.col("t1"))
-    a = F.when(second, F.col("a2")).otherwise(F.col("a1"))
-    early = t < F.col(report)
-    return F.when(early, t), F.when(early, a)
+def _other() -> Column:
+    """(ts, event_id, until, src) of the earliest mention by another agent, or null."""
+    own = F.col("a1") == F.col("agent")
+    f, a = F.when(own, F.col("f2")).otherwise(F.col("f1")), F.when(own, F.col("a2")).otherwise(F.col("a1"))
+    return F.when(f["ts"].isNotNull(), F.struct(f["ts"].alias("ts"), f["event_id"].alias("event_id"), f["until"].alias("until"), a.alias("src")))
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
@@ -104,24 +106,29 @@ def exposures(rounds: DataFrame, mentions: DataFrame, agreed: DataFrame, agent:
     the agents named."""
     r = rounds.join(agreed, ["family", "item"], "left").withColumn("target", F.coalesce(value_key(F.col("value_norm")), F.col("consensus_value")))
     m = mentions.where("family <> 'url' and item is not null and value_key is not null")
-    public = m if audience is None else m.join(audience.select("channel").distinct(), "channel", "left_anti")
+    if "visible_until" not in m.columns:
+        m = m.withColumn("visible_until", F.lit(None).cast("timestamp"))
+    if audience is not None:
+        # a restricted channel is a room of its own, all others are one
+        rooms = audience.select("channel", F.col("channel").alias("room")).distinct()
+        m = m.join(rooms, "channel", "left")
+    public = m if audience is None else m.where("room is null")
     two = top_two(public, agent)
     own = m.groupBy(*FACT, F.col(agent).alias("agent")).agg(F.min("ts").alias("t_own"))
     fact = lambda df, key: df.withColumnRenamed("value_key", key)
-    t, a = _other()
-    out = r.join(fact(two, "target"), ["family", "item", "target"], "left").withColumn("t_public", t).withColumn("src_agent", a).drop("a1", "t1", "a2", "t2")
+    closed = None if audience is None else _closed(r, m, agent, audience)
+
+    def before(out: DataFrame, key: str, name: str) -> DataFrame:
+        """The earliest copy by another that the agent could read before the report."""
+        out = out.join(fact(two, key), ["family", "item", key], "left").withColumn("__o", _other()).drop("a1", "f1", "a2", "f2")
+        if closed is not None:
+            out = out.join(fact(closed, key), ["family", "item", key, "agent"], "left").withColumn("__o", F.least("__o", "closed")).drop("closed")
+        return out.withColumn(name, F.when(F.col("__o.ts") < F.col("t_report"), F.col("__o"))).drop("__o")
+
+    out = before(r, "target", "source")
     out = out.join(fact(own, "target"), ["family", "item", "target", "agent"], "left").withColumn("t_self_prepared", F.when(F.col("t_own") < F.col("t_report"), F.col("t_own"))).drop("t_own")
-    out = out.join(fact(two, "consensus_value"), ["family", "item", "consensus_value"], "left").withColumn("t_cons", t).drop("a1", "t1", "a2", "t2")
-    if audience is not None:
-        # restricted copies: each reaches only the agents of its channel
-        m_named = m.join(audience.withColumnRenamed("agent", "reader"), "channel").where(F.col(agent) != F.col("reader"))
-        closed = m_named.groupBy(*FACT, F.col("reader").alias("agent")).agg(F.min(F.struct("ts", F.col(agent).alias("src"))).alias("closed"))
-        out = out.join(fact(closed, "target"), ["family", "item", "target", "agent"], "left")
-        nearer = (F.col("closed.ts") < F.col("t_report")) & (F.col("t_public").isNull() | (F.col("closed.ts") < F.col("t_public")))
-        out = out.withColumn("src_agent", F.when(nearer, F.col("closed.src")).otherwise(F.col("src_agent"))).withColumn("t_public", F.when(nearer, F.col("closed.ts")).otherwise(F.col("t_public"))).drop("closed")
-        out = out.join(fact(closed, "consensus_value"), ["family", "item", "consensus_value", "agent"], "left")
-        nearer = (F.col("closed.ts") < F.col("t_report")) & (F.col("t_cons").isNull() | (F.col("closed.ts") < F.col("t_cons")))
-        out = out.withColumn("t_cons", F.when(nearer, F.col("closed.ts")).otherwise(F.col("t_cons"))).drop("closed")
+    out = before(out, "consensus_value", "agreed")
+    out = out.withColumns({"t_public": F.col("source.ts"), "src_agent": F.col("source.src"), "src_until": F.col("source.until"), "t_cons": F.col("agreed.ts")})
     out = _visibility(out, m, agent, audience)
     gap = seconds_between(F.col("t_report"), F.col("t_public"))
     gap_c = seconds_between(F.col("t_report"), F.col("t_cons"))
@@ -147,22 +154,31 @@ def exposures(rounds: DataFrame, mentions: DataFrame, agreed: DataFrame, agent:
     )
 
 
+def _closed(r: DataFrame, m: DataFrame, agent: str, audience: DataFrame) -> DataFrame:
+    """Per agent and fact that it reports or that is agreed on: ``closed``, the earliest copy by
+    another in its rooms.  Readers meet rooms, not mentions: a room has one row a fact."""
+    wanted = r.select("agent", "family", "item", F.explode(F.array_distinct(F.array("target", "consensus_value"))).alias("value_key")).where("value_key is not null")
+    two = top_two(m.where("room is not null"), agent, ("room",))
+    mine = wanted.join(audience.select("agent", F.col("channel").alias("room")).distinct(), "agent")
+    return mine.join(two, [*FACT, "room"]).groupBy(*FACT, "agent").agg(F.min(_other()).alias("closed"))
+
+
 def _visibility(r: DataFrame, m: DataFrame, agent: str, audience: DataFrame | None) -> DataFrame:
-    """The earliest other copy still visible at report time, and how long the
-    earliest source stayed.  Only facts with a bounded copy need the range join."""
-    if "visible_until" not in m.columns:
-        return r.withColumn("t_public_visible", F.col("t_public")).withColumn("src_until", F.lit(None).cast("timestamp"))
-    c = m.select("family", "item", F.col("value_key").alias("target"), F.col(agent).alias("carrier"), F.col("ts").alias("c_ts"), F.col("visible_until").alias("c_until"), "channel" if "channel" in m.columns else F.lit(None).alias("channel"), "event_id")
-    bounded = c.where("c_until is not null").select("family", "item", "target").distinct()
-    key = ["family", "item", "target"]
-    exposed = r.where("t_public is not null").select("claim_id", "agent", "t_report", *key).join(bounded, key, "left_semi")
-    pairs = exposed.join(c, key).where((F.col("c_ts") < F.col("t_report")) & (F.col("carrier") != F.col("agent")))
+    """The earliest other copy still visible at report time.  Only facts with a bounded copy
+    differ from the earliest copy at all; they are asked for in one sorted pass."""
+    m = m if audience is not None else m.withColumn("room", F.lit(None).cast("string"))
+    bounded = m.where("visible_until is not null").select(*FACT).distinct()
+    copies = m.join(bounded, FACT, "left_semi").select(*FACT, "room", F.col(agent).alias("carrier"), "ts", F.col("visible_until").alias("until"))
+    asked = r.where("t_public is not null").select("claim_id", "agent", "family", "item", F.col("target").alias("value_key"), F.col("t_report").alias("at")).join(bounded, FACT, "left_semi")
+    places = asked.withColumn("room", F.lit(None).cast("string"))
     if audience is not None:
-        closed = audience.select("channel").distinct().withColumn("closed", F.lit(True))
-        pairs = pairs.join(closed, "channel", "left").join(audience.withColumn("named", F.lit(True)), ["channel", "agent"], "left").where("closed is null or named")
-    still = F.col("c_until").isNull() | (F.col("c_until") > F.col("t_report"))
-    seen = pairs.groupBy("claim_id", "agent", *key).agg(F.min(F.when(still, F.col("c_ts"))).alias("vis"), F.min_by("c_until", F.struct("c_ts", "event_id")).alias("src_until"), F.lit(True).alias("ranged"))
-    out = r.join(seen.select("claim_id", "agent", *key, "vis", "src_until", "ranged"), ["claim_id", "agent", *key], "left")
+        held = copies.where("room is not null").select(*FACT, "room").distinct()
+        mine = asked.join(audience.select("agent", F.col("channel").alias("room")).distinct(), "agent").join(held, [*FACT, "room"], "left_semi")
+        places = places.unionByName(mine)
+    seen = first_open(places, copies, [*FACT, "room"], ["claim_id", "agent"])
+    key = ["claim_id", "agent", *FACT]
+    seen = seen.groupBy(*key).agg(F.min("first_open").alias("vis"), F.lit(True).alias("ranged")).withColumnRenamed("value_key", "target")
+    out = r.join(seen, ["claim_id", "agent", "family", "item", "target"], "left")
     return out.withColumn("t_public_visible", F.when(F.col("ranged"), F.col("vis")).otherwise(F.col("t_public"))).drop("vis", "ranged")
 
 

@@ -31,14 +31,14 @@ def ranged(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (),
     return write(df.repartitionByRange(n, *by, *order).withColumn(RANGE, F.spark_partition_id()))
 
 
-def _back(rows: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
+def _back(rows: DataFrame, offsets: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Offsets joined on (range, keys); a missing key equals a missing key."""
     keys = [RANGE, *by]
     there = offsets.select(*[F.col(k).alias(f"__o{i}") for i, k in enumerate(keys)], *[c for c in offsets.columns if c not in keys])
     on = F.lit(True)
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__o{i}"))
-    return rows.join(there, on).drop(*[f"__o{i}" for i in range(len(keys))])
+    return rows.join(there, on, how).drop(*[f"__o{i}" for i in range(len(keys))])
 
 
 def running(rows: DataFrame, sums: dict[str, Column], order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

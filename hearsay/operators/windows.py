@@ -78,47 +78,94 @@ def _inside(ts: Column, start: Column, end: Column) -> Column:
     return (start.isNull() | (start <= ts)) & (end.isNull() | (ts < end))
 
 
-def window_join(events: DataFrame, windows: DataFrame, key: str, window_id: str, event_id: str = "event_id") -> DataFrame:
+def _points(points: DataFrame, windows: DataFrame, key: str, window_id: str, bucket_s: int) -> DataFrame:
+    """``points``: distinct (key, ts).  Adds ``held``, the last window by start that holds the
+    point, and ``near``, (microseconds, window) of the nearest edge of a window of its key.
+
+    Starts, ends and points of a key go through one pass, cut into buckets of time; a bucket
+    starts from what the buckets before (and after) it carry.  The last window to start is the
+    answer unless it has ended; only points after its end ask the tree of ``era_join``.
+    """
+    us = lambda c: F.unix_micros(c)
+    name, key = key, "__key"
+    points, windows = points.select(F.col(name).alias(key), "ts"), windows.withColumnRenamed(name, key)
+    begin = F.coalesce("start", F.lit("0001-01-01").cast("timestamp"))
+    w = windows.select(key, "start", "end", F.col(window_id).alias("w"), begin.alias("s"))
+    h = F.struct(F.col("s"), F.col("w"), F.col("end"))
+    side = w.select(key, F.col("s").alias("ts"), F.lit(0).alias("side"), h.alias("h"), F.when(F.col("start").isNotNull(), F.struct("w")).alias("edge"))
+    side = side.unionByName(w.where("end is not null").select(key, F.col("end").alias("ts"), F.lit(0).alias("side"), F.lit(None).cast(side.schema["h"].dataType).alias("h"), F.struct("w").alias("edge")))
+    asked = points.where("ts is not null").select(key, "ts", F.lit(1).alias("side"), *[F.lit(None).cast(side.schema[c].dataType).alias(c) for c in ("h", "edge")])
+    rows = side.unionByName(asked).withColumn("bucket", F.floor(us("ts") / F.lit(bucket_s * 1_000_000)).cast("bigint"))
+    # of equal edges the least window counts: minima of (distance from one end of time, window)
+    rows = rows.withColumns({"past": F.when(F.col("edge").isNotNull(), F.struct((-us("ts")).alias("at"), F.col("edge.w").alias("w"))), "next": F.when(F.col("edge").isNotNull(), F.struct(us("ts").alias("at"), F.col("edge.w").alias("w")))})
+    before, after = W.partitionBy(key).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(key).orderBy("bucket").rowsBetween(1, W.unboundedFollowing)
+    totals = rows.groupBy(key, "bucket").agg(F.max("h").alias("th"), F.min("past").alias("tp"), F.min("next").alias("tn"))
+    carried = totals.select(key, "bucket", F.max("th").over(before).alias("ch"), F.min("tp").over(before).alias("cp"), F.min("tn").over(after).alias("cn"))
+    here = W.partitionBy(key, "bucket").orderBy("ts", "side")
+    up, down = here.rowsBetween(W.unboundedPreceding, 0), here.rowsBetween(0, W.unboundedFollowing)
+    rows = rows.withColumns({"lh": F.max("h").over(up), "lp": F.min("past").over(up), "ln": F.min("next").over(down)}).where("side = 1")
+    found = rows.join(carried, [key, "bucket"]).select(key, "ts", F.greatest("lh", "ch").alias("h"), F.least("lp", "cp").alias("p"), F.least("ln", "cn").alias("n"))
+    away = lambda c, sign: F.when(F.col(c).isNotNull(), F.struct(F.abs(sign * F.col(f"{c}.at") - us("ts")).alias("d"), F.col(f"{c}.w").alias("w")))
+    open_ = F.col("h").isNotNull() & (F.col("h.end").isNull() | (F.col("ts") < F.col("h.end")))
+    found = found.select(key, "ts", F.when(open_, F.struct("h.s", "h.w")).alias("held"), (F.col("h").isNotNull() & ~open_).alias("ended"), F.least(away("p", -1), away("n", 1)).alias("near"))
+    late = found.where("ended").select(key, "ts")
+    deep = era_join(late.withColumn("__p", F.struct(key, "ts")), windows, bucket_s, window_id, "__p", (key,)).where(F.col(window_id).isNotNull()).select("__p.*", F.struct(F.lit(None).cast("timestamp").alias("s"), F.col(window_id).alias("w")).alias("deep"))
+    timed = found.join(deep, [key, "ts"], "left").select(key, "ts", F.coalesce("held", "deep").alias("held"), "near")
+    # a point without a time is held by windows without edges; else the least window is as near as any
+    edgeless = F.max(F.when(F.col("start").isNull() & F.col("end").isNull(), F.struct("s", "w")))
+    known = w.groupBy(key).agg(edgeless.alias("held"), F.min(F.struct(F.lit(1 << 62).alias("d"), F.col("w"))).alias("near"))
+    return timed.unionByName(points.where("ts is null").join(known, key).select(key, "ts", "held", "near")).withColumnRenamed(key, name)
+
+
+def window_join(events: DataFrame, windows: DataFrame, key: str, window_id: str, event_id: str = "event_id", bucket_s: int = 30 * 86400) -> DataFrame:
     """Interval join on a key: the last window by start that holds the event, else
-    the one with the nearest edge (``in_window`` false); one row per event."""
-    ev = events.select(event_id, key, F.col("ts").alias("__ts"))
-    pairs = ev.join(windows.select(key, window_id, "start", "end"), key, "left")
-    inside = F.coalesce(_inside(F.col("__ts"), F.col("start"), F.col("end")), F.lit(False))
-    far = F.least(F.abs(seconds_between(F.col("__ts"), F.col("start"))), F.abs(seconds_between(F.col("__ts"), F.col("end"))))
-    held = F.max(F.when(inside, F.struct(F.coalesce("start", F.lit("0001-01-01").cast("timestamp")).alias("s"), F.col(window_id).alias("w"))))
-    near = F.min(F.when(~inside & F.col(window_id).isNotNull(), F.struct(F.coalesce(far, F.lit(1e300)).alias("d"), F.col(window_id).alias("w"))))
-    out = pairs.groupBy(event_id).agg(held.alias("held"), near.alias("near"))
+    the one with the nearest edge (``in_window`` false); one row per event.  Events
+    meet windows in a sorted pass, not in pairs."""
+    ev = events.select(event_id, key, "ts")
+    found = _points(ev.select(key, "ts").distinct(), windows, key, window_id, bucket_s)
+    out = _with_points(ev, found, key).groupBy(event_id).agg(F.max("held").alias("held"), F.min("near").alias("near"))
     return out.select(event_id, F.coalesce("held.w", "near.w").alias(window_id), F.when(F.col("held").isNotNull(), True).when(F.col("near").isNotNull(), False).alias("in_window"))
 
 
-def era_join(events: DataFrame, eras: DataFrame, bucket_s: int, era_id: str = "era_id", event_id: str = "event_id") -> DataFrame:
-    """Interval join without a key; the latest window wins.  One row per event id:
-    rows that share an id, a missing one too, count as one event.
+def _with_points(ev: DataFrame, found: DataFrame, key: str, how: str = "left") -> DataFrame:
+    at = found.withColumnRenamed(key, "__k").withColumnRenamed("ts", "__t")
+    return ev.join(at, (F.col(key) == F.col("__k")) & F.col("ts").eqNullSafe(F.col("__t")), how).drop("__k", "__t")
+
+
+def era_join(events: DataFrame, eras: DataFrame, bucket_s: int, era_id: str = "era_id", event_id: str = "event_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """Interval join; the latest window wins, of those with the event's ``by`` if
+    there is any.  One row per event id: rows that share an id, a missing one too,
+    count as one event.
 
     Time is cut into buckets of ``bucket_s``.  The buckets that a window covers
     wholly are a few nodes of a binary tree over the buckets, and a node keeps its
     latest window only; a bucket asks its ancestors.  Only the buckets in which a
     window begins or ends compare events with that window.
     """
+    keys = {c: f"__by{i}" for i, c in enumerate(by)}
+    by, events, eras = list(keys.values()), events.withColumns({n: F.col(c) for c, n in keys.items()}), eras.withColumnsRenamed(keys)
     step, far = bucket_s * 1_000_000, 1 << 40
     at = lambda c: F.floor(F.unix_micros(c) / F.lit(step)).cast("bigint")
     lo, hi = at("start"), at("end")
     first = F.when(F.unix_micros("start") == lo * step, lo).otherwise(F.coalesce(lo + 1, F.lit(-far)))
     h = F.struct(F.coalesce("start", F.lit("0001-01-01").cast("timestamp")).alias("s"), F.col(era_id).alias("w"))
-    w = eras.select("start", "end", lo.alias("lo"), hi.alias("hi"), first.alias("a"), F.coalesce(hi, F.lit(far)).alias("b"), h.alias("h"))
-    ranges = w.groupBy("a", "b").agg(F.max("h").alias("h"))
+    w = eras.select(*by, "start", "end", lo.alias("lo"), hi.alias("hi"), first.alias("a"), F.coalesce(hi, F.lit(far)).alias("b"), h.alias("h"))
+    ranges = w.groupBy(*by, "a", "b").agg(F.max("h").alias("h"))
     left, right = "-shiftright(-a, k)", "shiftright(b, k)"
     ends = [f"if({left} < {right} and {x} % 2 <> 0, named_struct('k', k, 'node', {y}), null)" for x, y in ((left, left), (right, f"{right} - 1"))]
     covered = F.expr(f"filter(flatten(transform(sequence(0, 41), k -> array({', '.join(ends)}))), x -> x is not null)")
     always = F.when((F.col("a") == -far) & (F.col("b") == far), F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast("bigint").alias("node")))).otherwise(F.expr("cast(array() as array<struct<k:int,node:bigint>>)"))
-    nodes = ranges.select("h", F.explode(F.concat(covered, always)).alias("n")).groupBy("n.k", "n.node").agg(F.max("h").alias("h"))
-    ev = events.select(event_id, "ts", at("ts").alias("bucket"))
+    nodes = ranges.select(*by, "h", F.explode(F.concat(covered, always)).alias("n")).groupBy(*by, "n.k", "n.node").agg(F.max("h").alias("h"))
+    ev = events.select(*by, event_id, "ts", at("ts").alias("bucket"))
     # an event without a time is held by windows without a start and an end
     up = F.expr("if(bucket is null, array(named_struct('k', -1, 'node', 0L)), transform(sequence(0, 41), k -> named_struct('k', k, 'node', shiftright(bucket, k))))")
-    best = ev.select("bucket").distinct().select("bucket", F.explode(up).alias("n")).select("bucket", "n.k", "n.node").join(nodes, ["k", "node"]).groupBy("bucket").agg(F.max("h").alias("h"))
-    whole = ev.join(best, ev["bucket"].eqNullSafe(best["bucket"])).select(event_id, "h")
-    edges = w.select("start", "end", "h", F.explode(F.array_compact(F.array_distinct(F.array(*[F.when(F.unix_micros(c) != F.col(n) * step, F.col(n)) for c, n in (("start", "lo"), ("end", "hi"))])))).alias("bucket"))
-    part = ev.join(edges, "bucket").where(_inside(F.col("ts"), F.col("start"), F.col("end"))).select(event_id, "h")
+    best = ev.select(*by, "bucket").distinct().select(*by, "bucket", F.explode(up).alias("n")).select(*by, "bucket", "n.k", "n.node").join(nodes, [*by, "k", "node"]).groupBy(*by, "bucket").agg(F.max("h").alias("h"))
+    same = ev["bucket"].eqNullSafe(best["bucket"])
+    for c in by:
+        same = same & (ev[c] == best[c])
+    whole = ev.join(best, same).select(event_id, "h")
+    edges = w.select(*by, "start", "end", "h", F.explode(F.array_compact(F.array_distinct(F.array(*[F.when(F.unix_micros(c) != F.col(n) * step, F.col(n)) for c, n in (("start", "lo"), ("end", "hi"))])))).alias("bucket"))
+    part = ev.join(edges, [*by, "bucket"]).where(_inside(F.col("ts"), F.col("start"), F.col("end"))).select(event_id, "h")
     none = events.select(event_id, F.lit(None).cast(w.schema["h"].dataType).alias("h"))
     held = whole.unionByName(part).unionByName(none).groupBy(event_id).agg(F.max("h").alias("h"))
     return held.select(event_id, F.col("h.w").alias(era_id))
@@ -153,10 +200,11 @@ def next_at_or_after(left: DataFrame, right: DataFrame, key: str, left_id: str,
     return both.withColumn("n", F.first("r", ignorenulls=True).over(w)).where("side = 0").select(F.col("lid").alias(left_id), F.col("n.v").alias(value), seconds_between(F.col("n.ts"), F.col("ts")).alias("dt_s"))
 
 
-def in_any_window(events: DataFrame, windows: DataFrame, key: str) -> DataFrame:
+def in_any_window(events: DataFrame, windows: DataFrame, key: str, bucket_s: int = 30 * 86400) -> DataFrame:
     """Interval semi-join: events that lie in at least one window of their key."""
-    e, w = events.alias("e"), windows.select(F.col(key).alias("wk"), F.col("start").alias("ws"), F.col("end").alias("we")).alias("w")
-    return e.join(w, (F.col(f"e.{key}") == F.col("w.wk")) & (F.col("w.ws").isNull() | (F.col("w.ws") <= F.col("e.ts"))) & (F.col("w.we").isNull() | (F.col("e.ts") < F.col("w.we"))), "left_semi")
+    spans = windows.select(F.col(key), "start", "end", F.lit(0).alias("__w"))
+    found = _points(events.select(key, "ts").distinct(), spans, key, "__w", bucket_s).where("held is not null").select(key, "ts")
+    return _with_points(events, found, key, "left_semi")
 
 
 def calendar_counts(events: DataFrame, group: str, first: str, last: str) -> DataFrame:
