@@ -20,7 +20,8 @@ slices, each by its own task.
 
 Hashes find, they do not decide: sets are equal if their 128-bit digests are, ids
 of 64 bits that two digests share are told apart (``torn_ids``), and overlaps are
-counted in the texts with two independent hashes of each shingle.
+counted in the texts by 128 bits of each shingle, which are put together from the
+BLAKE2b digests of its words.
 
 Defined results: null, empty and wordless texts have no shingles, link with
 nothing and are their own component; a text with fewer words than a shingle is
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .spans import SLICES, batches_of, by_part, dealt, part_by_part, part_of, with_key
 from .store import drop, materialize, partitions, small_batches, tidy
-from .words import LOWER, MIX, give_back, grams, pair, runs, text_bytes, word_hashes, words_of
+from .words import LOWER, MIX, digests, distinct, give_back, grams, pair, runs, text_bytes, words_of
 
 #: Lists up to this length are paired out.
 SMALL = 4
@@ -59,14 +60,22 @@ ENTRY = np.dtype([("tok", "<u8"), ("set", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 COUNT = np.dtype([("tok", "<u8"), ("n", "<i8")])
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, twice: bool = False) -> list[np.ndarray]:
-    """Distinct shingle hashes of each text, in order; A-Z count as a-z.
-    ``twice``: two columns, by two independent hashes."""
+def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of each word's BLAKE2b digest, as two columns; each distinct word is digested once."""
+    place, number = distinct(data, starts, ends)
+    if not len(place):
+        return np.empty((0, 2), np.uint64)
+    return digests(data.tobytes(), starts[place], ends[place]).view(np.uint64)[number]
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
+    """Distinct shingles of each text, in order; A-Z count as a-z.  Two columns:
+    128 bits, put together from the digests of the words."""
     data = LOWER[data]
     starts, ends, first = words_of(data, offsets)
+    both = word_digests(data, starts, ends)
     columns = []
-    for seed in (0, 1) if twice else (0,):
-        h = word_hashes(data, starts, ends, seed)
+    for h in (np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])):
         short = np.zeros(len(first) - 1, np.uint64)
         few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size))
         for i in few.tolist():
@@ -78,11 +87,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, twice: bool =
     out = []
     for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
         x = [full[a : b - size + 1] if b - a >= size else short[i : i + 1] if b > a else full[:0] for full, short in columns]
-        if not twice:
-            out.append(np.unique(x[0]))
-            continue
-        order = np.lexsort((x[1], x[0]))
+        order = np.argsort(x[0])
         one, two = x[0][order], x[1][order]
+        if ((one[1:] == one[:-1]) & (two[1:] != two[:-1])).any():  # two shingles with one first column
+            order = np.lexsort((x[1], x[0]))
+            one, two = x[0][order], x[1][order]
         fresh = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])) if len(one) else np.empty(0, bool)
         out.append(np.stack([one[fresh], two[fresh]], 1))
     return out
@@ -187,7 +196,7 @@ def _profile(docs: DataFrame, size: int, parts: int) -> DataFrame:
                 for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size):
                     ids.append(set_digest(s) if len(s) else (None, None))
                     sizes.append(len(s))
-                    held.append(s)
+                    held.append(s[:, 0].copy())
                     amount += len(s)
                 if amount > COUNTED:
                     yield from batches_of(counts(), PROFILE)
@@ -246,7 +255,7 @@ def _index(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, torn:
             data, offsets = text_bytes(batch.column(1))
             for a, b in runs(offsets):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                flat = np.concatenate(sets)
+                flat = np.concatenate([s[:, 0] for s in sets])
                 rank = np.zeros(len(flat), np.int64)
                 if len(toks):
                     at = np.minimum(np.searchsorted(toks, flat), len(toks) - 1)
@@ -260,7 +269,7 @@ def _index(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, torn:
                     if both not in seen:
                         seen.add(both)
                         sid = both[0] if both[0] not in apart else _xxhash(both)
-                        held.append(_entries(s, sid, rank[end - len(s) : end], percent))
+                        held.append(_entries(s[:, 0], sid, rank[end - len(s) : end], percent))
                         amount += len(held[-1])
                 if amount > HELD:
                     yield from batches_of(send(), INDEX)
@@ -334,7 +343,7 @@ def verify(pairs: DataFrame, members: DataFrame, texts: DataFrame, words: int, p
         current, items = None, None
         for batch in batches:
             data, offsets = text_bytes(batch.column(4))
-            sets = (s for x, y in runs(offsets) for s in shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], words, twice=True))
+            sets = (s for x, y in runs(offsets) for s in shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], words))
             out = []
             for a, role, b, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), sets, strict=True):
                 if role == 0:

@@ -312,3 +312,25 @@ def test_suffix_query(spark, data):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
     want = {i: (gone, spans, brute.sha(kept)) for i, (kept, gone, spans) in brute.suffixes(rows, 100).items()}
     assert {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in queries.op9_suffix_dedup(spark, data).collect()} == want
+
+
+def test_words_with_one_plain_hash(spark):
+    """Two words of eight bytes on which ``word_hashes`` agrees are still two words."""
+    import numpy as np
+    from hearsay.llm.words import word_hashes
+
+    x, y = "7}k\x7f!{a", '"\x01!\x00h\x01*b'
+    data = np.frombuffer((x + y).encode(), np.uint8)
+    h = word_hashes(data, np.array([0, len(x)]), np.array([len(x), len(x) + len(y)]))
+    assert h[0] == h[1]
+    # one word of five differs: nothing links them, and a text that has both has two shingles more
+    rows = [(1, f"p q r s {x}"), (2, f"p q r s {y}"), (3, f"p q r s {x} p q r s {y}")]
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute.components(rows) == {1: (1, 1), 2: (1, 2), 3: (6, 3)}
+
+
+def test_jaccard_of_a_very_long_text(spark):
+    long = " ".join(f"w{i % 977} v{i % 7919}" for i in range(60_000))
+    rows = [(1, long), (2, long.upper() + " more"), (3, "x" * 300_000), (4, "short text of five words")]
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute.components(rows)
