@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..store import checkpoint
 from .facts import seconds_between
 from .scan import previous, ranged, running
 
@@ -78,58 +79,65 @@ def _inside(ts: Column, start: Column, end: Column) -> Column:
     return (start.isNull() | (start <= ts)) & (end.isNull() | (ts < end))
 
 
-def _points(points: DataFrame, windows: DataFrame, key: str, window_id: str, bucket_s: int) -> DataFrame:
-    """``points``: distinct (key, ts).  Adds ``held``, the last window by start that holds the
-    point, and ``near``, (microseconds, window) of the nearest edge of a window of its key.
+def _held(points: DataFrame, windows: DataFrame, window_id: str, bucket_s: int, edges: bool) -> DataFrame:
+    """``points``: __key, ts and ``row``; ``windows``: __key, start, end and an id.  Adds to
+    each point ``held``, (start, id) of the last window by start that holds it, and with
+    ``edges`` ``near``, (microseconds, id) of the nearest edge of a window of its key.
 
-    Starts, ends and points of a key go through one pass, cut into buckets of time; a bucket
-    starts from what the buckets before (and after) it carry.  The last window to start is the
-    answer unless it has ended; only points after its end ask the tree of ``era_join``.
+    Starts, ends and points of a key go through sorted passes, cut into buckets of time; a
+    bucket starts from what the buckets before (and after) it carry.  The last window to start
+    is the answer unless it has ended; only points after its end ask the tree of ``era_join``.
     """
-    us = lambda c: F.unix_micros(c)
-    name, key = key, "__key"
-    points, windows = points.select(F.col(name).alias(key), "ts"), windows.withColumnRenamed(name, key)
+    us = F.unix_micros
     begin = F.coalesce("start", F.lit("0001-01-01").cast("timestamp"))
-    w = windows.select(key, "start", "end", F.col(window_id).alias("w"), begin.alias("s"))
-    h = F.struct(F.col("s"), F.col("w"), F.col("end"))
-    side = w.select(key, F.col("s").alias("ts"), F.lit(0).alias("side"), h.alias("h"), F.when(F.col("start").isNotNull(), F.struct("w")).alias("edge"))
-    side = side.unionByName(w.where("end is not null").select(key, F.col("end").alias("ts"), F.lit(0).alias("side"), F.lit(None).cast(side.schema["h"].dataType).alias("h"), F.struct("w").alias("edge")))
-    asked = points.where("ts is not null").select(key, "ts", F.lit(1).alias("side"), *[F.lit(None).cast(side.schema[c].dataType).alias(c) for c in ("h", "edge")])
-    rows = side.unionByName(asked).withColumn("bucket", F.floor(us("ts") / F.lit(bucket_s * 1_000_000)).cast("bigint"))
+    w = windows.select("__key", "start", "end", begin.alias("s"), F.col(window_id).alias("w"))
+    h, edge = F.struct("s", "w", "end"), F.struct("w")
+    side = w.select("__key", F.col("s").alias("ts"), h.alias("h"), F.when(F.col("start").isNotNull(), edge).alias("edge"))
+    kinds = {c: side.schema[c].dataType for c in ("h", "edge")}
+    if edges:
+        side = side.unionByName(w.where("end is not null").select("__key", F.col("end").alias("ts"), F.lit(None).cast(kinds["h"]).alias("h"), edge.alias("edge")))
+    row = points.schema["row"].dataType
+    rows = side.select("*", F.lit(0).alias("side"), F.lit(None).cast(row).alias("row"))
+    rows = rows.unionByName(points.where("ts is not null").select("__key", "ts", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()], F.lit(1).alias("side"), "row"))
+    rows = rows.withColumn("bucket", F.floor(us("ts") / F.lit(bucket_s * 1_000_000)).cast("bigint"))
     # of equal edges the least window counts: minima of (distance from one end of time, window)
-    rows = rows.withColumns({"past": F.when(F.col("edge").isNotNull(), F.struct((-us("ts")).alias("at"), F.col("edge.w").alias("w"))), "next": F.when(F.col("edge").isNotNull(), F.struct(us("ts").alias("at"), F.col("edge.w").alias("w")))})
-    before, after = W.partitionBy(key).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(key).orderBy("bucket").rowsBetween(1, W.unboundedFollowing)
-    totals = rows.groupBy(key, "bucket").agg(F.max("h").alias("th"), F.min("past").alias("tp"), F.min("next").alias("tn"))
-    carried = totals.select(key, "bucket", F.max("th").over(before).alias("ch"), F.min("tp").over(before).alias("cp"), F.min("tn").over(after).alias("cn"))
-    here = W.partitionBy(key, "bucket").orderBy("ts", "side")
-    up, down = here.rowsBetween(W.unboundedPreceding, 0), here.rowsBetween(0, W.unboundedFollowing)
-    rows = rows.withColumns({"lh": F.max("h").over(up), "lp": F.min("past").over(up), "ln": F.min("next").over(down)}).where("side = 1")
-    found = rows.join(carried, [key, "bucket"]).select(key, "ts", F.greatest("lh", "ch").alias("h"), F.least("lp", "cp").alias("p"), F.least("ln", "cn").alias("n"))
+    told = {"past": F.struct((-us("ts")).alias("at"), F.col("edge.w").alias("w")), "next": F.struct(us("ts").alias("at"), F.col("edge.w").alias("w"))} if edges else {}
+    rows = rows.withColumns({c: F.when(F.col("edge").isNotNull(), v) for c, v in told.items()}) if edges else rows
+    key = W.partitionBy("__key").orderBy("bucket")
+    before, after = key.rowsBetween(W.unboundedPreceding, -1), W.partitionBy("__key").orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy("__key", "bucket").agg(F.max("h").alias("th"), *[F.min(c).alias(f"t_{c}") for c in told])
+    carried = totals.select("__key", "bucket", F.max("th").over(before).alias("ch"), *[F.min(f"t_{c}").over(over).alias(f"c_{c}") for c, over in zip(told, (before, after), strict=False)])
+    place = W.partitionBy("__key", "bucket")
+    up, down = place.orderBy("ts", "side").rowsBetween(W.unboundedPreceding, 0), place.orderBy(F.desc("ts"), "side").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({"lh": F.max("h").over(up), **{f"l_{c}": F.min(c).over(over) for c, over in zip(told, (up, down), strict=False)}}).where("side = 1")
     away = lambda c, sign: F.when(F.col(c).isNotNull(), F.struct(F.abs(sign * F.col(f"{c}.at") - us("ts")).alias("d"), F.col(f"{c}.w").alias("w")))
-    open_ = F.col("h").isNotNull() & (F.col("h.end").isNull() | (F.col("ts") < F.col("h.end")))
-    found = found.select(key, "ts", F.when(open_, F.struct("h.s", "h.w")).alias("held"), (F.col("h").isNotNull() & ~open_).alias("ended"), F.least(away("p", -1), away("n", 1)).alias("near"))
-    late = found.where("ended").select(key, "ts")
-    deep = era_join(late.withColumn("__p", F.struct(key, "ts")), windows, bucket_s, window_id, "__p", (key,)).where(F.col(window_id).isNotNull()).select("__p.*", F.struct(F.lit(None).cast("timestamp").alias("s"), F.col(window_id).alias("w")).alias("deep"))
-    timed = found.join(deep, [key, "ts"], "left").select(key, "ts", F.coalesce("held", "deep").alias("held"), "near")
+    found = rows.join(carried, ["__key", "bucket"]).select("__key", "ts", "row", F.greatest("lh", "ch").alias("h"), *[F.least(f"l_{c}", f"c_{c}").alias(c) for c in told])
+    near = F.least(away("past", -1), away("next", 1)) if edges else F.lit(None).cast("struct<d:bigint,w:int>")
+    opened = F.col("h").isNotNull() & (F.col("h.end").isNull() | (F.col("ts") < F.col("h.end")))
+    found = checkpoint(found.select("__key", "ts", "row", F.when(opened, F.struct("h.s", "h.w")).alias("held"), (F.col("h").isNotNull() & ~opened).alias("ended"), near.alias("near")))
+    late = found.where("ended")
+    if not late.isEmpty():
+        asked = late.select("__key", "ts").distinct().withColumn("__p", F.struct("__key", "ts"))
+        deep = era_join(asked, windows, bucket_s, window_id, "__p", ("__key",)).where(F.col(window_id).isNotNull())
+        deep = deep.select("__p.*", F.struct(F.lit(None).cast("timestamp").alias("s"), F.col(window_id).alias("w")).alias("deep"))
+        late = late.join(deep, ["__key", "ts"], "left").withColumn("held", F.coalesce("held", "deep"))
+        found = found.where("not ended").unionByName(late.drop("deep"))
     # a point without a time is held by windows without edges; else the least window is as near as any
     edgeless = F.max(F.when(F.col("start").isNull() & F.col("end").isNull(), F.struct("s", "w")))
-    known = w.groupBy(key).agg(edgeless.alias("held"), F.min(F.struct(F.lit(1 << 62).alias("d"), F.col("w"))).alias("near"))
-    return timed.unionByName(points.where("ts is null").join(known, key).select(key, "ts", "held", "near")).withColumnRenamed(key, name)
+    known = w.groupBy("__key").agg(edgeless.alias("held"), F.min(F.struct(F.lit(1 << 62).alias("d"), F.col("w"))).alias("near"))
+    timeless = points.where("ts is null").join(known, "__key", "left").select("__key", "ts", "row", "held", *(["near"] if edges else []))
+    return found.select(*timeless.columns).unionByName(timeless)
 
 
 def window_join(events: DataFrame, windows: DataFrame, key: str, window_id: str, event_id: str = "event_id", bucket_s: int = 30 * 86400) -> DataFrame:
     """Interval join on a key: the last window by start that holds the event, else
     the one with the nearest edge (``in_window`` false); one row per event.  Events
     meet windows in a sorted pass, not in pairs."""
-    ev = events.select(event_id, key, "ts")
-    found = _points(ev.select(key, "ts").distinct(), windows, key, window_id, bucket_s)
-    out = _with_points(ev, found, key).groupBy(event_id).agg(F.max("held").alias("held"), F.min("near").alias("near"))
-    return out.select(event_id, F.coalesce("held.w", "near.w").alias(window_id), F.when(F.col("held").isNotNull(), True).when(F.col("near").isNotNull(), False).alias("in_window"))
-
-
-def _with_points(ev: DataFrame, found: DataFrame, key: str, how: str = "left") -> DataFrame:
-    at = found.withColumnRenamed(key, "__k").withColumnRenamed("ts", "__t")
-    return ev.join(at, (F.col(key) == F.col("__k")) & F.col("ts").eqNullSafe(F.col("__t")), how).drop("__k", "__t")
+    points = events.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), "ts", F.struct(F.col(event_id).alias("id")).alias("row"))
+    found = _held(points, windows.withColumnRenamed(key, "__key"), window_id, bucket_s, True).select("row.id", "held", "near")
+    lost = events.where(F.col(key).isNull()).select(F.col(event_id).alias("id"), *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("held", "near")])
+    out = found.unionByName(lost).groupBy("id").agg(F.max("held").alias("held"), F.min("near").alias("near"))
+    return out.select(F.col("id").alias(event_id), F.coalesce("held.w", "near.w").alias(window_id), F.when(F.col("held").isNotNull(), True).when(F.col("near").isNotNull(), False).alias("in_window"))
 
 
 def era_join(events: DataFrame, eras: DataFrame, bucket_s: int, era_id: str = "era_id", event_id: str = "event_id", by: tuple[str, ...] = ()) -> DataFrame:
@@ -202,9 +210,9 @@ def next_at_or_after(left: DataFrame, right: DataFrame, key: str, left_id: str,
 
 def in_any_window(events: DataFrame, windows: DataFrame, key: str, bucket_s: int = 30 * 86400) -> DataFrame:
     """Interval semi-join: events that lie in at least one window of their key."""
-    spans = windows.select(F.col(key), "start", "end", F.lit(0).alias("__w"))
-    found = _points(events.select(key, "ts").distinct(), spans, key, "__w", bucket_s).where("held is not null").select(key, "ts")
-    return _with_points(events, found, key, "left_semi")
+    points = events.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), "ts", F.struct(*events.columns).alias("row"))
+    spans = windows.select(F.col(key).alias("__key"), "start", "end", F.lit(0).alias("__w"))
+    return _held(points, spans, "__w", bucket_s, False).where("held is not null").select("row.*")
 
 
 def calendar_counts(events: DataFrame, group: str, first: str, last: str) -> DataFrame:
