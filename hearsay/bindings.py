@@ -298,7 +298,17 @@ def relay_tie_note(spark, d):
     return st.relay_tie_note(relay.relay_edges(_mentions(spark, d), AGENT))
 
 
-@query()
+#: Distances and numbers of shortest paths; a node's share of a pair's paths is a product of the two.
+BETWEEN = GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+ g AS (SELECT DISTINCT src, dst FROM re WHERE src <> dst), nd AS (SELECT src AS node FROM g UNION SELECT dst FROM g), cn AS (SELECT count(*) AS n FROM nd),
+ hop(s, node, dist) AS (SELECT node, node, 0 FROM nd UNION SELECT s, dst, dist + 1 FROM hop JOIN g ON g.src = hop.node WHERE dist < 12),
+ ds AS (SELECT s, node, min(dist) AS dist FROM hop GROUP BY 1, 2),
+ pt(s, node, dist, paths) AS (SELECT node, node, 0, CAST(1 AS DOUBLE) FROM nd UNION ALL SELECT pt.s, g.dst, pt.dist + 1, sum(paths) FROM pt JOIN g ON g.src = pt.node JOIN ds ON ds.s = pt.s AND ds.node = g.dst AND ds.dist = pt.dist + 1 GROUP BY 1, 2, 3),
+ bt AS (SELECT a.node, sum(a.paths * b.paths / c.paths) AS part FROM pt a JOIN pt b ON b.s = a.node JOIN pt c ON c.s = a.s AND c.node = b.node AND c.dist = a.dist + b.dist WHERE a.s <> a.node AND b.node <> a.node GROUP BY 1)
+ SELECT node, round(coalesce(part, 0) / CASE WHEN n > 2 THEN (n - 1) * (n - 2) ELSE 1 END, 6) AS betweenness FROM nd LEFT JOIN bt USING (node), cn"""
+
+
+@query(BETWEEN)
 def betweenness(spark, d):
     return relay.betweenness(relay.collapse(relay.relay_edges(_mentions(spark, d), AGENT))).select("node", r6("betweenness", "betweenness"))
 
