@@ -6,9 +6,10 @@ Unicode classes, and ``$`` only before a final newline.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[ \t-\r\x1c-\x1f\x85\xa0]"
@@ -33,10 +34,10 @@ def rx(pattern: str, ignore_case: bool = False) -> str:
 
 def find_iter(text: Column, pattern: str) -> Column:
     """All matches with their places: array<struct<at int, tok string>>, from 0."""
-    toks = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    # each of the two runs over the text once: inside a lambda they would run once a match
+    toks, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,tok:string>>").alias("out"))
-    pairs = F.transform(toks, lambda t, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), t.alias("tok")))
+    pairs = F.filter(F.zip_with(toks, gaps, lambda t, g: F.struct(F.length(g).alias("gap"), t.alias("tok"))), lambda p: p["tok"].isNotNull())
 
     def step(acc: Column, p: Column) -> Column:
         at = (acc["end"] + p["gap"]).cast("int")
@@ -45,6 +46,16 @@ def find_iter(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that is computed once a row: filters and projections above cannot copy it."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def stable_id(*parts: Column | str) -> Column:
     """First 16 hexadecimal digits of the SHA-1 of the parts."""
     return F.substring(F.sha1(F.concat_ws("\x1f", *[F.col(p) if isinstance(p, str) else p.cast("string") for p in parts])), 1, 16)
