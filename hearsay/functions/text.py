@@ -233,10 +233,3 @@ def pacific_to_utc(local: Column, zone: str = "America/Los_Angeles") -> Column:
 def hour_of(text: Column) -> Column:
     """'9', '09:30' or '9:30' -> hours."""
     return F.split_part(text, F.lit(":"), F.lit(1)).try_cast("double") + F.coalesce(F.nullif(F.split_part(text, F.lit(":"), F.lit(2)), F.lit("")).try_cast("double"), F.lit(0.0)) / 60
-
-
-def in_schedule(ts: Column, weekdays: list[int], start_hour: float, end_hour: float, zone: str) -> Column:
-    """Local weekday (Monday 0) and hour in [start, end)."""
-    local = F.from_utc_timestamp(ts, zone)
-    hour = F.hour(local) + F.minute(local) / 60
-    return F.weekday(local).isin(weekdays) & (hour >= start_hour) & (hour < end_hour)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle as lc
+from ..operators import rooms as places
 from ..operators import roster, trees
 from ..schema import conform, empty
 from . import chat, files
@@ -113,6 +114,11 @@ class RoomsAdapter:
             out.events = self._events(t["messages"], out)
         if "meta" in t:
             out.notes["meta"] = [r.asDict(recursive=True) for r in t["meta"].limit(1).collect()]
+            one = places.place(t["meta"], out.directory).first()
+            windows = places.schedule(t["meta"]) if "schedule" in t["meta"].columns else None
+            out.notes["place"] = one.asDict() if one else None
+            out.notes["schedule"] = [] if windows is None else [r.asDict() for r in windows.orderBy("n").collect()]  # one row a weekly window
+            out.notes["open_hours_per_week"] = 0.0 if windows is None else windows.transform(places.open_hours).first()[0]
         out.capabilities = Capabilities(has_wall_clock=True, has_roster=out.roster is not None, has_audience=out.channels is not None, has_deletions=out.lifecycle is not None)
         return out
 
