@@ -87,3 +87,18 @@ def previous_in_time(df: DataFrame, columns: dict[str, str], order: Sequence[str
     out = rows.withColumn("__here", F.lag(F.struct(held.alias("h"))).over(here))
     out = _back(out, before, by).withColumn("__p", F.coalesce("__here", "__before"))
     return out.withColumns({name: F.col(f"__p.h.c{i}") for i, name in enumerate(columns)}).drop("__here", "__before", "__p", RANGE)
+
+
+def median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Exact medians of a column, under its own name, and ``n``: values are counted by range,
+    and only the one or two in the middle are picked.  A group of nulls alone has none."""
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
+    rows = ranks(ranged(known, ["__x"], by), "__i", ["__x"], by)
+    n = rows.groupBy(RANGE, *by).agg(F.count(F.lit(1)).alias("__n"))
+    total = n.groupBy(*by).agg(F.sum("__n").alias("n"))
+    keys = {k: f"__g{i}" for i, k in enumerate(by)}
+    on = F.lit(True)
+    for k, g in keys.items():
+        on = on & F.col(k).eqNullSafe(F.col(g))
+    middle = (2 * F.col("__i")).between(F.col("n"), F.col("n") + 2)
+    return rows.join(total.withColumnsRenamed(keys), on).where(middle).groupBy(*by, "n").agg(F.avg("__x").alias(value))

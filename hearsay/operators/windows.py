@@ -179,33 +179,44 @@ def era_join(events: DataFrame, eras: DataFrame, bucket_s: int, era_id: str = "e
     return held.select(event_id, F.col("h.w").alias(era_id))
 
 
+def _around(left: DataFrame, right: DataFrame, key: str, left_id: str, value: str, bucket_s: int = 30 * 86400) -> DataFrame:
+    """Left rows (key, ts, lid) with the right rows around them, as (ts, v): ``b``, the last one
+    before, and ``a``, the first one at or after; of equal times the greatest and the least v.
+
+    Both sides go through two sorted passes, cut into buckets of time: a bucket starts from what
+    the buckets before, or after, it carry.  No frame looks ahead, so a pass is linear."""
+    us = F.unix_micros
+    told = right.where("ts is not null")
+    both = left.select(F.col(key).alias("key"), "ts", F.lit(0).alias("side"), F.col(left_id).alias("lid"), F.lit(None).cast(right.schema[value].dataType).alias("v"))
+    both = both.unionByName(told.select(F.col(key).alias("key"), "ts", F.lit(1).alias("side"), F.lit(None).cast(left.schema[left_id].dataType).alias("lid"), F.col(value).alias("v")))
+    both = both.withColumn("r", F.when(F.col("side") == 1, F.struct("ts", "v"))).withColumn("bucket", F.coalesce(F.floor(us("ts") / F.lit(bucket_s * 1_000_000)).cast("bigint"), F.lit(-(1 << 62))))
+    over = W.partitionBy("key")
+    earlier, later = (over.orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in ("bucket", F.desc("bucket")))
+    totals = both.groupBy("key", "bucket").agg(F.max("r").alias("hi"), F.min("r").alias("lo"))
+    carried = totals.select(F.col("key").alias("__k"), F.col("bucket").alias("__b"), F.max("hi").over(earlier).alias("cb"), F.min("lo").over(later).alias("ca"))
+    place = W.partitionBy("key", "bucket")
+    up = place.orderBy("ts", "side", "v").rowsBetween(W.unboundedPreceding, -1)
+    down = place.orderBy(F.desc("ts"), F.desc("side"), F.desc("v")).rowsBetween(W.unboundedPreceding, -1)
+    rows = both.withColumns({"hb": F.last("r", ignorenulls=True).over(up), "ha": F.last("r", ignorenulls=True).over(down)}).where("side = 0")
+    met = rows.join(carried, F.col("key").eqNullSafe(F.col("__k")) & (F.col("bucket") == F.col("__b")))
+    alone = F.col("key").isNotNull()
+    return met.select("key", "ts", "lid", F.when(alone, F.coalesce("hb", "cb")).alias("b"), F.when(alone, F.coalesce("ha", "ca")).alias("a"))
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, value: str) -> DataFrame:
     """Two-sided as-of join on a key: per left row the right row with the least
-    distance in time; ties go to the earlier one.
-
-    One sorted pass per key: the neighbours before and after a left row are the
-    last and the first right row around it, so no pairs are formed.
-    """
-    both = left.select(key, "ts", F.lit(1).alias("side"), F.col(left_id).alias("lid"), F.lit(None).cast(right.schema[value].dataType).alias("v"), F.lit(None).cast("timestamp").alias("rts"))
-    both = both.unionByName(right.select(key, "ts", F.lit(0).alias("side"), F.lit(None).cast(left.schema[left_id].dataType).alias("lid"), F.col(value).alias("v"), F.col("ts").cast("timestamp").alias("rts")))
-    both = both.withColumn("r", F.when(F.col("side") == 0, F.struct("rts", "v")))
-    up = W.partitionBy(key).orderBy("ts", F.desc("side"), "v")
-    # at equal times right rows come before the left row, the first of them counts
-    before = F.last("r", ignorenulls=True).over(up.rowsBetween(W.unboundedPreceding, -1))
-    after = F.first("r", ignorenulls=True).over(up.rowsBetween(1, W.unboundedFollowing))
-    near = both.withColumn("b", before).withColumn("a", after).where("side = 1")
-    db, da = F.abs(seconds_between(F.col("ts"), F.col("b.rts"))), F.abs(seconds_between(F.col("a.rts"), F.col("ts")))
+    distance in time; ties go to the earlier one.  No pairs are formed: the
+    neighbours of a left row are the right rows around it."""
+    near = _around(left, right, key, left_id, value)
+    db, da = F.abs(seconds_between(F.col("ts"), F.col("b.ts"))), F.abs(seconds_between(F.col("a.ts"), F.col("ts")))
     pick = F.when(F.col("a").isNull() | (db <= da), F.struct(db.alias("d"), F.col("b.v").alias("v"))).otherwise(F.struct(da.alias("d"), F.col("a.v").alias("v")))
     return near.select(F.col("lid").alias(left_id), pick["v"].alias(value), pick["d"].alias("dt_s"))
 
 
 def next_at_or_after(left: DataFrame, right: DataFrame, key: str, left_id: str, value: str) -> DataFrame:
     """Forward as-of join: per left row the first right row with ts >= its ts."""
-    both = left.select(key, "ts", F.lit(0).alias("side"), F.col(left_id).alias("lid"), F.lit(None).cast(right.schema[value].dataType).alias("v"))
-    both = both.unionByName(right.select(key, "ts", F.lit(1).alias("side"), F.lit(None).cast(left.schema[left_id].dataType).alias("lid"), F.col(value).alias("v")))
-    both = both.withColumn("r", F.when(F.col("side") == 1, F.struct("ts", "v")))
-    w = W.partitionBy(key).orderBy("ts", "side", "v").rowsBetween(1, W.unboundedFollowing)
-    return both.withColumn("n", F.first("r", ignorenulls=True).over(w)).where("side = 0").select(F.col("lid").alias(left_id), F.col("n.v").alias(value), seconds_between(F.col("n.ts"), F.col("ts")).alias("dt_s"))
+    near = _around(left, right, key, left_id, value)
+    return near.select(F.col("lid").alias(left_id), F.col("a.v").alias(value), seconds_between(F.col("a.ts"), F.col("ts")).alias("dt_s"))
 
 
 def in_any_window(events: DataFrame, windows: DataFrame, key: str, bucket_s: int = 30 * 86400) -> DataFrame:

@@ -83,6 +83,18 @@ def _list(df: DataFrame, name: str):
     return F.when(F.startswith(c.cast("string"), F.lit("[")), F.from_json(c.cast("string"), "array<string>")).otherwise(F.array(c.cast("string")))
 
 
+def _cutoff(spark: SparkSession, path: str):
+    """The time up to which the dump looked for recreations, from its manifest; a missing or
+    broken one is none."""
+    where = files.find(spark, path, "manifest.json")
+    rows = files.read_json(spark, where) if where else None
+    if rows is None or "recreation_source" not in rows.columns:
+        return None
+    text = F.get_json_object(F.to_json("recreation_source") if dict(rows.dtypes)["recreation_source"].startswith("struct") else F.col("recreation_source").cast("string"), "$.cutoff_unix_ts")
+    found = rows.select(F.timestamp_seconds(text.try_cast("bigint")).alias("t")).where("t is not null").first()
+    return found[0] if found else None
+
+
 class WikiAdapter:
     name = "wiki"
 
@@ -122,6 +134,9 @@ class WikiAdapter:
         posts = posts.join(grade, "parent_id", "left").withColumn("channel_family", F.coalesce("channel_family", F.lit(""))).withColumn("source_ref", F.col("parent_id")).withColumn("site", F.split_part("channel", F.lit("/"), F.lit(1))).withColumn("source_kind", F.lit("revision"))
         n = cycle.agg(F.count_if(F.col("action") == "delete").alias("d"), F.count_if(F.col("action") == "recreate").alias("r")).first()
         notes |= {"n_revisions": revs.count(), "n_pages": pages.count() if pages is not None else 0, "n_deletions": n["d"], "n_recreations": n["r"], "n_probes": probes.count()}
+        if n["r"]:
+            saved = revs.select("channel", "ts", F.col("rev_id").cast("string").alias("rev_id"), F.monotonically_increasing_id().alias("row"), "body")
+            notes["recreation_check"] = lc.recreation_check(saved, cycle, posts, _cutoff(spark, path), "row").first().asDict()
         if labels is not None and "is_human_handle" in labels.columns:
             notes["human_handles"] = sorted(r[0] for r in labels.where("is_human_handle").select("label").collect())
         caps = Capabilities(has_wall_clock=True, has_deletions=n["d"] > 0, has_probes=notes["n_probes"] > 0)
