@@ -396,4 +396,4 @@ def fixed_effects(spark, d):
     return spark.createDataFrame([(fit["n"], fit["agents"], fit["items"], round(fit["beta"], 6), round(fit["se"], 6))], "n bigint, agents bigint, items bigint, beta double, se double")
 
 
-from . import bind_lifecycle, bind_rooms, bind_text, bind_windows  # noqa: E402,F401  they register more queries
+from . import bind_lifecycle, bind_rooms, bind_scalars, bind_text, bind_windows  # noqa: E402,F401  they register more queries

@@ -215,7 +215,7 @@ def names_list(value: Column) -> Column:
     """'["a", "b"]' or 'a, b' -> array."""
     t = F.trim(value)
     literal = F.from_json(F.translate(t, "'", '"'), "array<string>")
-    plain = F.filter(F.transform(F.split(t, r"[,;]"), F.trim), lambda x: x != "")
+    plain = F.filter(F.transform(F.split(t, r"[,;]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(t.startswith("["), F.coalesce(literal, F.array().cast("array<string>"))).when(t.isNull() | (t == ""), F.array().cast("array<string>")).otherwise(plain)
 
 

@@ -107,3 +107,11 @@ def test_sequence_and_equation(spark):
     p = posts(spark, "G5 CONFIRMED: Montana = 8553", "R4 deadline Poland")
     c = extract.claims(p, items.ItemMatcher()).collect()
     assert {(r["event_type"], r["item"], r["episode"]) for r in c} == {("answer", "Montana", 5.0), ("sequence", "Montana", 5.0)}
+
+
+def test_names_of_a_list(spark):
+    from hearsay.functions.text import names_list
+
+    rows = [(" a , 1 b;c 0 ,",), ('["x, y", "z"]',), ("[broken",), ("",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "v string").select(names_list(F.col("v"))).collect()]
+    assert got == [["a", "1 b", "c 0"], ["x, y", "z"], [], [], []]
