@@ -96,7 +96,8 @@ def extract(run: RunStore, client=None, model: str = "model") -> None:
         old = run.read("replies") if run.has("replies") else None
         all_replies = replies if old is None else old.unionByName(replies)
         parsed = model_claims.parse(run.write("replies_new", all_replies).where(F.col("model") == model))
-        parsed = parsed.withColumn("value_norm", ex.norm_value(F.col("value_raw")))
+        who = named.select("event_id", "ts", "agent_strict", "agent_merged", "family").dropDuplicates(["event_id"])
+        parsed = parsed.withColumn("value_norm", ex.norm_value(F.col("value_raw"))).join(who, "event_id")
         found = model_claims.merge(found.drop("start"), parsed)
     found = facts.fill_episodes(found, ex.learn_sequences(posts, items))
     claims = run.write("claims", found)
