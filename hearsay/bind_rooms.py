@@ -81,3 +81,12 @@ def room_joins_by_month(spark, d):
 def room_posts_outside_hours(spark, d):
     windows = spark.createDataFrame(HOURS, "n int, days array<string>, start string, end string")
     return rooms.outside_schedule(_posts(spark, d), windows, ZONE).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("outside"))
+
+
+@query("""SELECT CASE WHEN s = 'dse' THEN 'main wiki (dse)' WHEN s = 'is.gd' THEN 'shorteners' WHEN s LIKE '%paste%' THEN 'pastebins' WHEN s LIKE '%wiki%' THEN 'other wikis' ELSE 'other' END AS surface, strftime(ts, '%Y-%m-%d') AS day, count(*) AS posts, count(DISTINCT client_id) AS authors
+ FROM (SELECT ts, client_id, ['dse', 'is.gd', 'pastebin.com', 'mywiki.org', 'x.com'][CAST(click_id % 5 AS INT) + 1] AS s FROM clicks) WHERE ts IS NOT NULL GROUP BY 1, 2""")
+def surface_timeline(spark, d):
+    from .plans.statistics import surface_timeline as timeline
+
+    sites = F.array(*[F.lit(x) for x in ("dse", "is.gd", "pastebin.com", "mywiki.org", "x.com")])
+    return timeline(table(spark, d, "clicks").select("ts", F.col("client_id").alias("author_raw"), F.get(sites, (F.col("click_id") % 5).cast("int")).alias("site")))

@@ -148,19 +148,49 @@ def run_all(spark: SparkSession, path: str, out: str, adapter: str = "auto", ove
 
 
 def crosssite(spark: SparkSession, wiki_run: RunStore, corpus_path: str, out: RunStore) -> dict:
-    """Wiki posts with the corpus's, without corpus rows of sites that were dumped."""
+    """Wiki posts with the corpus's, without corpus rows of sites that were dumped: tables of
+    spread and timeline, ``summary.json`` and ``report.md``."""
     from . import statistics as st
 
     wiki = wiki_run.read("events")
+    wiki = wiki.withColumn("site", F.coalesce(F.nullif("site", F.lit("")), F.split_part("channel", F.lit("/"), F.lit(1))))
     adapter = sources.get("corpus")
     bundle = adapter.load(spark, corpus_path)
     site = st.canonical_site(F.col("site"))
     dumped = wiki.select(site.alias("site")).distinct()
-    more = bundle.events.withColumn("site", site).join(dumped, "site", "left_anti")
+    found = bundle.events.withColumn("site", site)
+    more = found.join(dumped, "site", "left_anti")
     events = out.write("events", wiki.withColumn("site", site).unionByName(more.select(wiki.columns)))
     patterns = {t.name: t.pattern for t in adapter.config().techniques}
-    spread = out.write("technique_spread", st.technique_spread(events, patterns))
+    out.write("technique_spread", st.technique_spread(events, patterns))
     summary = out.write("technique_site_summary", st.technique_site_summary(events, patterns))
-    tops = [r.asDict() for r in st.per_site(events).collect()]
-    out.write_text("summary.json", json.dumps({"posts": events.count(), "sites": tops, "techniques": summary.count(), "spread": spread.count(), "notes": bundle.notes}, indent=1, default=str))
-    return {"sites": tops, "notes": bundle.notes}
+    timeline = out.write("timeline", st.surface_timeline(events))
+    sites = [r.asDict() for r in st.per_site(events).collect()]
+    techniques = [r.asDict() for r in summary.orderBy(F.desc("n_sites_adopted"), "technique").collect()]  # one row a configured technique
+    groups = [r.asDict() for r in timeline.groupBy("surface").agg(F.sum("posts").alias("posts"), F.count(F.lit(1)).alias("days"), F.min("day").alias("first"), F.max("day").alias("last")).orderBy(F.desc("posts"), "surface").collect()]
+    s = {
+        "n_events": events.count(), "n_sites": events.select("site").distinct().count(), "n_wiki": wiki.count(), "n_corpus": more.count(), "n_duplicate_rows": found.count() - more.count(),
+        "sites": sites, "technique_site_summary": techniques, "timeline": groups, "coverage": bundle.notes.get("coverage"), "notes": bundle.notes,
+    }
+    out.write_text("summary.json", json.dumps(s, indent=1, default=str))
+    out.write_text("report.md", crosssite_text(s))
+    return s
+
+
+def crosssite_text(s: dict) -> str:
+    """The cross-site report."""
+    from .report import table
+
+    origins = s["notes"].get("n_origins", 0)
+    timed = f"{origins - s['notes'].get('n_no_time', 0)} timed origins out of {origins}"
+    parts = [
+        "# Cross-site view\n",
+        f"{s['n_events']:,} posts across {s['n_sites']} surfaces: {s['n_wiki']:,} from the primary wiki run and {s['n_corpus']:,} from the corpus ({timed}; {s['n_duplicate_rows']} corpus rows dropped as copies of wikis already in the dump).\n",
+        "## Posts per surface\n", table(s["sites"]),
+        "## Technique spread between surfaces\n",
+        "A technique starts with its first matching post anywhere; a surface adopts it with its own first matching post. Surfaces with a post after the start are at risk. Times are bounded by what was captured.\n",
+        table(s["technique_site_summary"]), "## Activity timeline\n", table(s["timeline"]),
+    ]
+    if s["coverage"]:
+        parts += ["## Coverage bounds\n", table([{"category": c} | n for c, n in sorted(s["coverage"].items())])]
+    return "\n".join(parts)

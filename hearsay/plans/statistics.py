@@ -359,3 +359,9 @@ def shared_counts(inventory: DataFrame, value: str, least: int = 5) -> DataFrame
 def per_site(events: DataFrame, limit: int = 20) -> DataFrame:
     """The report's top sites by posts."""
     return events.groupBy("site").agg(F.count(F.lit(1)).alias("posts"), F.countDistinct("author_raw").alias("authors"), F.min("ts").alias("first"), F.max("ts").alias("last")).orderBy(F.desc("posts"), "site").limit(limit)
+
+
+def surface_timeline(events: DataFrame) -> DataFrame:
+    """(surface group, day): posts and their authors; posts without a time are left out."""
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    return events.where("ts is not null").groupBy(surface_group(F.col("site")).alias("surface"), day).agg(F.count(F.lit(1)).alias("posts"), F.countDistinct("author_raw").alias("authors"))
