@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .bindings import micros, query, table
 from .functions.text import vendor
-from .operators import rooms
+from .operators import rooms, roster
 
 #: Room r<k> for each priority; r0 and r1 name who may read them, r2 was deleted, r9 is not listed.
 ROOMS = """
@@ -90,3 +90,31 @@ def surface_timeline(spark, d):
 
     sites = F.array(*[F.lit(x) for x in ("dse", "is.gd", "pastebin.com", "mywiki.org", "x.com")])
     return timeline(table(spark, d, "clicks").select("ts", F.col("client_id").alias("author_raw"), F.get(sites, (F.col("click_id") % 5).cast("int")).alias("site")))
+
+
+#: Sales as posts of their clients; the roster knows two of three clients, and half of the goals are in force.
+MATCHED = "an AS (SELECT sale_id AS event_id, 'a' || client_id AS author, CASE WHEN client_id % 3 <> 0 THEN client_id % 50 END AS agent, priority AS goal, priority % 2 = 0 AS inside FROM sales)"
+
+
+def _matched(spark, d):
+    t = table(spark, d, "sales").select("sale_id", "client_id", "sold_at", "arrived_at", "status", "total", "priority").distinct()
+    t = t.withColumn("event_id", F.to_json(F.struct("*")))  # sales repeat their ids
+    events = t.select("event_id", F.concat(F.lit("a"), "client_id").alias("author_raw"))
+    return events, t.select("event_id", F.when(F.col("client_id") % 3 != 0, F.col("client_id") % 50).alias("roster_agent"), F.col("priority").alias("goal_id"), (F.col("priority") % 2 == 0).alias("in_window"))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT sale_id, client_id, sold_at, arrived_at, status, total, priority FROM sales), {MATCHED.replace("FROM sales", "FROM s")}
+ SELECT count(*) AS posts, count(agent) AS posts_matched, count(DISTINCT author) AS authors, count(DISTINCT author) FILTER (agent IS NOT NULL) AS authors_matched,
+  count(*) FILTER (agent IS NOT NULL AND NOT coalesce(inside, false)) AS posts_outside_window, count(DISTINCT goal) FILTER (agent IS NOT NULL) AS goals_with_posts FROM an""")
+def roster_coverage(spark, d):
+    return roster.coverage_of(*_matched(spark, d))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT sale_id, client_id, sold_at, arrived_at, status, total, priority FROM sales), {MATCHED.replace("FROM sales", "FROM s")} SELECT author AS author_raw, count(*) AS posts FROM an WHERE agent IS NULL AND author IS NOT NULL GROUP BY 1""")
+def roster_unmatched_authors(spark, d):
+    return roster.unmatched_authors(*_matched(spark, d))
+
+
+@query("SELECT client_id AS agent_id, count(*) AS starts, count(DISTINCT kind) AS session_ids FROM clicks GROUP BY 1")
+def session_ids(spark, d):
+    return roster.session_ids(table(spark, d, "clicks").select(F.col("client_id").alias("agent_id"), F.col("kind").alias("ref")))

@@ -91,6 +91,23 @@ def coverage(annotated: DataFrame) -> DataFrame:
     return annotated.agg(F.count(F.lit(1)).alias("posts"), F.count("roster_agent").alias("matched"), F.count_if(F.col("in_window")).alias("in_window"))
 
 
+def coverage_of(events: DataFrame, annotated: DataFrame) -> DataFrame:
+    """One row: posts and authors, those the roster knows, its posts outside of a goal's window,
+    and the goals that have posts."""
+    hit = F.col("roster_agent").isNotNull()
+    rows = events.select("event_id", "author_raw").join(annotated.select("event_id", "roster_agent", "goal_id", "in_window"), "event_id", "left")
+    return rows.agg(
+        F.count(F.lit(1)).alias("posts"), F.count_if(hit).alias("posts_matched"), F.countDistinct("author_raw").alias("authors"), F.countDistinct(F.when(hit, F.col("author_raw"))).alias("authors_matched"),
+        F.count_if(hit & ~F.coalesce("in_window", F.lit(False))).alias("posts_outside_window"), F.countDistinct(F.when(hit, F.col("goal_id"))).alias("goals_with_posts"),
+    )
+
+
+def unmatched_authors(events: DataFrame, annotated: DataFrame) -> DataFrame:
+    """Authors of posts that the roster does not know, with those posts."""
+    known = annotated.where("roster_agent is not null").select("event_id")
+    return events.where("author_raw is not null").join(known, "event_id", "left_anti").groupBy("author_raw").agg(F.count(F.lit(1)).alias("posts"))
+
+
 # ------------------------------------------------------------------ rooms
 
 
@@ -150,6 +167,11 @@ def activity_by_agent(activity: DataFrame) -> DataFrame:
     return activity.groupBy("agent_id").agg(F.count(F.lit(1)).alias("sessions"), F.avg((F.weekday("ts") >= 5).cast("int")).alias("weekend_share"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
+def session_ids(activity: DataFrame) -> DataFrame:
+    """Per agent: starts in the log and different session ids among them."""
+    return activity.groupBy("agent_id").agg(F.count(F.lit(1)).alias("starts"), F.countDistinct("ref").alias("session_ids"))
+
+
 def busy_hours(activity: DataFrame, share: float = 0.25) -> DataFrame:
     """Hours of the day with at least a quarter of the busiest hour's sessions."""
     h = activity.where("ts is not null").groupBy(F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
@@ -238,3 +260,9 @@ def summaries_daily(s: DataFrame) -> DataFrame:
 
 def counted(df: DataFrame, c: str) -> DataFrame:
     return df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+
+
+def summary_spans(summaries: DataFrame, digest: DataFrame) -> DataFrame:
+    """One row: when summaries were written, and the time that their digest covers."""
+    a = summaries.agg(F.min("created").alias("first_created"), F.max("created").alias("last_created"))
+    return a.join(digest.agg(F.min("ts").alias("first_entry"), F.max("ts").alias("last_entry"), F.count_if(F.col("ts").isNull()).alias("n_bad_ts")), how="cross")  # one row each
