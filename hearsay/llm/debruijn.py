@@ -4,26 +4,32 @@ Edges of the graph are windows of 35 words; its nodes are the 34 words that an
 edge begins or ends with.  What is wanted are the repeated edges.
 
 1. Neighbouring edges of a document whose minimizer (the k-mer of words with the
-   smallest hash) is at one place are a local path.  Paths are dealt by minimizer;
-   a path is known by a 128-bit BLAKE2b digest of its words, read at its source
-   coordinates, so equal digests are equal words.
-2. A path that occurs again is repeated as a whole.  Where different paths meet
-   under one minimizer the graph may branch inside of them: one path of each kind
-   is opened into its edges, and equal edges (again by digest) are repeated.
-3. Repeated paths and edges form the graph.  A node that one of them enters and
-   one leaves does not branch; Spark joins compact chains of such nodes by pointer
-   doubling, so n links take about log2(n) joins.
-4. Occurrences that follow each other on one compacted path are one long span of
-   their document.  Spans are verified at their source coordinates: the words
-   there, path by path, must have the digests of the path they lie on.
+   smallest hash) is at one place are a local path: at most 24 edges, so the hashes
+   of its two end nodes and its length stand for all of its words.  Paths are dealt
+   by minimizer, and those that are met once only leave the graph.
+2. Where different paths meet under one minimizer the graph may branch inside of
+   them: one path of each kind is opened into its edges, of which the repeated ones
+   stay.
+3. Multiplicities and degrees decide what is compacted.  A node is inner if one
+   path enters it, one leaves it, and every occurrence of the one goes on with the
+   other: no document begins or ends its repeat there.  Spark joins compact chains
+   of such nodes by pointer doubling, so n links take about log2(n) joins.  All
+   occurrences of a compacted path are whole, and it carries their number.
+4. The occurrences of compacted paths seen twice or more are the long spans.  They
+   are verified at their source coordinates: the words there must have one 128-bit
+   BLAKE2b digest per compacted path.  Equal words have equal hashes, so no repeat is
+   missed; if different words were taken for equal, all is done again with words
+   hashed in another way.
 
 Defined results: null, empty and short texts (fewer words than a window) lose
 nothing; repeated rows are repeats of each other; windows never cross
-documents; words are runs of bytes other than ASCII blanks and keep their form.
+documents; words are runs of bytes other than ASCII blanks and keep their form;
+very long texts are read whole, and no step holds more than a batch of them.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,17 +39,17 @@ from pyspark.sql import functions as F
 
 from .spans import SLICES, apply_spans, batches_of, by_part, covered, dealt, minimizer_runs, part_by_part, part_of, with_key
 from .store import drop, materialize, partitions, small_batches, tidy
-from .words import digests, give_back, grams, runs, text_bytes, word_hashes, words_of
+from .words import digests, give_back, grams, pair, runs, text_bytes, word_hashes, words_of
 
-PATH = np.dtype([("h", "<u8"), ("s", "<i8"), ("t", "<i8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("many", "u1")])
-EDGE = np.dtype([("s", "<i8"), ("t", "<i8"), ("doc", "<i8"), ("lo", "<u4"), ("many", "u1"), ("a", "<i8"), ("b", "<i8")])
-ASK = np.dtype([("lo", "<u4"), ("n", "<u2"), ("open", "u1"), ("node", "u1")])
+#: s, t: hashes of the nodes at both ends.
+PATH = np.dtype([("h", "<u8"), ("s", "<u8"), ("t", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("many", "u1")])
+EDGE = np.dtype([("s", "<u8"), ("t", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("many", "u1")])
 #: Paths and edges that a task holds before it sends them.
 HELD = 200_000
 PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 PLACES, ASKS, NODES = 0, 1, 2
-#: An occurrence of a repeated path (PLACES: key, path, lo, n), or what is asked of
-#: a document (ASKS: key, lo, n, flags), or the ends of a path (NODES: path, a, b, n).
+#: An occurrence of a repeated path (PLACES: key, path, lo, n), or a path that is to
+#: be opened (ASKS: key, lo, n), or the ends of a path (NODES: path, a, b, n).
 ROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("path", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 ROW_SQL = "kind int, key bigint, path bigint, lo bigint, n bigint, a bigint, b bigint"
 
@@ -56,14 +62,26 @@ def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
 
 def _grouped(r: np.ndarray, *by: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(r in order, where each content begins, how many rows it has)."""
-    r = r[np.lexsort([r[f] for f in ("lo", "doc", "t", "s", *by)])]
-    fresh = np.append(True, (r["s"][1:] != r["s"][:-1]) | (r["t"][1:] != r["t"][:-1])) if len(r) else np.empty(0, bool)
-    for f in by:
+    r = r[np.lexsort([r[f] for f in ("lo", "doc", "n", "t", "s", *by)])]
+    fresh = np.append(True, np.zeros(len(r) - 1, bool)) if len(r) else np.empty(0, bool)
+    for f in ("n", "t", "s", *by):
         fresh[1:] |= r[f][1:] != r[f][:-1]
     first = np.flatnonzero(fresh)
     return r, first, np.diff(np.append(first, len(r)))
 
 
+def _ids(r: np.ndarray) -> np.ndarray:
+    return pair(pair(r["s"], r["t"]), r["n"].astype(np.uint64)).view(np.int64)
+
+
+def _places(r: np.ndarray) -> pa.RecordBatch:
+    return _rows(PLACES, len(r), key=r["doc"], path=_ids(r), lo=r["lo"], n=r["n"])
+
+
+def _nodes(r: np.ndarray) -> pa.RecordBatch:
+    return _rows(NODES, len(r), path=_ids(r), n=r["n"], a=r["s"].view(np.int64), b=r["t"].view(np.int64))
+
+
 def _heads(r: np.ndarray, *by: str) -> tuple[np.ndarray, np.ndarray]:
     """(one row of each content, ``many`` where it has several; the other rows)."""
     r, first, size = _grouped(r, *by)
@@ -74,65 +92,42 @@ def _heads(r: np.ndarray, *by: str) -> tuple[np.ndarray, np.ndarray]:
     return heads, r[other]
 
 
-def repeated_paths(keyed: DataFrame, length: int, k: int) -> list[DataFrame]:
+def repeated_paths(keyed: DataFrame, length: int, k: int, salt: int = 0) -> list[DataFrame]:
     """Tables with the PLACES of repeated paths and edges, and their NODES."""
     spark = keyed.sparkSession
     parts = SLICES * partitions(spark)
 
     def words(data, offsets):
         starts, ends, first = words_of(data, offsets)
-        return starts, ends, first, word_hashes(data, starts, ends)
+        return first, word_hashes(data, starts, ends, salt)
 
-    def spelled(data, starts, ends, first, last) -> np.ndarray:
-        """Digests of the words first .. last, one space between them."""
-        # texts that hold other blanks than single spaces are brought to one form
-        return digests(data.tobytes(), starts[first], ends[last])
-
-    def single_spaced(data, offsets) -> tuple[np.ndarray, np.ndarray]:
-        """The texts with one space after each word."""
-        starts, ends, first = words_of(data, offsets)
-        size = ends - starts + 1
-        stop = np.cumsum(size)
-        out = np.full(int(stop[-1]) if len(stop) else 0, 32, np.uint8)
-        solid = np.ones(len(out), bool)
-        solid[stop - 1] = False
-        inside = np.zeros(len(data) + 1, np.int8)
-        inside[starts] += 1
-        inside[ends] -= 1
-        out[solid] = data[np.cumsum(inside[:-1]) > 0]
-        return out, np.concatenate([[0], stop])[first]
-
-    def texts(batch, a, b, data, offsets):
-        return single_spaced(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+    def sent(held: list[np.ndarray], by: str | None) -> Iterator[tuple]:
+        """One row of each content goes to meet others, the rest to the documents."""
+        heads, other = _heads(np.concatenate(held), *([by] if by else []))
+        for p, rows in by_part(heads, part_of(heads[by or "s"], parts)):
+            yield p, 0, rows.tobytes()
+        for p, rows in by_part(other, part_of(other["doc"].astype(np.uint64), parts)):
+            yield p, 1, rows.tobytes()
 
     def cut(batches):
         held, size = [], 0
-
-        def send() -> Iterator[tuple]:
-            heads, other = _heads(np.concatenate(held), "h")
-            for p, rows in by_part(heads, part_of(heads["h"], parts)):
-                yield p, 0, rows.tobytes()
-            for p, rows in by_part(other, part_of(other["doc"].astype(np.uint64), parts)):
-                yield p, 1, rows.tobytes()
-
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             raw, at = text_bytes(batch.column(1))
             for a, b in runs(at):
-                data, offsets = texts(batch, a, b, raw, at)
-                starts, ends, first, h = words(data, offsets)
+                first, h = words(raw[at[a] : at[b]], at[a : b + 1] - at[a])
                 own, lo, n, _, kmer = minimizer_runs(h, first, length, k)
+                node = grams(h, length - 1)
                 r = np.empty(len(lo), PATH)
                 r["h"], r["doc"], r["lo"], r["n"], r["many"] = kmer, keys[a:b][own], lo - first[own], n, 0
-                same = spelled(data, starts, ends, lo, lo + n + length - 2)
-                r["s"], r["t"] = same[:, 0], same[:, 1]
+                r["s"], r["t"] = node[lo], node[lo + n]
                 held.append(r)
                 size += len(r)
                 if size >= HELD:
-                    yield from batches_of(send(), PARTS)
+                    yield from batches_of(sent(held, "h"), PARTS)
                     held, size = [], 0
         if held:
-            yield from batches_of(send(), PARTS)
+            yield from batches_of(sent(held, "h"), PARTS)
         held.clear()
         give_back()
 
@@ -141,108 +136,87 @@ def repeated_paths(keyed: DataFrame, length: int, k: int) -> list[DataFrame]:
             other = np.frombuffer(b"".join(x for i, x in zip(kinds, blobs, strict=True) if i == 1), PATH)
             r = np.frombuffer(b"".join(x for i, x in zip(kinds, blobs, strict=True) if i == 0), PATH)
             del blobs
-            yield _rows(PLACES, len(other), key=other["doc"], path=other["s"], lo=other["lo"], n=other["n"])
+            yield _places(other)
             r, first, size = _grouped(r, "h")
             if not len(r):
                 continue
             many = np.logical_or.reduceat(r["many"] > 0, first) | (size > 1)
-            again = r[np.repeat(many, size)]
-            yield _rows(PLACES, len(again), key=again["doc"], path=again["s"], lo=again["lo"], n=again["n"])
+            yield _places(r[np.repeat(many, size)])
             heads = r[first]
+            yield _nodes(heads[many])
             h = np.flatnonzero(np.append(True, heads["h"][1:] != heads["h"][:-1]))
             contents = np.diff(np.append(h, len(heads)))
             # different paths under one minimizer: edges of one may be edges of another
-            open_ = np.repeat(contents, contents) > 1
-            ask = open_ | many
-            yield _rows(ASKS, int(ask.sum()), key=heads["doc"][ask], lo=heads["lo"][ask], n=heads["n"][ask], path=heads["s"][ask], a=open_[ask], b=many[ask])
+            ask = heads[np.repeat(contents, contents) > 1]
+            yield _rows(ASKS, len(ask), key=ask["doc"], lo=ask["lo"], n=ask["n"])
         give_back()
 
     met = materialize(dealt(keyed.select("key", "text").mapInArrow(cut, "part int, kind int, blob binary"), parts).mapInArrow(meet, ROW_SQL), "paths")
     tidy(spark)
 
-    def ends_of(h, at, last) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the nodes that a path begins and ends with."""
-        g = grams(h, length - 1)
-        return g[at].view(np.int64), g[last].view(np.int64)
-
     def open_up(batches):
         held, size = [], 0
-
-        def send() -> Iterator[tuple]:
-            heads, other = _heads(np.concatenate(held))
-            for p, rows in by_part(heads, part_of(heads["s"].view(np.uint64), parts)):
-                yield p, 0, rows.tobytes()
-            for p, rows in by_part(other, part_of(other["doc"].astype(np.uint64), parts)):
-                yield p, 1, rows.tobytes()
-
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             raw, at = text_bytes(batch.column(1))
-            flat, cuts = batch.column(2).flatten(), batch.column(2).offsets.to_numpy()
-            flat, cuts = np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in range(5)], 1), cuts - cuts[0]
+            asked, cuts = batch.column(2).flatten(), batch.column(2).offsets.to_numpy()
+            cuts = cuts - cuts[0]
+            asked_lo, asked_n = (asked.field(i).to_numpy(zero_copy_only=False) for i in range(2))
             for a, b in runs(at):
-                data, offsets = texts(batch, a, b, raw, at)
-                starts, ends, first, h = words(data, offsets)
-                many_asks = np.diff(cuts[a : b + 1])
-                doc = np.repeat(keys[a:b], many_asks)
-                lo, n, path, open_, many = flat[cuts[a] : cuts[b]].T
-                begin = lo + np.repeat(first[:-1], many_asks)
-                whole = many > 0
-                x, y = ends_of(h, begin[whole], (begin + n)[whole])
-                nodes = np.stack([path[whole], n[whole], x, y], 1)
-                yield from batches_of(((p, 2, rows.tobytes()) for p, rows in by_part(nodes, part_of(path[whole].view(np.uint64), parts))), PARTS)
-                o = np.flatnonzero(open_ > 0)
-                run, j = np.repeat(o, n[o]), np.arange(n[o].sum()) - np.repeat(np.cumsum(n[o]) - n[o], n[o])
+                first, h = words(raw[at[a] : at[b]], at[a : b + 1] - at[a])
+                node = grams(h, length - 1)
+                asks = np.diff(cuts[a : b + 1])
+                lo, n = asked_lo[cuts[a] : cuts[b]], asked_n[cuts[a] : cuts[b]]
+                run, j = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                w = (lo + np.repeat(first[:-1], asks))[run] + j
                 e = np.empty(len(run), EDGE)
-                w = begin[run] + j
-                same = spelled(data, starts, ends, w, w + length - 1)
                 # an edge of a path that occurs again is repeated, and is covered by it
-                e["s"], e["t"], e["doc"], e["lo"], e["many"] = same[:, 0], same[:, 1], doc[run], lo[run] + j, 0
-                e["a"], e["b"] = ends_of(h, w, w + 1)
+                e["s"], e["t"], e["doc"], e["lo"], e["n"], e["many"] = node[w], node[w + 1], np.repeat(keys[a:b], asks)[run], lo[run] + j, 1, 0
                 held.append(e)
                 size += len(e)
                 if size >= HELD:
-                    yield from batches_of(send(), PARTS)
+                    yield from batches_of(sent(held, None), PARTS)
                     held, size = [], 0
         if held:
-            yield from batches_of(send(), PARTS)
+            yield from batches_of(sent(held, None), PARTS)
         held.clear()
         give_back()
 
     def compare(batches):
         for kinds, blobs in part_by_part(batches, [1, 2]):
-            edges, other, nodes = (b"".join(x for i, x in zip(kinds, blobs, strict=True) if i == kind) for kind in range(3))
-            nodes = np.frombuffer(nodes, np.int64).reshape(-1, 4)
-            yield _rows(NODES, len(nodes), path=nodes[:, 0], n=nodes[:, 1], a=nodes[:, 2], b=nodes[:, 3])
-            other = np.frombuffer(other, EDGE)
-            yield _rows(PLACES, len(other), key=other["doc"], path=other["s"], lo=other["lo"], n=np.ones(len(other)))
-            r, first, size = _grouped(np.frombuffer(edges, EDGE))
+            edges, other = (np.frombuffer(b"".join(x for i, x in zip(kinds, blobs, strict=True) if i == kind), EDGE) for kind in range(2))
+            del blobs
+            yield _places(other)
+            r, first, size = _grouped(edges)
             if not len(r):
                 continue
             many = np.logical_or.reduceat(r["many"] > 0, first) | (size > 1)
-            again, heads = r[np.repeat(many, size)], r[first][many]
-            yield _rows(PLACES, len(again), key=again["doc"], path=again["s"], lo=again["lo"], n=np.ones(len(again)))
-            yield _rows(NODES, len(heads), path=heads["s"], n=np.ones(len(heads)), a=heads["a"], b=heads["b"])
+            yield _places(r[np.repeat(many, size)])
+            yield _nodes(r[first][many])
         give_back()
 
-    asks = met.where(F.col("kind") == ASKS).groupBy("key").agg(F.collect_list(F.struct("lo", "n", "path", "a", "b")).alias("asks"))
+    asks = met.where(F.col("kind") == ASKS).groupBy("key").agg(F.collect_list(F.struct("lo", "n")).alias("asks"))
     opened = keyed.select("key", "text").join(asks, "key").select("key", "text", "asks").mapInArrow(open_up, "part int, kind int, blob binary")
     found = materialize(dealt(opened, parts).mapInArrow(compare, ROW_SQL), "edges")
     tidy(spark)
     return [met, found]
 
 
-def compacted(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(path, root, ahead): the first path of each nonbranching chain, and the
-    edges between its beginning and that of ``path``; and the tables written for
-    it.  ``nodes``: path, a, b, n."""
-    nodes = nodes.select("path", "a", "b", "n").dropDuplicates(["path"])
-    none = F.lit(None).cast("bigint")
-    touch = nodes.select(F.col("b").alias("node"), F.col("path").alias("enters"), none.alias("leaves")).unionByName(nodes.select(F.col("a").alias("node"), none.alias("enters"), F.col("path").alias("leaves")))
+def compacted(paths: DataFrame, followed: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(path, root, ahead, seen) of every path that occurs twice or more: the first
+    path of its nonbranching chain, the edges between that one's beginning and its
+    own, and the number of occurrences that the whole chain has; and the tables
+    written for it.  ``paths``: path, a, b, n, seen; ``followed``: path, next and
+    the number ``both`` of places where the one goes on with the other."""
+    paths = paths.where("seen > 1")
+    touch = paths.select(F.col("b").alias("node"), F.struct("path", "seen", "n").alias("enters"), F.lit(None).cast("struct<path: bigint, seen: bigint>").alias("leaves"))
+    touch = touch.unionByName(paths.select(F.col("a").alias("node"), F.lit(None).cast("struct<path: bigint, seen: bigint, n: bigint>").alias("enters"), F.struct("path", "seen").alias("leaves")))
     degrees = touch.groupBy("node").agg(F.count("enters").alias("into"), F.count("leaves").alias("out"), F.max("enters").alias("enters"), F.max("leaves").alias("leaves"))
-    # a node that does not branch joins the path that enters with the one that leaves
-    joints = degrees.where("into = 1 and out = 1 and enters <> leaves").select(F.col("leaves").alias("path"), F.col("enters").alias("root"))
-    links = materialize(joints.join(nodes.select(F.col("path").alias("root"), F.col("n").alias("ahead")), "root").select("path", "root", "ahead"), "path-links")
+    # one path in, one out, as often the one as the other, and always one after the other
+    joints = degrees.where("into = 1 and out = 1 and enters.path <> leaves.path and enters.seen = leaves.seen")
+    joints = joints.select(F.col("leaves.path").alias("path"), F.col("enters.path").alias("root"), F.col("enters.n").alias("ahead"), F.col("enters.seen").alias("both"))
+    always = followed.select(F.col("next").alias("path"), F.col("path").alias("root"), "both")
+    links = materialize(joints.join(always, ["path", "root", "both"], "left_semi").select("path", "root", "ahead"), "path-links")
     done = links.limit(0)
     written = [links]
     while not links.isEmpty():
@@ -257,23 +231,63 @@ def compacted(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             break
         done = done.unionByName(ended)
         links = moved.where("not end").drop("end")
-    return done, written
+    out = paths.select("path", "seen").join(done, "path", "left")
+    return out.select("path", F.coalesce("root", "path").alias("root"), F.coalesce("ahead", F.lit(0).cast("bigint")).alias("ahead"), "seen"), written
 
 
 def long_spans(found: DataFrame) -> DataFrame:
-    """(key, spans): (first edge, edges) of each document, occurrences that follow
-    each other on a compacted path in one."""
-    places = found.where(F.col("kind") == PLACES).select("key", "path", "lo", "n")
-    chains, written = compacted(found.where(F.col("kind") == NODES))
-    on = places.join(chains, "path", "left").select("key", "lo", "n", F.coalesce("root", "path").alias("root"), (F.col("lo") - F.coalesce("ahead", F.lit(0))).alias("origin"))
-    runs_ = on.groupBy("key", "root", "origin").agg(F.min("lo").alias("lo"), (F.max(F.col("lo") + F.col("n")) - F.min("lo")).alias("size"), F.sum("n").alias("n"), F.collect_list(F.struct("lo", "n")).alias("parts"))
-    # without a gap the parts are one span
-    spans = F.when(F.col("size") == F.col("n"), F.array(F.struct("lo", F.col("size").alias("n")))).otherwise(F.col("parts"))
-    out = materialize(runs_.select("key", spans.alias("s")).groupBy("key").agg(F.flatten(F.collect_list("s")).alias("spans")), "long-spans")
-    drop(found.sparkSession, *written)
+    """(key, spans): (first edge, edges, compacted path) of each document."""
+    places = materialize(found.where(F.col("kind") == PLACES).select("key", "path", "lo", "n").distinct(), "places")
+    seen = places.groupBy("path").agg(F.count("*").alias("seen"))
+    paths = found.where(F.col("kind") == NODES).select("path", "a", "b", "n").dropDuplicates(["path"]).join(seen, "path")
+    after = places.select("key", F.col("path").alias("next"), F.col("lo").alias("end"))
+    followed = places.select("key", "path", (F.col("lo") + F.col("n")).alias("end")).join(after, ["key", "end"]).groupBy("path", "next").agg(F.count("*").alias("both"))
+    chains, written = compacted(paths, followed)
+    on = places.join(chains.where("seen > 1"), "path").select("key", "lo", "n", "root", (F.col("lo") - F.col("ahead")).alias("origin"))
+    # every occurrence of a chain is whole
+    spans = on.groupBy("key", "root", "origin").agg(F.min("lo").alias("lo"), F.sum("n").alias("n"))
+    out = materialize(spans.groupBy("key").agg(F.collect_list(F.struct("lo", "n", "root")).alias("spans")), "long-spans")
+    drop(found.sparkSession, places, *written)
     return out
 
 
+def mistaken(keyed: DataFrame, spans: DataFrame, length: int) -> bool:
+    """Whether the words at the source coordinates of some compacted path differ."""
+
+    def spelled(batches):
+        for batch in batches:
+            raw, at = text_bytes(batch.column(0))
+            found, cuts = batch.column(1).flatten(), batch.column(1).offsets.to_numpy()
+            cuts = cuts - cuts[0]
+            lo, n, root = (found.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for a, b in runs(at):
+                data, stops, first = single_spaced(raw[at[a] : at[b]], at[a : b + 1] - at[a])
+                own = slice(cuts[a], cuts[b])
+                w = lo[own] + np.repeat(first[:-1], np.diff(cuts[a : b + 1]))
+                same = digests(data.tobytes(), stops[w], stops[w + n[own] + length - 1])
+                yield pa.RecordBatch.from_arrays([pa.array(root[own]), pa.array(same[:, 0]), pa.array(same[:, 1])], names=["root", "s", "t"])
+        give_back()
+
+    words = keyed.select("key", "text").join(spans, "key").select("text", "spans").mapInArrow(spelled, "root bigint, s bigint, t bigint")
+    forms = words.groupBy("root").agg(F.min(F.struct("s", "t")).alias("least"), F.max(F.struct("s", "t")).alias("most"))
+    return not forms.where("least <> most").isEmpty()
+
+
+def single_spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the words of all texts, a space after each; where each word begins, and the
+    end; first word of each text)."""
+    starts, ends, first = words_of(data, offsets)
+    stop = np.cumsum(ends - starts + 1)
+    out = np.full(int(stop[-1]) if len(stop) else 0, 32, np.uint8)
+    solid = np.ones(len(out), bool)
+    solid[stop - 1] = False
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    out[solid] = data[np.cumsum(inside[:-1]) > 0]
+    return out, np.concatenate([[0], stop]), first
+
+
 def substring_dedup(docs: DataFrame, window: int = 35, k: int = 12, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per input row: ``id``, ``n`` words, ``n_removed``, the removed
     spans (``removed_start``, ``removed_end``, in words) and ``kept``: the text
@@ -281,9 +295,13 @@ def substring_dedup(docs: DataFrame, window: int = 35, k: int = 12, id_col: str
     along in the struct ``carried``."""
     small_batches(docs.sparkSession)
     keyed = with_key(docs, id_col, text_col, carry)
-    found = repeated_paths(keyed, window, k)
-    spans = long_spans(found[0].where(F.col("kind") != ASKS).unionByName(found[1]))
-    drop(docs.sparkSession, *found)
+    for salt in itertools.count():
+        found = repeated_paths(keyed, window, k, salt)
+        spans = long_spans(found[0].where(F.col("kind") != ASKS).unionByName(found[1]))
+        drop(docs.sparkSession, *found)
+        if not mistaken(keyed, spans, window):
+            break
+        drop(docs.sparkSession, spans)
 
     def read(found: list[dict]) -> np.ndarray:
         return np.array([(x["lo"], x["n"]) for x in found], np.int64).reshape(-1, 2)

@@ -106,13 +106,14 @@ def _eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of each word's bytes; the length takes part.  Eight bytes at
     a time are mixed in, for all words at once; words of over ``LONG`` bytes get a
-    BLAKE2b digest."""
+    BLAKE2b digest.  Words that one ``salt`` confuses another one tells apart."""
     v, size = _eights(data), ends - starts
+    turn = mix(np.array([salt], np.uint64)) | np.uint64(1)
     with np.errstate(over="ignore"):
-        h = mix((v[starts] & _HEADS[np.minimum(size, 8)]) + size.astype(np.uint64) * MIX)
+        h = mix((v[starts] & _HEADS[np.minimum(size, 8)]) * turn + size.astype(np.uint64) * MIX)
     more = np.flatnonzero((size > 8) & (size <= LONG))
     at = 8
     while more.size:
@@ -120,7 +121,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         at += 8
         more = more[size[more] > at]
     for i in np.flatnonzero(size > LONG).tolist():
-        h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
     return h
 
 

@@ -123,10 +123,64 @@ def test_colliding_hashes_are_noticed(monkeypatch):
 
 
 def test_compacted_paths(spark):
-    """A chain, a branch and a ring."""
-    rows = [(i, 100 + i, 101 + i, 2) for i in range(1, 20)] + [(50, 120, 500, 1), (51, 120, 501, 1), (60, 700, 701, 1), (61, 701, 700, 1)]
-    got = {r["path"]: (r["root"], r["ahead"]) for r in debruijn.compacted(spark.createDataFrame(rows, "path bigint, a bigint, b bigint, n bigint"))[0].collect()}
-    assert got == {i: (1, 2 * (i - 1)) for i in range(2, 20)}
+    """A chain, a branch, a ring, a node where one document leaves, a path seen once."""
+    rows = [(i, 100 + i, 101 + i, 2, 3) for i in range(1, 20)] + [(50, 120, 500, 1, 2), (51, 120, 501, 1, 2), (60, 700, 701, 1, 2), (61, 701, 700, 1, 2)]
+    rows += [(70, 800, 801, 4, 2), (71, 801, 802, 4, 2), (72, 802, 803, 4, 1)]
+    paths = spark.createDataFrame(rows, "path bigint, a bigint, b bigint, n bigint, seen bigint")
+    pairs = [(i, i + 1, 3) for i in range(1, 19)] + [(19, 50, 2), (19, 51, 1), (60, 61, 2), (61, 60, 2), (70, 71, 1), (71, 72, 1)]
+    followed = spark.createDataFrame(pairs, "path bigint, next bigint, both bigint")
+    got = {r["path"]: (r["root"], r["ahead"], r["seen"]) for r in debruijn.compacted(paths, followed)[0].collect()}
+    assert got == {i: (1, 2 * (i - 1), 3) for i in range(1, 20)} | {i: (i, 0, 2) for i in (50, 51, 60, 61, 70, 71)}
+
+
+def test_compaction_decides(spark, monkeypatch):
+    """A passage of 400 words in three documents is one span of each on one compacted
+    path; a fourth document that leaves halfway makes it two; without compacted
+    paths nothing is removed."""
+    passage = [f"p{i}" for i in range(400)]
+    rows = [(i, " ".join([f"a{i}_{j}" for j in range(40)] + passage + [f"z{i}_{j}" for j in range(40)])) for i in range(3)]
+
+    def spans_of(rows):
+        keyed = spans.with_key(docs(spark, rows), "doc_id", "text")
+        found = debruijn.repeated_paths(keyed, 35, 12)
+        out = debruijn.long_spans(found[0].where("kind <> 1").unionByName(found[1]))
+        assert not debruijn.mistaken(keyed, out, 35)
+        return {r["key"]: {(x["lo"], x["n"], x["root"]) for x in r["spans"]} for r in out.collect()}
+
+    def longest(found):
+        return {k: max(n for _, n, _ in v) for k, v in found.items()}
+
+    whole = spans_of(rows)
+    # the opened edges at both ends of the passage may stay on their own
+    assert min(longest(whole).values()) > 300 and len(set.intersection(*({r for _, _, r in v} for v in whole.values()))) >= 1
+    cut = spans_of([*rows, (3, " ".join([f"a3_{j}" for j in range(40)] + passage[:200] + [f"z3_{j}" for j in range(40)]))])
+    assert max(longest(cut).values()) < 250
+    assert {r["n_removed"] for r in debruijn.substring_dedup(docs(spark, rows)).collect()} == {400}
+    compacted = debruijn.compacted
+    monkeypatch.setattr(debruijn, "compacted", lambda *a: (compacted(*a)[0].limit(0), []))
+    assert {r["n_removed"] for r in debruijn.substring_dedup(docs(spark, rows)).collect()} == {0}
+
+
+def test_words_with_one_hash_are_verified(spark):
+    """Two words share their hash: the digests at the coordinates differ, and all is done again."""
+    x, y = "7}k\x7f!{a", '"\x01!\x00h\x01*b'
+    lead, tail = [f"w{i}" for i in range(50)], [f"t{i}" for i in range(50)]
+    rows = [(1, " ".join([*lead[:34], x])), (2, " ".join([*lead[:34], y])), (3, " ".join([*lead[20:], x, *tail])), (4, " ".join([*lead[20:], y, *tail])), (5, " ".join([*lead[30:], y, *tail[:20]]))]
+    keyed = spans.with_key(docs(spark, rows), "doc_id", "text")
+    found = debruijn.repeated_paths(keyed, 35, 12)
+    assert debruijn.mistaken(keyed, debruijn.long_spans(found[0].where("kind <> 1").unionByName(found[1])), 35)
+    got = {r["id"]: (r["kept"].encode(), r["n_removed"]) for r in debruijn.substring_dedup(docs(spark, rows)).collect()}
+    assert got == {i: w for (i, _), w in zip(rows, brute.substrings(rows, 35), strict=True)}
+
+
+def test_long_text_of_repeats(spark):
+    """A text of 60,000 words that holds passages of itself, periods and copies of others' ends."""
+    rng = random.Random(12)
+    w = [f"v{rng.randrange(5000)}" for _ in range(20_000)]
+    long = w + ["loop"] * 300 + ["x", "y", "z"] * 50 + w[5_000:25_000] + [f"u{i}" for i in range(1_000)] + w[:15_000]
+    rows = [(1, " ".join(long)), (2, " ".join(w[19_950:])), (3, " ".join(w[100:133])), (4, " \t\n ".join(w[100:180]))]
+    got = {r["id"]: (r["kept"].encode(), r["n_removed"]) for r in debruijn.substring_dedup(docs(spark, rows)).collect()}
+    assert got == {i: v for (i, _), v in zip(rows, brute.substrings(rows, 35), strict=True)}
 
 
 def test_repeated_and_missing_ids(spark):
