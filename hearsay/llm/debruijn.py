@@ -46,6 +46,8 @@ PATH = np.dtype([("h", "<u8"), ("s", "<u8"), ("t", "<u8"), ("doc", "<i8"), ("lo"
 EDGE = np.dtype([("s", "<u8"), ("t", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("many", "u1")])
 #: Paths and edges that a task holds before it sends them.
 HELD = 200_000
+#: At most so many paths are broadcast.
+HEAVY = 1000
 PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 PLACES, ASKS, NODES = 0, 1, 2
 #: An occurrence of a repeated path (PLACES: key, path, lo, n), or a path that is to
@@ -243,11 +245,16 @@ def long_spans(found: DataFrame) -> DataFrame:
     after = places.select("key", F.col("path").alias("next"), F.col("lo").alias("end"))
     followed = places.select("key", "path", (F.col("lo") + F.col("n")).alias("end")).join(after, ["key", "end"]).groupBy("path", "next").agg(F.count("*").alias("both"))
     chains, written = compacted(paths, followed)
-    on = places.join(chains.where("seen > 1"), "path").select("key", "lo", "n", "root", (F.col("lo") - F.col("ahead")).alias("origin"))
+    chains = materialize(chains.where("seen > 1"), "chains")
+    # fewer than HEAVY paths have over a HEAVY-th of all places: these meet their places without a shuffle
+    heavy = F.col("seen") > places.count() / HEAVY
+    often = chains.where(heavy).drop("seen")
+    rest = places.join(F.broadcast(often.select("path")), "path", "left_anti").join(chains.where(~heavy).drop("seen"), "path")
+    on = places.join(F.broadcast(often), "path").unionByName(rest).select("key", "lo", "n", "root", (F.col("lo") - F.col("ahead")).alias("origin"))
     # every occurrence of a chain is whole
     spans = on.groupBy("key", "root", "origin").agg(F.min("lo").alias("lo"), F.sum("n").alias("n"))
     out = materialize(spans.groupBy("key").agg(F.collect_list(F.struct("lo", "n", "root")).alias("spans")), "long-spans")
-    drop(found.sparkSession, places, *written)
+    drop(found.sparkSession, places, chains, *written)
     return out
 
 

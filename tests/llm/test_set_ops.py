@@ -161,6 +161,15 @@ def test_compaction_decides(spark, monkeypatch):
     assert {r["n_removed"] for r in debruijn.substring_dedup(docs(spark, rows)).collect()} == {0}
 
 
+def test_heavy_and_rare_paths(spark, monkeypatch):
+    """A passage in 200 documents, which is broadcast, and passages in two, which are not."""
+    monkeypatch.setattr(debruijn, "HEAVY", 20)
+    hot = [f"h{i}" for i in range(60)]
+    rows = [(i, " ".join([f"a{i}_{j}" for j in range(20)] + hot + [f"r{i // 2}_{j}" for j in range(50)])) for i in range(200)]
+    got = {r["id"]: (r["kept"].encode(), r["n_removed"]) for r in debruijn.substring_dedup(docs(spark, rows)).collect()}
+    assert got == {i: w for (i, _), w in zip(rows, brute.substrings(rows, 35), strict=True)}
+
+
 def test_words_with_one_hash_are_verified(spark):
     """Two words share their hash: the digests at the coordinates differ, and all is done again."""
     x, y = "7}k\x7f!{a", '"\x01!\x00h\x01*b'
