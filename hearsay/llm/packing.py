@@ -53,8 +53,8 @@ _PLAIN = np.zeros(256, bool)
 _PLAIN[33:127] = True
 _PLAIN[BLANK] = True
 _PLAIN[39] = False
-#: Units that a worker remembers at most; then it starts over.
-WORDS_KEPT, ODD_KEPT = 400_000, 100_000
+#: Bytes of units that a worker remembers; then it starts over.
+WORDS_KEPT, ODD_KEPT = 80_000_000, 40_000_000
 
 
 class WordTokenizer:

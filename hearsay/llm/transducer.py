@@ -42,8 +42,11 @@ S_LETTER, S_NUMBER, S_OTHER, S_QUOTE1, S_QUOTE2, S_LASTSPACE, S_LASTWHITE, S_WHI
 # states: what is open
 START, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_WHITE, AFTER_SPACE, ONE_MORE, TWO_MORE = range(8)
 WHITE_SPACE = {*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
-#: Words, and transitions, that a worker keeps at most; then it starts over.
-WORDS_KEPT, TRANSITIONS_KEPT = 300_000, 600_000
+#: Bytes of words, and transitions, that a worker keeps; then it starts over.  A
+#: word counts with ``WORD_BYTES`` for its place in the table.
+WORDS_KEPT, WORD_BYTES, TRANSITIONS_KEPT = 50_000_000, 150, 600_000
+#: Bytes of a word after which the transitions are counted again.
+BLOCK = 65_536
 
 
 @lru_cache(maxsize=1)
@@ -204,12 +207,16 @@ class WordMachine:
         return step
 
     def count(self, word: bytes) -> int:
-        if len(self.steps) > TRANSITIONS_KEPT:
-            self._reset()
         state, n, get = 0, 0, self.steps.get
-        for b in word:
-            state, added = get(state << 8 | b) or self._compile(state, b)
-            n += added
+        for a in range(0, len(word), BLOCK):
+            if len(self.steps) > TRANSITIONS_KEPT:
+                # the state that a long word has come to stays
+                here = self.states[state]
+                self._reset()
+                state, get = self._state(*here), self.steps.get
+            for b in word[a : a + BLOCK]:
+                state, added = get(state << 8 | b) or self._compile(state, b)
+                n += added
         return n
 
 
@@ -220,6 +227,7 @@ class TokenCounter:
             self.special = [t["content"].encode() for t in json.load(f)["added_tokens"]]
         self.splitter = Splitter()
         self.words: dict[bytes, int] = {}
+        self.held = 0
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text; texts lie end to end."""
@@ -250,14 +258,16 @@ class TokenCounter:
         starts = byte_of[self.splitter.starts(symbols_of(code, borders[some + 1]), borders[some])]
         stops = np.append(starts[1:], len(data))
         place, number = distinct(data, starts, stops)
-        if len(self.words) > WORDS_KEPT:
+        if self.held > WORDS_KEPT:
             self.words.clear()
+            self.held = 0
         counts = np.empty(len(place), np.int64)
         for i, (a, b) in enumerate(zip(starts[place].tolist(), stops[place].tolist(), strict=True)):
             word = raw[a:b]
             n = self.words.get(word)
             if n is None:
                 n = self.words[word] = self.machine.count(word)
+                self.held += len(word) + WORD_BYTES
             counts[i] = n
         total = np.concatenate([[0], np.cumsum(counts[number])])
         return np.diff(total[np.searchsorted(starts, offsets)])

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-#: A worker forgets all units once it holds this many; memory stays bounded.
-UNIT_LIMIT = 800_000
+#: A worker forgets all units once it holds so many bytes: a unit counts with its
+#: characters and ids and ``UNIT_BYTES`` for its places in the tables.
+CACHE_BYTES, UNIT_BYTES = 150_000_000, 150
 
 
 class UnitCache:
-    """``encode(units) -> (ids end to end, ids per unit)`` is asked for unseen units only."""
+    """``encode(units) -> (ids end to end, ids per unit)`` is asked for unseen units only.
+    No more is held than ``limit`` bytes and the units of one call."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = UNIT_LIMIT):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = CACHE_BYTES):
         self.encode, self.limit = encode, limit
         self._reset()
 
     def _reset(self) -> None:
         self.code: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.int32)
-        self.used = 0
+        self.used = self.held = 0
         self.start = np.empty(1 << 16, np.int64)
         self.count = np.empty(1 << 16, np.int32)
 
@@ -30,7 +33,7 @@ class UnitCache:
 
     def codes(self, units: list[str]) -> np.ndarray:
         """A code for each unit; valid until the next call."""
-        if len(self.code) > self.limit:
+        if self.held > self.limit:
             self._reset()
         new = list(dict.fromkeys(u for u in units if u not in self.code))
         if new:
@@ -42,6 +45,7 @@ class UnitCache:
             self.start[n : n + len(new)] = self.used + np.cumsum(counts) - counts
             self.count[n : n + len(new)] = counts
             self.used += len(ids)
+            self.held += UNIT_BYTES * len(new) + sum(map(sys.getsizeof, new)) + ids.nbytes
             self.code.update(zip(new, range(n, n + len(new)), strict=True))
         return np.fromiter(map(self.code.__getitem__, units), np.int64, len(units))
 

@@ -55,6 +55,56 @@ def test_word_machine_starts_over(monkeypatch):
     assert [len(machine.steps) <= 500 for _ in (1,)] == [True]
 
 
+def no_spaces(n, size, seed=8):
+    rng = random.Random(seed)
+    return ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(size)) for _ in range(n)]
+
+
+def test_caches_are_bounded_by_bytes():
+    """Distinct texts without spaces, which never come again: what is held stays near the limit."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from hearsay.llm.units import groups
+    from hearsay.llm.words import text_bytes
+
+    texts = no_spaces(1200, 400)
+    encoder = pieces.PieceEncoder(P.path("piece_bpe_32k.model"))
+    encoder.cache.limit = 300_000
+    lib = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    for a in range(0, len(texts), 100):
+        got = encoder.encode(texts[a : a + 100])
+        assert got[7].tolist() == lib.encode(texts[a + 7], add_bos=True, add_eos=True)
+        assert encoder.cache.held < 1_500_000 and len(encoder.cache.ids) < 1_000_000
+    counter, lib = transducer.TokenCounter(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    packer = packing.WordTokenizer(P.path("word_bpe_49k.json"))
+    packer.odd.limit = packer.words.limit = 300_000
+    transducer_kept, transducer.WORDS_KEPT = transducer.WORDS_KEPT, 300_000
+    try:
+        for a, b in groups(texts, 40_000):
+            data, offsets = text_bytes(pa.array(texts[a:b]))
+            assert counter.count(data, offsets).tolist() == [len(lib.encode(t).ids) for t in texts[a:b]]
+            assert counter.held < 600_000
+            packer.encode_bytes(data, offsets)
+            assert packer.odd.held + packer.words.held < 1_500_000
+    finally:
+        transducer.WORDS_KEPT = transducer_kept
+
+
+def test_one_very_long_word(monkeypatch):
+    """The transitions are counted inside of a word too."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(30_000))
+    monkeypatch.setattr(transducer, "BLOCK", 100)
+    monkeypatch.setattr(transducer, "TRANSITIONS_KEPT", 500)
+    machine = transducer.TokenCounter(P.path("byte_bpe_50k.json")).machine
+    assert machine.count(word.encode()) == len(lib.encode(word).ids)
+    assert len(machine.steps) <= 700
+
+
 def test_repeated_and_missing_ids(spark):
     rows = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (None, None)], "doc_id bigint, text string")
     assert sorted(r["n_tokens"] for r in transducer.count_tokens(rows, P.path("byte_bpe_50k.json")).collect()) == [0, 3, 3, 3]
