@@ -118,7 +118,9 @@ def _held(points: DataFrame, windows: DataFrame, window_id: str, bucket_s: int,
     late = found.where("ended")
     if not late.isEmpty():
         asked = late.select("__key", "ts").distinct().withColumn("__p", F.struct("__key", "ts"))
-        deep = era_join(asked, windows, bucket_s, window_id, "__p", ("__key",)).where(F.col(window_id).isNotNull())
+        # only windows of keys that ask enter the tree
+        theirs = windows.join(asked.select("__key").distinct(), "__key", "left_semi")
+        deep = era_join(asked, theirs, bucket_s, window_id, "__p", ("__key",)).where(F.col(window_id).isNotNull())
         deep = deep.select("__p.*", F.struct(F.lit(None).cast("timestamp").alias("s"), F.col(window_id).alias("w")).alias("deep"))
         late = late.join(deep, ["__key", "ts"], "left").withColumn("held", F.coalesce("held", "deep"))
         found = found.where("not ended").unionByName(late.drop("deep"))

@@ -27,3 +27,17 @@ def test_an_agent_s_searches_fill_more_than_one_mask(spark):
     edges = spark.createDataFrame([(f"a{i}", "hub") for i in range(129)] + [("hub", "z")], "src string, dst string")
     got = {r["node"]: r["betweenness"] for r in relay.betweenness(edges).collect()}
     assert abs(got.pop("hub") - 129 / (130 * 129)) < 1e-12 and set(got.values()) == {0.0}
+
+
+def test_only_windows_of_late_keys_enter_the_tree(spark, monkeypatch):
+    """Goal windows: one key of fifty has a point behind the end of its last window to start."""
+    asked, join = [], windows.era_join
+    monkeypatch.setattr(windows, "era_join", lambda events, eras, *more: (asked.append(eras.count()), join(events, eras, *more))[1])
+    day = lambda n: T0 + datetime.timedelta(days=n)
+    spans = [(f"k{i}", f"w{i}", day(0), day(300)) for i in range(50)] + [("k7", "short", day(10), day(12))]
+    spans = spark.createDataFrame(spans, "k string, w string, start timestamp, end timestamp")
+    events = spark.createDataFrame([(f"e{i}", f"k{i}", day(40)) for i in range(50)], "event_id string, k string, ts timestamp")
+    got = {r["event_id"]: (r["w"], r["in_window"]) for r in windows.window_join(events, spans, "k", "w").collect()}
+    assert got == {f"e{i}": (f"w{i}", True) for i in range(50)}
+    assert windows.in_any_window(events, spans, "k").count() == 50
+    assert asked == [2, 2]
