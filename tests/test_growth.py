@@ -41,3 +41,13 @@ def test_only_windows_of_late_keys_enter_the_tree(spark, monkeypatch):
     assert got == {f"e{i}": (f"w{i}", True) for i in range(50)}
     assert windows.in_any_window(events, spans, "k").count() == 50
     assert asked == [2, 2]
+
+
+def test_an_event_goes_to_its_window_once(spark, tmp_path):
+    """Era join: events are read for their buckets, for the tree and for the edges, not to be kept once more."""
+    path = str(tmp_path / "events")
+    spark.createDataFrame([(f"e{i}", T0 + datetime.timedelta(days=i)) for i in range(9)] + [(None, T0), ("timeless", None)], "event_id string, ts timestamp").write.parquet(path)
+    eras = spark.createDataFrame([("a", T0, T0 + datetime.timedelta(days=2)), ("b", T0 + datetime.timedelta(days=1, hours=3), T0 + datetime.timedelta(days=4, hours=1))], "era_id string, start timestamp, end timestamp")
+    out = windows.era_join(spark.read.parquet(path), eras, 86400)
+    assert {r["event_id"]: r["era_id"] for r in out.collect()} == {"e0": "a", "e1": "a", "e2": "b", "e3": "b", "e4": "b", "timeless": None, None: "a"} | {f"e{i}": None for i in range(5, 9)}
+    assert _plan(out).count("parquet") <= 3
