@@ -51,3 +51,16 @@ def test_an_event_goes_to_its_window_once(spark, tmp_path):
     out = windows.era_join(spark.read.parquet(path), eras, 86400)
     assert {r["event_id"]: r["era_id"] for r in out.collect()} == {"e0": "a", "e1": "a", "e2": "b", "e3": "b", "e4": "b", "timeless": None, None: "a"} | {f"e{i}": None for i in range(5, 9)}
     assert _plan(out).count("parquet") <= 3
+
+
+def test_single_rows_leave_without_a_window_over_rows(spark, monkeypatch):
+    """Fixed effects: rows shrink to cells before agents and items are counted."""
+    import hearsay.store as store
+
+    plans, write = [], store.checkpoint
+    monkeypatch.setattr(store, "checkpoint", lambda df: (plans.append(_plan(df)), write(df))[1])
+    rows = [(f"a{a}", f"i{i}", float(a * i % 5), (a + i) % 2) for a in range(12) for i in range(4)]
+    rows += [("alone", "i0", 9.0, 1), ("a0", "rare", 9.0, 1), ("b", "rarer", 1.0, 0), ("b", "i1", 1.0, 0), (None, "i2", 1.0, 0)]
+    fit = st.two_way_fixed_effects(spark.createDataFrame(rows, "agent string, item_fe string, y double, d int"), "y", "d")
+    assert (fit["n"], fit["agents"], fit["items"]) == (49, 13, 4)
+    assert not any("Window" in p for p in plans)
