@@ -173,10 +173,12 @@ def era_join(events: DataFrame, eras: DataFrame, bucket_s: int, era_id: str = "e
     same = ev["bucket"].eqNullSafe(best["bucket"])
     for c in by:
         same = same & (ev[c] == best[c])
+    # without keys there is one row a bucket of time, so events stay where they are;
     # an event that no node holds stays, with no window
-    whole = ev.join(best, same, "left").select(event_id, "h")
+    whole = ev.join(best if by else F.broadcast(best), same, "left").select(event_id, "h")
     edges = w.select(*by, "start", "end", "h", F.explode(F.array_compact(F.array_distinct(F.array(*[F.when(F.unix_micros(c) != F.col(n) * step, F.col(n)) for c, n in (("start", "lo"), ("end", "hi"))])))).alias("bucket"))
-    part = ev.join(edges, [*by, "bucket"]).where(_inside(F.col("ts"), F.col("start"), F.col("end"))).select(event_id, "h")
+    cut = ev if by else ev.join(F.broadcast(edges.select("bucket").distinct()), "bucket", "left_semi")
+    part = cut.join(edges, [*by, "bucket"]).where(_inside(F.col("ts"), F.col("start"), F.col("end"))).select(event_id, "h")
     held = whole.unionByName(part).groupBy(event_id).agg(F.max("h").alias("h"))
     return held.select(event_id, F.col("h.w").alias(era_id))
 

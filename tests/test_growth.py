@@ -51,6 +51,12 @@ def test_an_event_goes_to_its_window_once(spark, tmp_path):
     out = windows.era_join(spark.read.parquet(path), eras, 86400)
     assert {r["event_id"]: r["era_id"] for r in out.collect()} == {"e0": "a", "e1": "a", "e2": "b", "e3": "b", "e4": "b", "timeless": None, None: "a"} | {f"e{i}": None for i in range(5, 9)}
     assert _plan(out).count("parquet") <= 3
+    # the table of buckets goes to the events, whatever its estimated size
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert windows.era_join(spark.read.parquet(path), eras, 86400)._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_single_rows_leave_without_a_window_over_rows(spark, monkeypatch):
