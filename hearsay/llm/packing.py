@@ -57,6 +57,11 @@ _PLAIN[39] = False
 WORDS_KEPT, ODD_KEPT = 80_000_000, 40_000_000
 
 
+def _translated(raw: bytes, table: np.ndarray) -> np.ndarray:
+    """table[byte] for each byte, as new bytes."""
+    return np.frombuffer(bytearray(raw.translate(table.tobytes())), np.uint8)
+
+
 class WordTokenizer:
     """The lower-casing word vocabulary, over whole batches of bytes.
 
@@ -108,46 +113,57 @@ class WordTokenizer:
         starts, ends, first = words_of(data, offsets)
         if not len(starts):
             return np.empty(0, np.int32), np.zeros(len(offsets), np.int64)
-        before = np.append(np.uint8(32), data[:-1])
-        after = np.append(data[1:], np.uint8(32))
-        latin = before == 0xC3
-        fine = _PLAIN[data] | (data == 0xC3) & (after >= 0x80) | latin & (data >= 0x80) & (data != 0x97) & (data != 0xB7)
-        fine &= ~((data == 60) & (after == 124))  # a control string may begin
-        bad = np.concatenate([[0], np.cumsum(~fine)])
-        odd = bad[ends] > bad[starts]
-        low = LOWER[data]
-        low[latin & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 32
+        raw = data.tobytes()
+        fine = _translated(raw, _PLAIN).view(bool)
+        low = _translated(raw, LOWER)
+        if (high := data >= 0x80).any():
+            latin = np.append(False, data[:-1] == 0xC3)
+            fine |= (data == 0xC3) & np.append(high[1:], False) | latin & high & (data != 0x97) & (data != 0xB7)
+            low[latin & high & (data <= 0x9E) & (data != 0x97)] += 32
+        fine[:-1] &= (data[:-1] != 60) | (data[1:] != 124)  # a control string may begin
+        odd = np.zeros(len(starts), bool)
+        # blanks are fine, so each other byte is in a chunk
+        odd[np.searchsorted(starts, np.flatnonzero(~fine), "right") - 1] = True
         # where the kind changes, and at each digit, a unit of a plain chunk begins
-        kind = _KIND[data]
-        begins = (kind != _KIND[before]) & (kind > 0) | (kind == _DIGIT)
-        inside = np.zeros(len(data) + 1, np.int8)
-        inside[starts[odd]] += 1
-        inside[ends[odd]] -= 1
-        begins &= np.cumsum(inside[:-1]) == 0
-        begins[starts] = True
-        at = np.flatnonzero(begins)
-        chunk = np.searchsorted(starts, at, "right") - 1
-        stop = np.minimum(np.append(at[1:], len(data)), ends[chunk])
+        kind = _translated(raw, _KIND)
+        begins = kind == _DIGIT
+        begins[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0)
+        heads = np.zeros(len(data), bool)
+        heads[starts] = True
+        at = np.flatnonzero(begins | heads)
+        head = heads[at]
+        chunk = np.cumsum(head, dtype=np.int32) - 1
         strange = odd[chunk]
+        if odd.any():
+            # a strange chunk is one unit
+            keep = ~strange | head
+            at, chunk, strange = at[keep], chunk[keep], strange[keep]
+        stop = np.minimum(np.append(at[1:], len(data)), ends[chunk])
         codes = np.empty(len(at), np.int64)
         counts = np.empty(len(at), np.int64)
         sources = []
-        for cache, rows, bytes_ in ((self.words, np.flatnonzero(~strange), low), (self.odd, np.flatnonzero(strange), data)):
-            place, number = distinct(bytes_, at[rows], stop[rows])
-            raw = bytes_.tobytes()
-            units = [raw[a:b] for a, b in zip(at[rows][place].tolist(), stop[rows][place].tolist(), strict=True)]
+        rows_odd = np.flatnonzero(strange)
+        for cache, rows, bytes_ in ((self.words, np.flatnonzero(~strange) if len(rows_odd) else slice(None), low), (self.odd, rows_odd, data)):
+            begin, end = at[rows], stop[rows]
+            place, number = distinct(bytes_, begin, end)
+            text = raw if bytes_ is data else bytes_.tobytes()
+            units = [text[a:b] for a, b in zip(begin[place].tolist(), end[place].tolist(), strict=True)]
             code = cache.codes(units) if units else np.empty(0, np.int64)
             codes[rows] = cache.start[code][number] if units else 0
             counts[rows] = cache.count[code][number] if units else 0
             sources.append(cache.ids)
             # codes hold until the next call only: the ids of the first cache must not move meanwhile
         total = np.concatenate([[0], np.cumsum(counts)])
-        gather = np.repeat(codes - total[:-1], counts) + np.arange(total[-1])
+        gather = np.repeat(codes - total[:-1], counts)
+        gather += np.arange(total[-1])
+        where = total[np.searchsorted(at, offsets)]
+        if not len(rows_odd):
+            return sources[0][gather], where
         from_odd = np.repeat(strange, counts)
         ids = np.empty(total[-1], np.int32)
         ids[~from_odd] = sources[0][gather[~from_odd]]
         ids[from_odd] = sources[1][gather[from_odd]]
-        return ids, total[np.searchsorted(at, offsets)]
+        return ids, where
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         ids, cuts = self.encode_bytes(*text_bytes(pa.array(texts, pa.string())))
@@ -165,13 +181,15 @@ class Corpus:
         self.idf = np.log((n - df + 0.5) / (df + 0.5))
         self.rank = np.empty(len(df), np.int32)
         self.rank[np.argsort(df, kind="stable")] = np.arange(len(df), dtype=np.int32)
+        self.key = np.where(self.indexed, self.rank, LAST).astype(np.int32)
 
     @classmethod
     def of(cls, docs: list[np.ndarray]) -> Corpus:
         return cls(frequency(docs), len(docs), sum(map(len, docs)))
 
-    def rarest(self, terms: np.ndarray, k: int) -> np.ndarray:
-        r = np.sort(self.rank[terms[self.indexed[terms]]])[:k]
+    def rarest(self, ids: np.ndarray, k: int) -> np.ndarray:
+        """Ranks of the k rarest indexed terms among ids, which may repeat; then ``LAST``."""
+        r = np.unique(self.key[ids])[:k]
         return np.concatenate([r, np.full(k - len(r), LAST, np.int32)])
 
 
@@ -198,7 +216,7 @@ class Bm25:
         norm = K1 * (1 - B + B * lens / max(corpus.mean, 1))
         weight = corpus.idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         kept = np.repeat(keep, df)
-        self.doc, self.weight = doc[kept], weight[kept].astype(np.float32)
+        self.doc, self.weight = doc[kept], weight[kept].astype(np.float32).astype(np.float64)
         self.df = df[keep]
         self.start = np.cumsum(self.df) - self.df
         # the kept terms of each document, as places in the index
@@ -348,7 +366,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
         _tokenizer.cache_clear()
         for batch in batches:
             found = _documents(batch.column(1), kept_as)
-            r = np.array([corpus.rarest(np.unique(d), KEYS) for d in found], np.int32).reshape(-1, KEYS)
+            r = np.array([corpus.rarest(d, KEYS) for d in found], np.int32).reshape(-1, KEYS)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(r[:, i], pa.int32()) for i in range(KEYS)]], names=["__id", "__ids", "__at", *keys])
 
     shards = -(-size // shard_tokens)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 
@@ -35,8 +36,11 @@ class UnitCache:
         """A code for each unit; valid until the next call."""
         if self.held > self.limit:
             self._reset()
-        new = list(dict.fromkeys(u for u in units if u not in self.code))
-        if new:
+        out = np.fromiter(map(self.code.get, units, repeat(-1)), np.int64, len(units))
+        unseen = np.flatnonzero(out < 0)
+        if len(unseen):
+            asked = [units[i] for i in unseen.tolist()]
+            new = list(dict.fromkeys(asked))
             ids, counts = self.encode(new)
             n = len(self.code)
             self.ids = self._room(self.ids, self.used + len(ids))
@@ -47,7 +51,8 @@ class UnitCache:
             self.used += len(ids)
             self.held += UNIT_BYTES * len(new) + sum(map(sys.getsizeof, new)) + ids.nbytes
             self.code.update(zip(new, range(n, n + len(new)), strict=True))
-        return np.fromiter(map(self.code.__getitem__, units), np.int64, len(units))
+            out[unseen] = np.arange(n, n + len(new)) if len(new) == len(asked) else np.fromiter(map(self.code.__getitem__, asked), np.int64, len(asked))
+        return out
 
     def spread(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units end to end, running end of each unit)."""

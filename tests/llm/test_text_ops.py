@@ -193,6 +193,33 @@ def test_packing_weighs_by_the_corpus():
     assert own.ranked(0, np.array([True, False, False, False, False])).tolist() == [1, 2]
 
 
+def test_packing_routes_without_a_sort_of_terms_and_one_lookup_a_unit():
+    """Operator 1: the rarest terms come from ids as they are, repeats included."""
+    corpus = packing.Corpus(np.array([5, 2, 3, 9, 1, 2]), 10, 100)
+    ids = np.array([0, 1, 1, 5, 3, 4, 5, 2])
+    want = sorted(corpus.rank[t] for t in (0, 1, 2, 5))  # 3 is too frequent, 4 in one document
+    assert corpus.rarest(ids, 3).tolist() == want[:3] and corpus.rarest(ids, 6).tolist() == [*want, packing.LAST, packing.LAST]
+
+    class Counted(dict):
+        looked = 0
+
+        def __contains__(self, unit):
+            Counted.looked += 1
+            return super().__contains__(unit)
+
+    cache = packing.UnitCache(lambda units: (np.arange(len(units), dtype=np.int32), np.ones(len(units), np.int64)))
+    cache.code = Counted()
+    assert cache.codes(["a", "b", "a"]).tolist() == [0, 1, 0] and cache.codes(["c", "b"]).tolist() == [2, 1] and Counted.looked == 0
+
+
+def test_words_at_the_borders_of_texts():
+    """Operator 1: apostrophes, control strings and accents at the ends of texts, against the library."""
+    tok = packing.WordTokenizer(P.path("word_bpe_49k.json"))
+    texts = ["<", "|endoftext|> it's", "\u00c3", "\u00e9t\u00c9 A1b22", "", "don't<|endoftext|>x", "plain, words.", "\u00d7 \u00f7<", "'", "1'2"]
+    for some in (texts, [t for t in texts if t.isascii()], ["only plain 12 words"]):
+        assert [x.tolist() for x in tok.encode(some)] == [tok.library.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_packing_a_document_longer_than_a_shard(spark):
     texts = ["alpha beta gamma", "delta epsilon", LONG, "alpha beta gamma", "delta", "some other words", "more of other words"]
     before = spark.conf.get("spark.sql.shuffle.partitions")
