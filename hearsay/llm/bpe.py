@@ -16,7 +16,11 @@ import json
 
 import numpy as np
 
+from .words import runs
+
 NONE = np.int64(1) << 60
+#: So many symbols advance together; a longer word stands alone.
+CELLS = 300_000
 
 
 class MergeVocabulary:
@@ -73,36 +77,59 @@ class MergeVocabulary:
         self._known: dict[tuple[int, int], bool] = {}
         self._trie([(t, tokens[t]) for t in sorted(reachable, key=lambda t: len(tokens[t]))])
 
-    def _trie(self, entries) -> None:
-        nodes: list[dict[int, int]] = [{}]
-        token_at = [-1]
+    def _trie(self, entries: list[tuple[int, tuple[int, ...]]]) -> None:
+        """The trie as one array: the node below node n by symbol s, if there is one,
+        is place ``base[n] + s``, whose ``owner`` is n.  A row of all symbols for each
+        node would be nearly empty and take hundreds of megabytes.  Place 0 is "dead"
+        so that a walk can run past the end of a word, place 1 is the root."""
+        token = np.array([t for t, _ in entries])
+        lens = np.array([len(symbols) for _, symbols in entries])
+        flat = np.fromiter((s for _, symbols in entries for s in symbols), np.int64, int(lens.sum()))
+        begin = np.cumsum(lens) - lens
         self.shorter = np.full(self.size, -1, np.int32)
-        for token, symbols in entries:
-            node, best = 0, -1
-            for s in symbols[:-1]:
-                nxt = nodes[node].get(s)
-                if nxt is None:
-                    nxt = nodes[node][s] = len(nodes)
-                    nodes.append({})
-                    token_at.append(-1)
-                node = nxt
-                if token_at[node] >= 0:
-                    best = token_at[node]
-            s = symbols[-1]
-            nxt = nodes[node].get(s)
-            if nxt is None:
-                nxt = nodes[node][s] = len(nodes)
-                nodes.append({})
-                token_at.append(-1)
-            token_at[nxt] = token
-            self.shorter[token] = best
-        # row 0 is "dead" so that a gather can run past the end of a word
-        child = np.zeros((len(nodes) + 1, self.width + 1), np.int32)
-        for n, out in enumerate(nodes):
-            for s, m in out.items():
-                child[n + 1, s] = m + 1
-        self.child = child
-        self.token_at = np.array([-1, *token_at], np.int32)
+        # nodes are numbered by level first, in the order of their edges
+        node, best = np.ones(len(token), np.int64), np.full(len(token), -1, np.int32)
+        count, edges, ids = 2, [], [np.full(2, -1, np.int32)]
+        on = np.arange(len(token))
+        for d in range(int(lens.max())):
+            on = on[lens[on] > d]
+            edge, place = np.unique(node[on] * (self.width + 1) + flat[begin[on] + d], return_inverse=True)
+            edges.append(edge)
+            ends = lens[on] == d + 1
+            here = np.full(len(edge), -1, np.int32)
+            here[place[ends]] = token[on[ends]]
+            ids.append(here)
+            self.shorter[token[on[ends]]] = best[on[ends]]
+            best[on] = np.where(here[place] >= 0, here[place], best[on])
+            node[on] = count + place
+            count += len(edge)
+        parent, symbol = np.divmod(np.concatenate(edges), self.width + 1)
+        below = np.bincount(parent, minlength=count)
+        first = np.cumsum(below) - below
+        # nodes with the most edges choose first; the places taken are the bits of a number
+        base, taken = np.zeros(count, np.int64), 3
+        for n in sorted(np.flatnonzero(below > 1).tolist(), key=lambda n: -below[n]):
+            clash = mask = 0
+            for s in symbol[first[n] : first[n] + below[n]].tolist():
+                clash |= taken >> s
+                mask |= 1 << s
+            base[n] = (~clash & (clash + 1)).bit_length() - 1
+            taken |= mask << int(base[n])
+        # an only edge takes any place that is left
+        alone = np.flatnonzero(below[parent] == 1)
+        size = taken.bit_length() + len(alone) + self.width
+        bits = np.unpackbits(np.frombuffer(taken.to_bytes(size // 8 + 1, "little"), np.uint8), bitorder="little")
+        base[parent[alone]] = np.flatnonzero(bits[self.width :] == 0)[: len(alone)] + self.width - symbol[alone]
+        at = np.concatenate([[0, 1], base[parent] + symbol])
+        size = int(max(at.max(), base.max())) + self.width + 1
+        self.base, self.owner, self.token_at = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        self.base[at], self.token_at[at] = base, np.concatenate(ids)
+        self.owner[at[2:]] = at[parent]
+
+    def child(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The node below ``node`` by ``symbol``, 0 where there is none."""
+        at = self.base[node] + symbol
+        return at * (self.owner[at] == node)
 
     def merge(self, ids: list[int]) -> tuple[list[int], tuple[int, int] | None]:
         """Plain merging: lowest rank first, leftmost first on ties."""
@@ -189,90 +216,65 @@ class MergeVocabulary:
 
     def encode_many(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all words, end to end, and how many each word has."""
-        lens = np.diff(offsets)
-        counts = np.zeros(len(lens), np.int64)
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        order = np.argsort(lens, kind="stable")
-        order = order[np.searchsorted(lens[order], 1) :]
-        at = 0
-        while at < len(order):
-            # a block holds at most about two million cells
-            end = min(len(order), at + max(1, 2_000_000 // max(int(lens[order[at]]), 1)))
-            while end - at > 1 and int(lens[order[end - 1]]) * (end - at) > 2_000_000:
-                end = at + max(1, (end - at) // 2)
-            rows = order[at:end]
-            stack, depth = self._block(flat, offsets[rows], lens[rows])
-            counts[rows] = depth
-            parts.append((rows, stack, depth))
-            at = end
-        starts = np.concatenate([[0], np.cumsum(counts)])
-        ids = np.empty(starts[-1], np.int32)
-        for rows, stack, depth in parts:
-            r, c = np.nonzero(np.arange(stack.shape[1])[None, :] < depth[:, None])
-            ids[starts[rows][r] + c] = stack[r, c]
-        return ids, counts
+        found = [self._block(flat[offsets[a] : offsets[b]], np.diff(offsets[a : b + 1])) for a, b in runs(offsets, CELLS)]
+        if not found:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        return np.concatenate([ids for ids, _ in found]), np.concatenate([n for _, n in found])
 
-    def _block(self, flat, starts, lens):
-        n, width = len(starts), int(lens.max())
-        col = np.arange(width)
-        inside = col[None, :] < lens[:, None]
-        sym = np.full((n, width + 1), self.width, np.int32)
-        sym[:, :width][inside] = flat[(starts[:, None] + col[None, :])[inside]]
+    def _block(self, flat: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # words lie end to end, with a free cell behind each; positions are cells
+        begin = np.cumsum(lens + 1) - lens - 1
+        stop = begin + lens
+        cell = np.arange(len(flat)) + np.repeat(np.arange(len(lens)), lens)
+        sym = np.full(len(flat) + len(lens), self.width, np.int32)
+        sym[cell] = flat
         # longest entry that starts at each position
-        best = np.full((n, width), -1, np.int32)
-        row, pos = np.nonzero(inside)
-        node = self.child[1, sym[row, pos]]
-        d = 0
-        while len(row):
+        best = np.full(len(sym), -1, np.int32)
+        node = self.child(np.ones(1, np.int32), sym[cell])
+        while len(live := np.flatnonzero(node)):
+            cell, node = cell[live], node[live]
             token = self.token_at[node]
-            hit = token >= 0
-            best[row[hit], pos[hit]] = token[hit]
-            d += 1
-            live = (node > 0) & (pos + d < width)
-            row, pos, node = row[live], pos[live], node[live]
-            node = self.child[node, sym[row, pos + d]]
-            live = node > 0
-            row, pos, node = row[live], pos[live], node[live]
-        stack = np.zeros((n, width), np.int32)
-        depth = np.zeros(n, np.int64)
-        failed = np.zeros((n, width + 1), bool)
-        at = np.zeros(n, np.int64)
-        cand = best[:, 0].astype(np.int64)
-        on = np.arange(n)
+            hit = np.flatnonzero(token >= 0)
+            best[cell[hit] - self.length[token[hit]] + 1] = token[hit]
+            cell = cell + 1
+            node = self.child(node, sym[cell])
+        stack = np.zeros(len(sym), np.int32)
+        top, at = begin.copy(), begin.copy()
+        failed = np.zeros(len(sym), bool)
+        cand = best[begin]
+        on = np.flatnonzero(lens)
         while len(on):
             c = cand[on]
             if (c < 0).any():
                 raise ValueError("a base symbol has no token")
             end = at[on] + self.length[c]
-            ok = ~failed[on, end]
-            if (check := np.flatnonzero(ok & (depth[on] > 0))).size:
-                w = on[check]
-                ok[check] = self.compatible(stack[w, depth[w] - 1], c[check])
-            w = on[ok]
-            stack[w, depth[w]] = c[ok]
-            depth[w] += 1
-            at[w] = end[ok]
-            more = at[w] < lens[w]
-            cand[w[more]] = best[w[more], at[w[more]]]
-            done = w[~more]
-            bad = on[~ok]
-            less = self.shorter[c[~ok]]
+            ok = ~failed[end]
+            if (check := np.flatnonzero(ok & (top[on] > begin[on]))).size:
+                ok[check] = self.compatible(stack[top[on[check]] - 1], c[check])
+            good = np.flatnonzero(ok)
+            w = on[good]
+            stack[top[w]] = c[good]
+            top[w] += 1
+            at[w] = end[good]
+            more = end[good] < stop[w]
+            cand[w[more]] = best[end[good[more]]]
+            bad = np.flatnonzero(~ok)
+            less = self.shorter[c[bad]]
             short = less >= 0
-            cand[bad[short]] = less[short]
-            stuck = bad[~short]
+            cand[on[bad[short]]] = less[short]
+            stuck = on[bad[~short]]
             if stuck.size:
-                if (depth[stuck] == 0).any():
+                if (top[stuck] == begin[stuck]).any():
                     raise ValueError("no encoding")
-                failed[stuck, at[stuck]] = True
-                depth[stuck] -= 1
-                last = stack[stuck, depth[stuck]]
+                failed[at[stuck]] = True
+                top[stuck] -= 1
+                last = stack[top[stuck]]
                 at[stuck] -= self.length[last]
                 cand[stuck] = last
-            if done.size:
-                gone = np.zeros(n, bool)
-                gone[done] = True
-                on = on[~gone[on]]
-        return stack, depth
+            if not more.all():
+                on = np.delete(on, good[~more])
+        depth = top - begin
+        return stack[np.repeat(begin - np.cumsum(depth) + depth, depth) + np.arange(depth.sum())], depth
 
 
 def byte_letters() -> dict[str, int]:

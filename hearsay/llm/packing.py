@@ -54,7 +54,7 @@ _PLAIN[33:127] = True
 _PLAIN[BLANK] = True
 _PLAIN[39] = False
 #: Bytes of units that a worker remembers; then it starts over.
-WORDS_KEPT, ODD_KEPT = 80_000_000, 40_000_000
+WORDS_KEPT, ODD_KEPT = 40_000_000, 40_000_000
 
 
 def _translated(raw: bytes, table: np.ndarray) -> np.ndarray:
@@ -78,6 +78,8 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.vocabulary = bpe.from_json(path)
+        del self.vocabulary.pairs, self.vocabulary.reachable  # lockstep encoding reads neither
+        give_back()
         self.words = UnitCache(self._encode_words, WORDS_KEPT)
         self.odd = UnitCache(self._encode_odd, ODD_KEPT)
 
@@ -318,12 +320,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
     kept_as = "<u2" if max(_words(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
 
     def tokenise(batches):
+        give_back()  # the workers stay, with what earlier tasks freed
         tok = _tokenizer(tokenizer)
         task = TaskContext.get()
         at = (task.partitionId() if task else 0) << 33
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for a, b in runs(offsets, 2_000_000):
+            for a, b in runs(offsets, 1_000_000):
                 ids, cuts = tok.encode_bytes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 # every document ends with its end token
                 n = b - a

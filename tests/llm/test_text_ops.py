@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers as P
 import pytest
-from hearsay.llm import packing, pieces, queries, rules, transducer
+from hearsay.llm import bpe, packing, pieces, queries, rules, transducer
 from pyspark.sql import functions as F
 
 from . import brute
@@ -91,6 +91,26 @@ def test_caches_are_bounded_by_bytes():
         transducer.WORDS_KEPT = transducer_kept
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_vocabulary_is_small_and_blocks_agree(monkeypatch, name):
+    """Two workers of an executor hold a vocabulary each, beside all that its JVM took before."""
+    from tokenizers import Tokenizer
+
+    v = bpe.from_json(P.path(name))
+    assert sum(a.nbytes for a in vars(v).values() if isinstance(a, np.ndarray)) < 20_000_000
+    lib, word = Tokenizer.from_file(P.path(name)), v.width > 256
+    rng = random.Random(6)
+    words = ["", "a", "internationalization" * 40, *("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(0, 30))) for _ in range(400)), ""]
+    flat = [[*w.encode()[:-1], w.encode()[-1] + 256 * word] if w else [] for w in words]
+    symbols, ends = np.array([s for w in flat for s in w], np.int32), np.cumsum([0, *map(len, flat)])
+    want = [lib.encode(w, add_special_tokens=False).ids for w in words]
+    for cells in (bpe.CELLS, 7):
+        monkeypatch.setattr(bpe, "CELLS", cells)
+        ids, n = v.encode_many(symbols, ends)
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert [x.tolist() for x in v.encode_many(symbols[:0], ends[:1])] == [[], []]
+
+
 def test_one_very_long_word(monkeypatch):
     """The transitions are counted inside of a word too."""
     from tokenizers import Tokenizer
