@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import SLICES, apply_spans, batches_of, by_part, covered, dealt, minimizer_runs, part_by_part, part_of, with_key
+from .spans import NOTES, PARTS, PARTS_SQL, SLICES, SPAN, apply_spans, batches_of, by_part, covered, dealt, minimizer_runs, notes_of, part_by_part, part_of, with_key
 from .store import drop, materialize, partitions, small_batches, tidy
 from .words import digests, give_back, grams, pair, runs, text_bytes, word_hashes, words_of
 
@@ -48,7 +48,6 @@ EDGE = np.dtype([("s", "<u8"), ("t", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("n"
 HELD = 200_000
 #: At most so many paths are broadcast.
 HEAVY = 1000
-PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 PLACES, ASKS, NODES = 0, 1, 2
 #: An occurrence of a repeated path (PLACES: key, path, lo, n), or a path that is to
 #: be opened (ASKS: key, lo, n), or the ends of a path (NODES: path, a, b, n).
@@ -310,12 +309,19 @@ def substring_dedup(docs: DataFrame, window: int = 35, k: int = 12, id_col: str
             break
         drop(docs.sparkSession, spans)
 
-    def read(found: list[dict]) -> np.ndarray:
-        return np.array([(x["lo"], x["n"]) for x in found], np.int64).reshape(-1, 2)
-
     def keep(data: np.ndarray, found) -> tuple[int, np.ndarray, bytes]:
         words = data.tobytes().split()
         gone = covered(found, len(words), window)
         return len(words), gone, b" ".join(words if found is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g])
 
-    return apply_spans(keyed, spans, read, keep, pa.string(), "string")
+    parts = SLICES * partitions(docs.sparkSession)
+
+    def told(batches):
+        for batch in batches:
+            found, keys = batch.column(1), batch.column(0).to_numpy()
+            rows = np.empty(len(found.flatten()), SPAN)
+            rows["doc"] = np.repeat(keys, np.diff(found.offsets.to_numpy()))
+            rows["lo"], rows["n"] = (found.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            yield from batches_of(((p, NOTES, x) for p, x in notes_of(rows, parts)), PARTS)
+
+    return apply_spans(keyed, spans.select("key", "spans").mapInArrow(told, PARTS_SQL), parts, keep, pa.string(), "string")

@@ -49,6 +49,22 @@ def test_suffixes(spark, seed):
         assert (bytes(r["kept"]), r["n_removed"], len(r["removed_start"])) == want[r["id"]], r["id"]
 
 
+def test_texts_move_as_compressed_blocks(spark):
+    """No join of single rows carries texts; what a block moves is less than half of its
+    texts, and spans that touch are one note of few bytes."""
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 900}" for j in range(400))) for i in range(200)]
+    out = suffixes.suffix_dedup(docs(spark, rows))
+    assert " Join " not in out._jdf.queryExecution().optimizedPlan().toString()
+    keyed = spans.with_key(docs(spark, rows), "doc_id", "text")
+    blocks = spans._blocks(keyed.select("key", "text"), 8).agg(F.count("*").alias("n"), F.sum(F.length("blob")).alias("size")).first()
+    assert blocks["n"] <= 3 * 8 and blocks["size"] < sum(len(t) for _, t in rows) / 2
+    told = np.zeros(5000, spans.SPAN)
+    told["doc"], told["lo"], told["n"] = np.arange(5000) // 50, np.arange(5000) % 50 * 7, 7
+    notes = dict(spans.notes_of(told[np.random.default_rng(4).permutation(5000)], 8))
+    back = spans.unpacked(list(notes.values()), spans.SPAN)
+    assert sorted(back.tolist()) == [(d, 0, 350) for d in range(100)] and sum(map(len, notes.values())) < 100 * 8
+
+
 @pytest.mark.parametrize("hot", [0, 256])
 def test_hot_contexts(spark, monkeypatch, hot):
     """One passage between many different texts; opened by window and by run."""
