@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..store import checkpoint
+from ..store import checkpoint, written
 from .facts import seconds_between
 from .scan import previous, ranged, running
 
@@ -79,42 +79,65 @@ def _inside(ts: Column, start: Column, end: Column) -> Column:
     return (start.isNull() | (start <= ts)) & (end.isNull() | (ts < end))
 
 
+#: One row of so many may have the same key before the key is cut into buckets of time.
+OFTEN = 1000
+#: The share of rows that are looked at to find such keys.
+LOOK = 0.01
+#: The bucket of keys that are not cut.
+WHOLE = -(1 << 62)
+
+
+def _often(keys: DataFrame) -> DataFrame:
+    """(__key, often): keys with over one of ``OFTEN`` rows, by a sample - fewer than ``OFTEN`` keys.
+    It only says which keys are cut; results are the same for any cut."""
+    n = checkpoint(keys.where("__key is not null").sample(LOOK, seed=0).groupBy("__key").agg(F.count(F.lit(1)).alias("n")))
+    total = n.agg(F.sum("n")).first()[0] or 0
+    return n.where((F.col("n") * OFTEN > total) & (F.col("n") >= 10)).select("__key", F.lit(True).alias("often"))
+
+
 def _held(points: DataFrame, windows: DataFrame, window_id: str, bucket_s: int, edges: bool) -> DataFrame:
     """``points``: __key, ts and ``row``; ``windows``: __key, start, end and an id.  Adds to
     each point ``held``, (start, id) of the last window by start that holds it, and with
     ``edges`` ``near``, (microseconds, id) of the nearest edge of a window of its key.
 
-    Starts, ends and points of a key go through sorted passes, cut into buckets of time; a
-    bucket starts from what the buckets before (and after) it carry.  The last window to start
-    is the answer unless it has ended; only points after its end ask the tree of ``era_join``.
+    Starts, ends and points of a key go through sorted passes in one shuffle.  Keys with a large
+    share of the rows are cut into buckets of time; a bucket starts from what the buckets before
+    (and after) it carry.  The last window to start is the answer unless it has ended; only points
+    after its end ask the tree of ``era_join``.  Both tables are read several times.
     """
     us = F.unix_micros
     begin = F.coalesce("start", F.lit("0001-01-01").cast("timestamp"))
     w = windows.select("__key", "start", "end", begin.alias("s"), F.col(window_id).alias("w"))
     h, edge = F.struct("s", "w", "end"), F.struct("w")
-    side = w.select("__key", F.col("s").alias("ts"), h.alias("h"), F.when(F.col("start").isNotNull(), edge).alias("edge"))
+    # a window that ends where it starts holds nothing
+    some = F.col("start").isNull() | F.col("end").isNull() | (F.col("start") < F.col("end"))
+    side = w.select("__key", F.col("s").alias("ts"), F.when(some, h).alias("h"), F.when(F.col("start").isNotNull(), edge).alias("edge"))
     kinds = {c: side.schema[c].dataType for c in ("h", "edge")}
     if edges:
         side = side.unionByName(w.where("end is not null").select("__key", F.col("end").alias("ts"), F.lit(None).cast(kinds["h"]).alias("h"), edge.alias("edge")))
     row = points.schema["row"].dataType
     rows = side.select("*", F.lit(0).alias("side"), F.lit(None).cast(row).alias("row"))
     rows = rows.unionByName(points.where("ts is not null").select("__key", "ts", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()], F.lit(1).alias("side"), "row"))
-    rows = rows.withColumn("bucket", F.floor(us("ts") / F.lit(bucket_s * 1_000_000)).cast("bigint"))
+    often = _often(points.select("__key").union(windows.select("__key")))
+    rows = rows.join(F.broadcast(often), "__key", "left").withColumn("bucket", F.when(F.col("often"), F.floor(us("ts") / F.lit(bucket_s * 1_000_000)).cast("bigint")).otherwise(F.lit(WHOLE)))
+    rows = rows.drop("often").repartition("__key", "bucket")
     # of equal edges the least window counts: minima of (distance from one end of time, window)
     told = {"past": F.struct((-us("ts")).alias("at"), F.col("edge.w").alias("w")), "next": F.struct(us("ts").alias("at"), F.col("edge.w").alias("w"))} if edges else {}
     rows = rows.withColumns({c: F.when(F.col("edge").isNotNull(), v) for c, v in told.items()}) if edges else rows
     key = W.partitionBy("__key").orderBy("bucket")
     before, after = key.rowsBetween(W.unboundedPreceding, -1), W.partitionBy("__key").orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
-    totals = rows.groupBy("__key", "bucket").agg(F.max("h").alias("th"), *[F.min(c).alias(f"t_{c}") for c in told])
+    totals = rows.where(F.col("bucket") != WHOLE).groupBy("__key", "bucket").agg(F.max("h").alias("th"), *[F.min(c).alias(f"t_{c}") for c in told])
     carried = totals.select("__key", "bucket", F.max("th").over(before).alias("ch"), *[F.min(f"t_{c}").over(over).alias(f"c_{c}") for c, over in zip(told, (before, after), strict=False)])
     place = W.partitionBy("__key", "bucket")
     up, down = place.orderBy("ts", "side").rowsBetween(W.unboundedPreceding, 0), place.orderBy(F.desc("ts"), "side").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumns({"lh": F.max("h").over(up), **{f"l_{c}": F.min(c).over(over) for c, over in zip(told, (up, down), strict=False)}}).where("side = 1")
     away = lambda c, sign: F.when(F.col(c).isNotNull(), F.struct(F.abs(sign * F.col(f"{c}.at") - us("ts")).alias("d"), F.col(f"{c}.w").alias("w")))
-    found = rows.join(carried, ["__key", "bucket"]).select("__key", "ts", "row", F.greatest("lh", "ch").alias("h"), *[F.least(f"l_{c}", f"c_{c}").alias(c) for c in told])
+    found = rows.join(carried, ["__key", "bucket"], "left").select("__key", "ts", "row", F.greatest("lh", "ch").alias("h"), *[F.least(f"l_{c}", f"c_{c}").alias(c) for c in told])
     near = F.least(away("past", -1), away("next", 1)) if edges else F.lit(None).cast("struct<d:bigint,w:int>")
     opened = F.col("h").isNotNull() & (F.col("h.end").isNull() | (F.col("ts") < F.col("h.end")))
-    found = checkpoint(found.select("__key", "ts", "row", F.when(opened, F.struct("h.s", "h.w")).alias("held"), (F.col("h").isNotNull() & ~opened).alias("ended"), near.alias("near")))
+    ended = F.col("h").isNotNull() & ~opened
+    # where a window is found nothing else is asked for
+    found = written(found.select(*[F.when(ended, F.col(c)).alias(c) for c in ("__key", "ts")], "row", F.when(opened, F.struct("h.s", "h.w")).alias("held"), ended.alias("ended"), F.when(~opened, near).alias("near")))
     late = found.where("ended")
     if not late.isEmpty():
         asked = late.select("__key", "ts").distinct().withColumn("__p", F.struct("__key", "ts"))
@@ -127,7 +150,7 @@ def _held(points: DataFrame, windows: DataFrame, window_id: str, bucket_s: int,
     # a point without a time is held by windows without edges; else the least window is as near as any
     edgeless = F.max(F.when(F.col("start").isNull() & F.col("end").isNull(), F.struct("s", "w")))
     known = w.groupBy("__key").agg(edgeless.alias("held"), F.min(F.struct(F.lit(1 << 62).alias("d"), F.col("w"))).alias("near"))
-    timeless = points.where("ts is null").join(known, "__key", "left").select("__key", "ts", "row", "held", *(["near"] if edges else []))
+    timeless = points.where("ts is null").join(known, "__key", "left").select("row", "held", *(["near"] if edges else []))
     return found.select(*timeless.columns).unionByName(timeless)
 
 
@@ -135,8 +158,10 @@ def window_join(events: DataFrame, windows: DataFrame, key: str, window_id: str,
     """Interval join on a key: the last window by start that holds the event, else
     the one with the nearest edge (``in_window`` false); one row per event.  Events
     meet windows in a sorted pass, not in pairs."""
+    events = written(events.select(key, "ts", event_id))
     points = events.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), "ts", F.struct(F.col(event_id).alias("id")).alias("row"))
-    found = _held(points, windows.withColumnRenamed(key, "__key"), window_id, bucket_s, True).select("row.id", "held", "near")
+    windows = written(windows.select(F.col(key).alias("__key"), "start", "end", window_id))
+    found = _held(points, windows, window_id, bucket_s, True).select("row.id", "held", "near")
     lost = events.where(F.col(key).isNull()).select(F.col(event_id).alias("id"), *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("held", "near")])
     out = found.unionByName(lost).groupBy("id").agg(F.max("held").alias("held"), F.min("near").alias("near"))
     return out.select(F.col("id").alias(event_id), F.coalesce("held.w", "near.w").alias(window_id), F.when(F.col("held").isNotNull(), True).when(F.col("near").isNotNull(), False).alias("in_window"))
@@ -225,8 +250,9 @@ def next_at_or_after(left: DataFrame, right: DataFrame, key: str, left_id: str,
 
 def in_any_window(events: DataFrame, windows: DataFrame, key: str, bucket_s: int = 30 * 86400) -> DataFrame:
     """Interval semi-join: events that lie in at least one window of their key."""
+    events = written(events)
     points = events.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), "ts", F.struct(*events.columns).alias("row"))
-    spans = windows.select(F.col(key).alias("__key"), "start", "end", F.lit(0).alias("__w"))
+    spans = written(windows.select(F.col(key).alias("__key"), "start", "end", F.lit(0).alias("__w")))
     return _held(points, spans, "__w", bucket_s, False).where("held is not null").select("row.*")
 
 

@@ -61,3 +61,26 @@ def test_no_windows_and_repeated_events(spark):
     w = spark.createDataFrame([("a", "x", T0 + datetime.timedelta(hours=4), None)], "k string, w string, start timestamp, end timestamp")
     # an id on two rows is one event: it is held if one of them is
     assert {(r["event_id"], r["w"], r["in_window"]) for r in windows.window_join(e, w, "k", "w").collect()} == {(1, "x", True), (2, "x", False)}
+
+
+def test_only_frequent_keys_are_cut(spark, monkeypatch):
+    """A key with most rows is cut into buckets of time, the others are not; results are those of the loop."""
+    monkeypatch.setattr(windows, "LOOK", 1.0)
+    events, wins = _case(random.Random(5), 9)
+    e = spark.createDataFrame([(i, k, _at(t)) for i, k, t in events], "event_id int, k string, ts timestamp")
+    w = spark.createDataFrame([(k, i, _at(a), _at(b)) for k, i, a, b in wins], "k string, w string, start timestamp, end timestamp")
+    want = _plain(events, wins)
+    for often, cut in ((1000, {"hot", "a", "b", "c", "nested", "edgeless", "nobody"}), (2, {"hot"})):
+        monkeypatch.setattr(windows, "OFTEN", often)
+        assert {r["__key"] for r in windows._often(e.select(e.k.alias("__key"))).collect()} == cut
+        got = {r["event_id"]: (r["w"], r["in_window"]) for r in windows.window_join(e, w, "k", "w", bucket_s=86400).collect()}
+        assert {i: (got[i], v) for i, v in want.items() if got[i] != v} == {}
+
+
+def test_empty_windows_do_not_ask_the_tree(spark, monkeypatch):
+    """Of two windows that start together the one that ends there holds nothing, whatever its name."""
+    monkeypatch.setattr(windows, "era_join", lambda *a: (_ for _ in ()).throw(AssertionError("no point is behind the last window")))
+    w = [(k, f"{n}{k}", _at(a), _at(b)) for k in range(20) for n, a, b in (("a", 0, 5), ("z", 5, 5), ("b", 5, None))]
+    e = spark.createDataFrame([(i, i % 20, _at(3 + i // 20 * 4)) for i in range(40)], "event_id int, k int, ts timestamp")
+    got = {r["event_id"]: (r["w"], r["in_window"]) for r in windows.window_join(e, spark.createDataFrame(w, "k int, w string, start timestamp, end timestamp"), "k", "w").collect()}
+    assert got == {i: (f"{'ab'[i // 20]}{i % 20}", True) for i in range(40)}
