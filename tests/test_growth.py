@@ -22,6 +22,24 @@ def test_searches_meet_one_table_of_what_they_reached(spark, monkeypatch):
     assert max(p.count("LogicalRDD") for p in plans) <= 4
 
 
+def test_a_level_of_searches_is_one_shuffle(spark, monkeypatch):
+    """Betweenness: a level is written once, from one shuffle; nothing is checkpointed for it."""
+    checkpoints, plans, cut, write = [], [], relay.checkpoint, relay.written
+    monkeypatch.setattr(relay, "checkpoint", lambda df: (checkpoints.append(1), cut(df))[1])
+    monkeypatch.setattr(relay, "written", lambda df: (plans.append(_plan(df)), write(df))[1])
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(12)], "src string, dst string")
+    got = {r["node"]: r["betweenness"] for r in relay.betweenness(edges).collect()}
+    assert all(abs(got[f"n{i}"] - i * (12 - i) / 132) < 1e-12 for i in range(13))
+    assert len(checkpoints) <= 3 and all(p.count("RepartitionByExpression") == 1 and "Aggregate" not in p for p in plans[2:])
+
+
+def test_searches_beyond_one_slab(spark):
+    """Betweenness: 1,102 sources are three rows a node."""
+    edges = spark.createDataFrame([(f"a{i}", "hub") for i in range(1100)] + [("hub", "z")], "src string, dst string")
+    got = {r["node"]: r["betweenness"] for r in relay.betweenness(edges, pivots=None).collect()}
+    assert abs(got.pop("hub") - 1100 / (1101 * 1100)) < 1e-12 and set(got.values()) == {0.0}
+
+
 def test_an_agent_s_searches_fill_more_than_one_mask(spark):
     """Betweenness: 130 sources need three masks a node."""
     edges = spark.createDataFrame([(f"a{i}", "hub") for i in range(129)] + [("hub", "z")], "src string, dst string")
